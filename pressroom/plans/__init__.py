@@ -1,2 +1,6 @@
-QUERIES = {}
-ORACLES = {}
+"""The registered queries, and the same in DuckDB's SQL where SQL can say it."""
+
+from . import stats
+
+QUERIES = {**stats.QUERIES}
+ORACLES = {**stats.ORACLES}
