@@ -1,6 +1,6 @@
 """The registered queries, and the same in DuckDB's SQL where SQL can say it."""
 
-from . import stats
+from . import retrieval, stats
 
-QUERIES = {**stats.QUERIES}
-ORACLES = {**stats.ORACLES}
+QUERIES = {**stats.QUERIES, **retrieval.QUERIES}
+ORACLES = {**stats.ORACLES, **retrieval.ORACLES}
