@@ -8,8 +8,8 @@ in a bin that equals the document's makes the two candidates. A hash is least in
 on, so an item is indexed once for all partitions. Items of under SHORT shingles, for which that might miss one in a million, are
 searched by all shingles of the documents. Candidates are verified on full shingle sets.
 
-A text of fewer words than a shingle is one shingle as a whole; null and blank texts have none and contain nothing.
-Equal texts are searched alike and verified once.
+A text of fewer words than a shingle is one shingle as a whole; null and blank texts have none and contain nothing. An item
+without an id is passed over. Equal texts are searched alike and verified once.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def _bits(p: Column) -> Column:
 
 def _index(items: DataFrame, n: int) -> DataFrame:
     """item, q (shingles), set, and for each hash h the least number of leading bits from which it is the least of its bin."""
-    s = items.select(F.col("item_id").alias("item"), F.array_distinct(shingles("text", n)).alias("set")).where(F.size("set") > 0).withColumn("q", F.size("set"))
+    s = items.select(F.col("item_id").alias("item"), F.array_distinct(shingles("text", n)).alias("set")).where((F.size("set") > 0) & F.col("item").isNotNull()).withColumn("q", F.size("set"))
     # The bits that a hash has in common with the one before it, which is the nearest: 64 less the length of their difference.
     return s.withColumn("from", F.transform("set", lambda x, i: F.when(i == 0, 0).otherwise(65 - F.length(F.bin(x.bitwiseXOR(F.get("set", i - 1)))))))
 

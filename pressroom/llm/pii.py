@@ -146,7 +146,7 @@ def find_pii(docs: DataFrame, masked: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["row", "spans", "masked"][: len(cols)])
 
     packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    shape = packed.select("row", F.expr("cast(null as array<struct<kind:string,start:bigint,end_:bigint>>)").alias("spans"), F.lit("").alias("masked"))
+    shape = packed.select("row", F.expr("cast(null as array<struct<kind:string,start:bigint,end_:bigint>>)").alias("spans"), F.lit(None).cast("string").alias("masked"))
     return packed.mapInArrow(of, (shape if masked else shape.drop("masked")).schema)
 
 
