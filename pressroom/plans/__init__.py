@@ -1,6 +1,6 @@
 """The registered queries, and the same in DuckDB's SQL where SQL can say it."""
 
-from . import ranking, retrieval, stats
+from . import ranking, retrieval, stats, streams
 
-QUERIES = {**stats.QUERIES, **retrieval.QUERIES, **ranking.QUERIES}
-ORACLES = {**stats.ORACLES, **retrieval.ORACLES, **ranking.ORACLES}
+QUERIES = {**stats.QUERIES, **retrieval.QUERIES, **ranking.QUERIES, **streams.QUERIES}
+ORACLES = {**stats.ORACLES, **retrieval.ORACLES, **ranking.ORACLES, **streams.ORACLES}

@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df once under spark.checkpoint.dir (a local folder where that is unset, as in tests) and reads it again: lineage ends there, and losing executors doesn't lose it."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new path under spark.checkpoint.dir; under a local folder where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="pressroom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df once to the shared folder and reads it again: lineage ends there, and losing executors doesn't lose it."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
