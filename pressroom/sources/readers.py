@@ -34,13 +34,13 @@ def _tokens(col: str) -> F.Column:
 
 
 def mind_behaviors(spark: SparkSession, path: str, raw_split: str) -> DataFrame:
-    """A shown token is an article id and, after its last hyphen, the label."""
+    """A shown token is an article id and, after its last hyphen, the label; null where there is none."""
     raw = _tsv(spark, path, MIND_BEHAVIORS)
     shown = _tokens("impressions")
     return raw.select(
         F.lit("mind").alias("dataset"), F.lit(raw_split).alias("raw_split"), "impression_id", "user_id", F.try_to_timestamp("time", F.lit("M/d/yyyy h:mm:ss a")).alias("time"),
         _tokens("history").alias("history"), F.lit(None).cast("array<double>").alias("history_read_time"), F.lit(None).cast("array<timestamp>").alias("history_impression_time"), F.lit(None).cast("string").alias("session_id"),
-        F.transform(shown, lambda x: F.regexp_extract(x, r"^(.*)-([^-]*)$", 1)).alias("candidates"), F.transform(shown, lambda x: F.regexp_extract(x, r"^(.*)-([^-]*)$", 2).cast("int")).alias("labels"),
+        F.transform(shown, lambda x: F.regexp_replace(x, "-[^-]*$", "")).alias("candidates"), F.transform(shown, lambda x: F.regexp_extract(x, "-([^-]*)$", 1).try_cast("int")).alias("labels"),
     )
 
 

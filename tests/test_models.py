@@ -1,0 +1,68 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from pressroom.functions.scalars import draw
+from pressroom.models import lambdamart, nrms
+from pressroom.operators.metrics import per_impression
+
+
+def _fixture(spark, n=120):
+    """A useful feature, a missing one, and a first stage that is near chance."""
+    rows = spark.range(n * 8).select((F.col("id") / 8).cast("long").alias("imp"), (F.col("id") % 8).cast("int").alias("row"))
+    u = lambda k: draw(k, F.col("imp"), F.col("row")) / float(1 << 32)
+    rows = rows.withColumn("a", u(1)).withColumn("b", F.when(u(2) > 0.3, u(3))).withColumn("stage1", u(4))
+    return rows.withColumn("label", (F.col("a") + 0.4 * F.coalesce("b", F.lit(0.0)) + 0.1 * u(5) > 1.0).cast("int"))
+
+
+def test_lambdamart_beats_the_first_stage(spark):
+    d = _fixture(spark)
+    model = lambdamart.fit(d.where("imp < 80"), ["a", "b", "stage1"], d.where("imp >= 80 and imp < 100"), rounds=4, depth=3, min_leaf=10)
+    test = d.where("imp >= 100")
+    mrr = lambda df, c: per_impression(df.select("imp", F.col("row").alias("pos"), F.col(c).alias("score"), "label")).agg(F.avg("mrr")).first()[0]
+    scored = model.transform(test)
+    assert scored.columns == [*test.columns, "score"]
+    assert mrr(scored, "score") > mrr(test, "stage1") + 0.1
+    assert model.importance()[0][0] == "a"
+
+
+def test_lambdas_against_pairs(spark):
+    s = np.array([0.3, 0.1, 0.4, 0.0])
+    y = [0, 1, 0, 1]
+    d = spark.createDataFrame([(1, k, y[k], float(s[k])) for k in range(4)], "imp long, row int, label int, score double")
+    got = {r.row: r.g for r in lambdamart.lambdas(d).collect()}
+    rank = {k: i + 1 for i, k in enumerate(np.argsort(-s))}
+    best = 1 + 1 / np.log2(3)
+    want = np.zeros(4)
+    for i in range(4):
+        for j in range(4):
+            if y[i] > y[j]:
+                g = abs(1 / np.log2(rank[i] + 1) - 1 / np.log2(rank[j] + 1)) / best / (1 + np.exp(s[i] - s[j]))
+                want[i] += g
+                want[j] -= g
+    assert np.allclose([got[k] for k in range(4)], want)
+
+
+def test_attention_numerics():
+    m = nrms.Weights.seeded(50)
+    t = np.array([[1, 2, 3, 0, 0], [4, 4, 4, 4, 4]])
+    v = nrms.encode_news(t, m)
+    assert v.shape == (2, 32) and np.isfinite(v).all()
+    one = nrms.self_attention(m.words[t[1:]], m.nq, m.nk, m.nv)
+    assert np.allclose(one[0, 0], one[0, 4])  # equal inputs, equal outputs
+    assert np.allclose(nrms.additive_attention(one, m.nw, m.nb, m.na)[0], one[0, 0], atol=1e-5)  # weights sum to 1
+    assert (nrms.freshness_logit(np.array([1.0, 2.0]), np.array([1.0, 0.0]), m) == 0).all()  # no effect before training
+
+
+def test_joined_scores_equal_direct_ones(spark, tmp_path):
+    m = nrms.Weights.seeded(50)
+    m.save(str(tmp_path / "w.npz"))
+    m = nrms.Weights.load(str(tmp_path / "w.npz"))
+    rng = np.random.default_rng(0)
+    tok = {c: rng.integers(0, 51, 6).tolist() for c in range(1, 9)}
+    imps = [(1, [0, 0, 3, 4], [1, 2, 5]), (2, [0, 0, 0, 0], [7])]
+    v = nrms.article_vectors(spark.createDataFrame(list(tok.items()), "code long, tokens array<int>"), m)
+    got = {(r.imp, r.pos): r.score for r in nrms.scores(spark.createDataFrame(imps, "imp long, history array<long>, candidates array<long>"), v, m).collect()}
+    enc = {0: nrms.encode_news(np.zeros((1, 6), dtype=int), m)[0], **{c: nrms.encode_news(np.array([t]), m)[0] for c, t in tok.items()}}
+    for i, h, c in imps:
+        u = nrms.encode_user(np.array([[enc[x] for x in h]]), m)[0]
+        assert np.allclose([got[i, k + 1] for k in range(len(c))], [u @ enc[x] for x in c], atol=5e-4)
