@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import content_key, draw, draw_sql
+from ..functions.scalars import content_key, draw_sql
 from ..functions.text import join_fields, join_stripped, tokens
 from ..functions.vectors import dot
-from ..operators import beyond, bm25, impressions, pool, semantic
+from ..operators import beyond, bm25, candidates, impressions, pool, semantic
 from ..sources import adapters as A
 from ..sources.adapters import ctes
 
@@ -135,8 +135,8 @@ def fresh_pool_backfill(spark, sf):
 
 def candidates_popular(spark, sf):
     """Impressions are views; used_fallback tells that the longer window was drawn on."""
-    long = _times(spark, sf).join(_ranked(spark, sf), "t").select(F.col("event_id").alias("q"), "art", "rank", "score", F.col("backfill").alias("used_fallback"))
-    return pool.wide(long, "used_fallback").select(F.col("q").alias("imp"), F.array_join(F.col("candidates").cast("array<string>"), " ").alias("candidates"), F.size("candidates").cast("bigint").alias("n"), "used_fallback")
+    out = candidates.build("popular", _times(spark, sf).withColumnRenamed("event_id", "q"), A.displays(spark, sf), K, 6)
+    return out.select(F.col("q").alias("imp"), F.array_join(F.col("candidates").cast("array<string>"), " ").alias("candidates"), F.size("candidates").cast("bigint").alias("n"), "used_fallback")
 
 
 def _bm25_found(spark, sf):
@@ -145,36 +145,29 @@ def _bm25_found(spark, sf):
     return bm25.top(bm25.score(index, q), K).select("q", F.col("doc").alias("art"), "rank", "score")
 
 
+def _users(spark, sf):
+    return A.orders(spark, sf).select(F.col("usr").alias("q")).distinct()
+
+
 def candidates_bm25(spark, sf):
-    users = A.orders(spark, sf).select(F.col("usr").alias("q")).distinct()
-    out = pool.padded(_bm25_found(spark, sf), users, A.shown(spark, sf), K)
+    index = bm25.build(_part_docs(spark, sf))
+    out = candidates.bm25(_users(spark, sf), _user_histories(spark, sf), A.catalogue(spark, sf), A.shown(spark, sf), index, K, keywords=4)
     return out.select(F.col("q").alias("usr"), "art", "rank", r6("score").alias("score"), "used_fallback")
 
 
 def candidates_semantic(spark, sf):
-    v, n = A.vectors(spark, sf), A.table(spark, sf, "embeddings").count()
+    n = A.table(spark, sf, "embeddings").count()
     h = _user_histories(spark, sf).where("size(history) > 0").select("q", F.transform("history", lambda x: F.pmod(x, F.lit(n))).alias("history"))
-    found = semantic.cosine_top(semantic.pooled(h, v, "mean"), v, K).withColumnRenamed("vec", "art")
-    users = A.orders(spark, sf).select(F.col("usr").alias("q")).distinct()
-    out = pool.padded(found, users, A.shown(spark, sf), K)
+    out = candidates.semantic_(_users(spark, sf), h, A.vectors(spark, sf), A.shown(spark, sf), K)
     return out.select(F.col("q").alias("usr"), "art", "rank", r6("score").alias("score"), "used_fallback")
 
 
 def candidates_bm25_fresh(spark, sf):
-    """The pool ranked by BM25 of the user's clicked articles, ties by draw, then the backfill; without a query, as in popular."""
-    index = bm25.build(_part_docs(spark, sf))
+    """The pool ranked by BM25 of the user's purchased articles, ties by draw, then the backfill; without a query, as in popular."""
     h = A.events(spark, sf).where("kind = 'purchase'").groupBy("usr").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "art"))), lambda x: x["art"]).alias("history")).withColumnRenamed("usr", "q")
-    q = bm25.query_terms(h, A.catalogue(spark, sf), "tfidf_keywords", 10, index, 4)
-    scores = bm25.score(index, q).select(F.col("q").alias("usr"), F.col("doc").alias("art"), "score")
-    views = A.events(spark, sf).where("kind = 'view'").select(F.col("event_id").alias("imp"), "usr", "t").join(q.select(F.col("q").alias("usr"), F.lit(True).alias("has")).distinct(), "usr", "left")
-    inside = views.join(pool.at_times(pool.segments(A.displays(spark, sf), 6, 24, 10), views.select("t").distinct()), "t").join(scores, ["usr", "art"], "left")
-    own = F.coalesce("has", F.lit(False))
-    tier = (F.col("shown") == 0).cast("int")
-    s = F.when(tier == 1, 0.0).when(own, F.coalesce("score", F.lit(0.0))).otherwise(F.col("clicked").cast("double"))
-    tie = F.when(tier == 1, -F.col("shown_back")).when(own, draw(0, F.col("imp"), F.col("art"))).otherwise(-F.col("shown"))
-    w = F.row_number().over(bm25.Window.partitionBy("imp").orderBy(tier, F.desc(s), tie, "art"))
-    out = inside.withColumn("s", s).withColumn("rank", w.cast("bigint")).where(F.col("rank") <= K)
-    return out.select("imp", "art", "rank", r6("s").alias("score"), (~own).alias("used_fallback"))
+    views = A.events(spark, sf).where("kind = 'view'").select(F.col("event_id").alias("q"), "usr", "t")
+    out = candidates.bm25_fresh(views, h, A.catalogue(spark, sf), A.displays(spark, sf), bm25.build(_part_docs(spark, sf)), K, keywords=4, hours=6)
+    return out.select(F.col("q").alias("imp"), "art", "rank", r6("score").alias("score"), "used_fallback")
 
 
 def candidates_long(spark, sf):

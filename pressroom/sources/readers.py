@@ -101,6 +101,11 @@ def ebnerd_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("article_id").cast("string").alias("article_id"), F.trim(F.concat_ws(" ", *texts)).alias("text"), F.unix_micros(F.col("published_time").cast("timestamp")).alias("published"))
 
 
+def count_rows(spark: SparkSession, path: str) -> int:
+    """Impressions of a parquet table (from its footers) or a text file."""
+    return spark.read.parquet(path).count() if ".parquet" in path else spark.read.text(path).count()
+
+
 def provided_embeddings(spark: SparkSession, path: str, articles: DataFrame) -> DataFrame:
     """article_id, embedding: of the catalogue's articles, of unit length. The vector is the first column that isn't article_id."""
     from ..functions.vectors import normalised
