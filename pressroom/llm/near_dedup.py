@@ -3,8 +3,8 @@
 A document's set of shingle hashes gives SYMBOLS MinHash values, each cut to 16 bits. Two signatures are near if they differ in
 DISTANCE symbols or fewer. They are cut into CHUNKS chunks; by the pigeonhole principle a near pair has a chunk in which
 it differs in one symbol at most. So each chunk is indexed once for each of its symbols left out, which enumerates the
-allowed error: every near pair meets under a key. At the link threshold a pair is near but for one case in 10**4 (0.8) or
-10**6 (0.85), and then it may still meet.
+allowed error: every near pair meets under a key. At the link threshold itself a pair isn't near in 3.3 of 10**6 cases (0.8) or
+1.3 of 10**8 (0.85), and then it may still meet.
 
 Under a key each document is tied to the least one, not to all, if the two signatures agree in LOOSE symbols at all; the
 components of these ties are families. A pair that is linked falls apart only if under each of some dozens of keys the least

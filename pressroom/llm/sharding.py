@@ -80,7 +80,7 @@ def shard(docs: DataFrame, shards: int, vnodes: int = VNODES, slack: float = 0.0
     # Rows equal in doc_id and text are alike, so which of them takes which turn doesn't show in the result.
     keyed = keyed.select("row", F.shiftrightunsigned("h", 64 - bits).cast("int").alias("arc"), "h", "c")
     load = np.zeros(ARCS, dtype=np.int64)
-    for r in keyed.groupBy("arc").count().toLocalIterator():
+    for r in keyed.groupBy("arc").count().collect():  # ARCS rows at most
         load[r["arc"]] = r["count"]
     plan = assign(load, shards, vnodes, slack)
     slots, rows, base = np.zeros(shards, dtype=np.int64), [], 0
