@@ -20,7 +20,7 @@ def _queries(histories, catalogue, index, method, window, keywords):
 
 def bm25(queries: DataFrame, histories: DataFrame, catalogue: DataFrame, displays: DataFrame, index: index_.Index, k: int = CANDIDATES_K, method: str = "tfidf_keywords", window: int | None = QUERY_WINDOW, keywords: int = KEYWORDS) -> DataFrame:
     """queries: q; histories: q, history. method "direct" is the older retriever."""
-    found = index_.top(index_.score(index, _queries(histories, catalogue, index, method, window, keywords)), k).select("q", F.col("doc").alias("art"), "rank", "score")
+    found = index_.top_of_distinct(index, _queries(histories, catalogue, index, method, window, keywords), k).select("q", F.col("doc").alias("art"), "rank", "score")
     return pool.padded(found, queries, displays, k)
 
 

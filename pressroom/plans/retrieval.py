@@ -142,7 +142,7 @@ def candidates_popular(spark, sf):
 def _bm25_found(spark, sf):
     index = bm25.build(_part_docs(spark, sf))
     q = bm25.query_terms(_user_histories(spark, sf), A.catalogue(spark, sf), "tfidf_keywords", 10, index, 4)
-    return bm25.top(bm25.score(index, q), K).select("q", F.col("doc").alias("art"), "rank", "score")
+    return bm25.top_of_distinct(index, q, K).select("q", F.col("doc").alias("art"), "rank", "score")
 
 
 def _users(spark, sf):
