@@ -163,9 +163,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, stat
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """row (the document as a struct, whatever its columns are called) and score. Null and empty texts are scored as such."""
 
+    at = docs.columns.index("text")  # the text goes to Python once, inside the row
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1).to_pylist()), pa.float64())], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(0).field(at).to_pylist()), pa.float64())], ["row", "score"])
 
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    return packed.mapInArrow(of, packed.select("row").withColumn("score", F.lit(0.0)).schema)
+    packed = docs.select(F.struct("*").alias("row"))
+    return packed.mapInArrow(of, packed.withColumn("score", F.lit(0.0)).schema)

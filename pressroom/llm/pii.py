@@ -134,18 +134,20 @@ def mask(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 def find_pii(docs: DataFrame, masked: bool = False) -> DataFrame:
     """row (the document as a struct), spans (array of kind, start, end_) and, if asked for, masked: the text without them."""
 
+    at = docs.columns.index("text")  # the text goes to Python once, inside the row
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end_", pa.int64())]))
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(0).field(at).to_pylist()
             found = [scan(t, machine) for t in texts]
             cols = [b.column(0), pa.array([[{"kind": k, "start": s, "end_": e} for k, s, e in x] for x in found], kind)]
             if masked:
                 cols.append(pa.array([mask(t, x) for t, x in zip(texts, found, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, ["row", "spans", "masked"][: len(cols)])
 
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    packed = docs.select(F.struct("*").alias("row"))
     shape = packed.select("row", F.expr("cast(null as array<struct<kind:string,start:bigint,end_:bigint>>)").alias("spans"), F.lit(None).cast("string").alias("masked"))
     return packed.mapInArrow(of, (shape if masked else shape.drop("masked")).schema)
 

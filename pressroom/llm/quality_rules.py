@@ -108,15 +108,17 @@ def fit_rules(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLA
 def judge(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """row, the base counts, base_failed, score and kept."""
 
+    at = docs.columns.index("text")  # the text goes to Python once, inside the row
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(0).field(at).to_pylist()
             cs = [counts(t)[0] for t in texts]
             s = trees.scores(np.array([ratios(t, c) for t, c in zip(texts, cs, strict=True)]).reshape(len(cs), len(RATIOS)))
             failed = np.array([c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"] for c in cs], dtype=bool)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([c[k] for c in cs], pa.int64()) for k in BASE), pa.array(failed, pa.bool_()), pa.array(s, pa.float64()), pa.array(~failed & (s >= threshold), pa.bool_())], ["row", *BASE, "base_failed", "score", "kept"])
 
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    packed = docs.select(F.struct("*").alias("row"))
     shape = packed.select("row", *(F.lit(0).cast("long").alias(k) for k in BASE), F.lit(True).alias("base_failed"), F.lit(0.0).alias("score"), F.lit(True).alias("kept")).schema
     return packed.mapInArrow(of, shape)
 
