@@ -2,15 +2,17 @@
 
 S(w | v) = c(v w) / c(v) if c(v w) >= MIN_COUNT, else BACKOFF * c(w) / N; a text's first word is scored by c(w) / N. The
 score of a document is the mean of ln S over its words. Words are those between blanks, lower-cased A-Z. The vocabulary is
-every word with a share of 1 / VOCABULARY of the corpus and MIN_COUNT occurrences or more; all others are one unknown word. So it has
-VOCABULARY words at most however large the corpus is: a bound by which the unigram table may be broadcast.
+every word of MIN_COUNT occurrences or more, however many there are; the others, which occur once, are one unknown word.
 
-Bigrams grow with the corpus and are never broadcast nor gathered. Each task counts a document's bigrams and sends them, hashed
-to a partition and packed (bigram, document, times), through one exchange: there the partition's count table is made, joined to
-the very rows it was made from, and the logarithms summed by document; a second exchange adds up the partial sums. A
-bigram with a share of 1 / HOT of the corpus would be much of a partition; there are HOT such bigrams at most, counted
-beforehand with the counts combined before the shuffle, broadcast, and scored where they are read. Partial sums are
-packed as well; each stands for one bigram sent at least, so there are never more of them than bigrams.
+Words are 64-bit hashes. No table that grows with the corpus is broadcast or gathered. A word that occurs once is in one
+document, which the count table names; such words are joined to their documents, and there they become the unknown word.
+Each task then sends its documents' bigrams, packed (first word, second word, document, times), to the partition of the first
+word: that partition has c(v) and c(v w) whole. What has to back off goes on to the partition of the second word, where c(w) is;
+another exchange adds up the sums by document.
+
+Words with a share of 1 / HOT of the corpus would be much of a partition; there are HOT such words at most, whose
+counts are broadcast and whose bigrams are dealt by both words. Bigrams of that share have two such words; they are counted
+beforehand with the counts combined before the shuffle, broadcast, and scored where they are read.
 
 Null and blank texts have no words and a null score. Rows equal in doc_id are scored each by itself.
 """
@@ -18,205 +20,356 @@ Null and blank texts have no words and a null score. Rows equal in doc_id are sc
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix, partitions, read
+from .common import lower_ascii, materialize, mix, partitions, read, shared_folder
 
+#: VOCABULARY is a bound of OP10_SQL only. A word below MIN_COUNT (2) is in one document, on which _words and marked rely.
 MIN_COUNT, BACKOFF, VOCABULARY, HOT = 2, 0.4, 1 << 16, 4096
 #: Bigrams that a task packs before it sends them on: bounds its memory and sets the size of a parcel.
 HELD = 4_000_000
+#: Numbers of the unknown word, and of what stands beside a text's first and last word.
+UNKNOWN, FIRST, LAST = 0, 1, 2
+#: Kinds of rows that are exchanged: a document, and parcels of bigrams, sums, second words, counts.
+DOC, GRAMS, SUMS, SECOND, COUNTS = range(5)
+SHAPE = "p int, kind int, uid long, doc_id long, n long, s double, body binary"
 
 
 def tokens(text: str | None) -> list[bytes]:
     return lower_ascii(text.encode("utf-8", "surrogatepass")).split() if text else []
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    pack = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["w", "c"])
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            seen.update(tokens(t))
-            if len(seen) > 400_000:
-                yield pack()
-                seen.clear()
-    yield pack()
+class Codes(dict):
+    """Words to numbers as they come, and the words' hashes by number. The first three can't be words."""
+
+    def __init__(self):
+        self.hashes: list[int] = []
+        for w in (b"", b" ", b"\n"):
+            self[w]
 
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
-def unigrams(docs: DataFrame) -> tuple[dict[bytes, int], int]:
-    """Counts of the vocabulary, which is bounded, and N, the words of the corpus."""
-    from .common import materialize
+        self[word] = k = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return k
 
-    counts = materialize(docs.select(F.col("text").alias("x")).mapInArrow(_words, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")))
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    least = max(MIN_COUNT, -(-total // VOCABULARY))
-    return {bytes(r.w): r.c for r in counts.where(F.col("c") >= least).collect()}, total
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint32, count=len(words))
 
+    def array(self) -> np.ndarray:
+        return np.array(self.hashes, dtype=np.uint64)
 
-def _coded(words: list[bytes], code) -> np.ndarray:
-    """Codes of the words, 0 for the unknown one."""
-    return np.fromiter((code(w, 0) for w in words), dtype=np.uint32, count=len(words))
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, text to word, count, key of a document that has it."""
+    codes, counts, keys = Codes(), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def pack() -> pa.RecordBatch:
+        k = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays([pa.array(codes.array()[k].view(np.int64)), pa.array(counts[k]), pa.array(keys[k])], ["w", "c", "key"])
+
+    for b in batches:
+        for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            c = codes.of(tokens(t))
+            if len(codes) > len(counts):
+                more = np.zeros(len(codes), dtype=np.int64)
+                counts, keys = np.concatenate([counts, more]), np.concatenate([keys, more])
+            np.add.at(counts, c, 1)
+            keys[c] = key
+            if len(codes) > 400_000:
+                yield pack()
+                codes, counts, keys = Codes(), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    yield pack()
 
-def hot_bigrams(docs: DataFrame, code: dict[bytes, int], counts: np.ndarray, total: int) -> dict[int, int]:
-    """Counts of the bigrams with a share of 1 / HOT of the corpus. Both words have that share, too, so few pairs are counted."""
+
+def marked(docs: DataFrame) -> tuple[DataFrame, dict[int, int], int]:
+    """doc_id, text and rare (the text's words that are in no other place); counts of the words with a share of 1 / HOT of the corpus; N, the words of the corpus."""
+    own = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("d"), F.col("text").alias("x"))
+    counts = materialize(own.select("key", "x").mapInArrow(_words, "w long, c long, key long").groupBy("w").agg(F.sum("c").alias("c"), F.max("key").alias("key")))
+    rare = F.col("c") < MIN_COUNT
+    total, unknown = counts.agg(F.sum("c"), F.sum(F.when(rare, F.col("c")))).first()
+    least = max(MIN_COUNT, (total or 0) // HOT)
+    hot = {r.w % (1 << 64): r.c for r in counts.where(F.col("c") >= least).orderBy(F.desc("c")).limit(HOT).select("w", "c").collect()}
+    if (unknown or 0) >= least:
+        hot[Codes().hashes[UNKNOWN]] = unknown
+    lists = counts.where(rare).groupBy("key").agg(F.collect_list("w").alias("rare"))
+    path = shared_folder(docs.sparkSession)
+    out = own.join(lists, "key", "left").select("d", "x", "rare")
+    out.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path), hot, total or 0
+
+
+def _coded(texts: list, rare: pa.Array, codes: Codes) -> list[np.ndarray]:
+    """Numbers of each text's words, UNKNOWN for the rare ones."""
+    out = [codes.of(tokens(t)) for t in texts]
+    bad = np.isin(codes.array(), rare.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+    for c in out:
+        c[bad[c]] = UNKNOWN
+    return out
+
+
+def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
+    i = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return i, table[i] == x
+
+
+def hot_bigrams(docs: DataFrame, hot: np.ndarray, total: int) -> dict[int, int]:
+    """Counts of the bigrams with a share of 1 / HOT of the corpus, by the words' places in hot (first << 32 | second). Both words have that share, too."""
     least = max(MIN_COUNT, total // HOT)
-    often = counts >= least
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = code.get
         for b in batches:
-            parts = [np.zeros(0, dtype=np.uint32)]
-            for t in b.column(0).to_pylist():
-                c = _coded(tokens(t), get)
+            codes, parts = Codes(), [np.zeros(0, dtype=np.int64)]
+            coded = _coded(b.column(0).to_pylist(), b.column(1), codes)
+            at, often = _find(hot, codes.array())
+            for c in coded:
                 both = often[c[:-1]] & often[c[1:]]
-                parts.append(((c[:-1] << np.uint32(16)) | c[1:])[both])
+                parts.append((at[c[:-1]] << 32 | at[c[1:]])[both])
             u, k = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(k.astype(np.int64))], ["g", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(k.astype(np.int64))], ["g", "c"])
+
+    out = docs.select("x", "rare").mapInArrow(of, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    return {r.g: r.c for r in out.orderBy(F.desc("c")).limit(HOT).collect()}
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte: the high bytes are mostly 0, which the exchange compresses well."""
+    return np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(body: bytes, m: int, offset: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, dtype=np.uint8, count=4 * m, offset=offset).reshape(4, m).T).view("<u4").ravel()
+
+
+def _packed(words: list[np.ndarray], doc: np.ndarray, k: np.ndarray) -> bytes:
+    """Columns of hashes (as tables and places in them), documents in order (as steps) and times."""
+    out = [np.array([len(doc)], dtype="<u4").tobytes()]
+    for w in words:
+        table, at = np.unique(w, return_inverse=True)
+        out += [np.array([len(table)], dtype="<u4").tobytes(), table.tobytes(), _planes(at)]
+    return b"".join([*out, _planes(np.diff(doc, prepend=doc[:1])), _planes(k)])
+
+
+def _unpacked(body: bytes, columns: int, start: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    m, at, words = int(np.frombuffer(body, "<u4", 1)[0]), 4, []
+    for _ in range(columns):
+        n = int(np.frombuffer(body, "<u4", 1, at)[0])
+        words.append(np.frombuffer(body, "<u8", n, at + 4)[_unplaned(body, m, at + 4 + 8 * n)])
+        at += 4 + 8 * n + 4 * m
+    return words, start + np.cumsum(_unplaned(body, m, at), dtype=np.int64), _unplaned(body, m, at + 4 * m).astype(np.float64)
+
 
-    out = docs.select(F.col("text").alias("x")).mapInArrow(of, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    return {r.g: r.c for r in out.collect()}
+def _packed_far(w: np.ndarray, doc: np.ndarray, k: np.ndarray) -> bytes:
+    """As _packed for one column, with documents of any tasks: each document once, by its number, and a place for each row."""
+    uid, at = np.unique(doc, return_inverse=True)
+    return np.array([len(uid)], dtype="<u4").tobytes() + uid.tobytes() + _packed([w], at, k)
+
+
+def _unpacked_far(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(body, "<u4", 1)[0])
+    (w,), at, k = _unpacked(body[4 + 8 * n :], 1, 0)
+    return w, np.frombuffer(body, "<i8", n, 4)[at], k
+
+
+def _rows(kind: int, to: list, bodies: list, starts: list | None = None) -> pa.RecordBatch:
+    m = len(to)
+    bodies = [np.array([len(x)], dtype="<i8").tobytes() + pa.compress(x, codec="zstd", asbytes=True) for x in bodies]
+    cols = [pa.array(to, pa.int32()), pa.array([kind] * m, pa.int32()), pa.array(starts or [0] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.array(bodies, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["p", "kind", "uid", "doc_id", "n", "s", "body"])
+
+
+def _dealt(p: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order by partition, and (partition, from, to) in it."""
+    order = np.argsort(p, kind="stable")
+    ends = np.searchsorted(p[order], np.arange(parts + 1))
+    return order, [(x, int(ends[x]), int(ends[x + 1])) for x in range(parts) if ends[x] < ends[x + 1]]
+
+
+def _home(w: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(w) % np.uint64(parts)).astype(np.int64)
+
+
+def _sums(doc: np.ndarray, value: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Parcels of each document's sum, to the documents' partitions."""
+    uid, where = np.unique(doc, return_inverse=True)
+    s = np.bincount(where, weights=value, minlength=len(uid))
+    order, cuts = _dealt(uid % parts, parts)
+    uid, s = uid[order], s[order]
+    return _rows(SUMS, [x for x, _, _ in cuts], [uid[i:j].tobytes() + s[i:j].tobytes() for _, i, j in cuts])
+
+
+def _added(base: list[pa.RecordBatch], sums: list[bytes]) -> pa.Table | None:
+    """A partition's documents with the sums sent for them."""
+    if not base:
+        return None
+    t = pa.Table.from_batches(base).combine_chunks()
+    uid, s = t.column("uid").to_numpy(), t.column("s").to_numpy().copy()
+    order = np.argsort(uid)
+    for x in sums:
+        m = len(x) // 16
+        s[order[np.searchsorted(uid, np.frombuffer(x, dtype="<i8", count=m), sorter=order)]] += np.frombuffer(x, dtype="<f8", count=m, offset=8 * m)
+    return t.set_column(t.schema.get_field_index("s"), "s", pa.array(s))
+
+
+def _sorted_in(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], dict[int, list[tuple[int, bytes]]]]:
+    """Documents, and (start, body) of the parcels by kind."""
+    base, parcels = [], {k: [] for k in (GRAMS, SUMS, SECOND, COUNTS)}
+    for b in batches:
+        doc = pc.equal(b.column(1), DOC)
+        base.append(b.filter(doc))
+        rest = b.filter(pc.invert(doc))
+        for k, start, x in zip(rest.column(1).to_pylist(), rest.column(2).to_pylist(), rest.column(6).to_pylist(), strict=True):
+            parcels[k].append((start, pa.decompress(memoryview(x)[8:], decompressed_size=int(np.frombuffer(x, "<i8", 1)[0]), codec="zstd", asbytes=True)))
+    return base, parcels
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, total (the sum of ln S; null without words)."""
     spark = docs.sparkSession
-    vocabulary, n = unigrams(docs)
-    words = sorted(vocabulary, key=lambda w: (-vocabulary[w], w))[: VOCABULARY - 1]  # code 0 is the unknown word
-    code = {w: k + 1 for k, w in enumerate(words)}
-    counts = np.array([n - sum(vocabulary[w] for w in words), *(vocabulary[w] for w in words)], dtype=np.int64)
-    hot = hot_bigrams(docs, code, counts, n)
-    hot_codes = np.array(sorted(hot), dtype=np.uint32)
-    log_uni = np.log(np.maximum(counts, 1)).astype(np.float64)
-    log_hot = np.log(np.array([hot[int(c)] for c in hot_codes], dtype=np.float64)) - log_uni[hot_codes >> 16]
-    shared = spark.sparkContext.broadcast((code, log_uni, hot_codes, log_hot))
-    parts, floor = partitions(spark), math.log(BACKOFF) - math.log(max(n, 1))
+    own, hot, n = marked(docs)
+    hot_words = np.array(sorted(hot), dtype=np.uint64)
+    log_hot = np.log(np.array([hot[int(w)] for w in hot_words], dtype=np.float64))
+    pairs = hot_bigrams(own, hot_words, n)
+    hot_pairs = np.array(sorted(pairs), dtype=np.int64)
+    log_pairs = np.log(np.array([pairs[int(g)] for g in hot_pairs], dtype=np.float64)) - log_hot[hot_pairs >> 32]
+    parts, log_n = partitions(spark), math.log(max(n, 1))
+    floor = math.log(BACKOFF) - log_n
+    first_hash, last_hash = (np.uint64(Codes().hashes[k]) for k in (FIRST, LAST))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """To each partition: a base row for a document, and parcels of bigrams with the documents' numbers."""
+        """To each partition: a row for a document, and parcels of bigrams with the documents' numbers."""
         from pyspark import TaskContext
 
-        code, log_uni, hot_codes, log_hot = shared.value
-        get, first, at = code.get, TaskContext.get().partitionId() << 40, 0
-        grams: list[np.ndarray] = []
-        owners: list[int] = []
-        times: list[np.ndarray] = []
-        held = 0
-
-        def parcels(start: int) -> pa.RecordBatch:
-            g, k = np.concatenate(grams), np.concatenate(times)
-            doc = np.repeat(np.array(owners, dtype=np.uint32), [len(x) for x in grams])
-            p = (mix(g) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(p, kind="stable")
-            g, k, doc, p = g[order], np.minimum(k[order], 0xFFFFFFFF).astype(np.uint32), doc[order], p[order]
-            ends = np.searchsorted(p, np.arange(parts + 1))
-            rows = [x for x in range(parts) if ends[x] < ends[x + 1]]
-            cut = lambda x: (ends[x], ends[x + 1])
-            body = []
-            for x in rows:
-                i, j = cut(x)
-                # Documents are in order: steps are small numbers, which the exchange compresses well.
-                body.append(g[i:j].tobytes() + np.diff(doc[i:j], prepend=np.uint32(0)).astype("<u4").tobytes() + k[i:j].tobytes())
-            m = len(rows)
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([start] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.array(body, pa.binary())], ["p", "uid", "doc_id", "n", "s", "body"])
-
-        since = 0
+        first, at, since = TaskContext.get().partitionId() << 40, 0, 0
+        codes, held, grams, owners, times = Codes(), 0, [], [], []
+
+        def parcels() -> pa.RecordBatch:
+            h, g, doc, k = codes.array(), np.concatenate(grams), np.concatenate(owners), np.concatenate(times)
+            often = _find(hot_words, h)[1]
+            v, w = g >> np.uint64(32), g & np.uint64(0xFFFFFFFF)
+            p = _home(h, parts)[v]
+            both = np.flatnonzero(often[v])
+            p[both] = _home(h[v[both]] * np.uint64(3) + h[w[both]], parts)
+            order, cuts = _dealt(p, parts)
+            bodies = []
+            for _, i, j in cuts:
+                own = order[i:j]
+                bodies.append(_packed([h[v[own]], h[w[own]]], doc[own], k[own]))
+            starts = [first + since + int(doc[order[i]]) for _, i, _ in cuts]
+            return _rows(GRAMS, [x for x, _, _ in cuts], bodies, starts)
+
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            n_words, sums = [], []
-            for t in texts:
-                c = _coded(tokens(t), get)
-                s = 0.0
-                if len(c):
-                    s = log_uni[c[0]] - (floor_n)
-                if len(c) > 1:
-                    u, k = np.unique((c[:-1] << np.uint32(16)) | c[1:], return_counts=True)
-                    if len(hot_codes):
-                        i = np.minimum(np.searchsorted(hot_codes, u), len(hot_codes) - 1)
-                        yes = hot_codes[i] == u
-                        s += float((log_hot[i[yes]] * k[yes]).sum())
-                        u, k = u[~yes], k[~yes]
-                    grams.append(u)
-                    times.append(k)
-                    owners.append(at - since)
-                    held += len(u)
-                n_words.append(len(c))
-                sums.append(s)
-                at += 1
-            m = len(texts)
+            coded = _coded(b.column(1).to_pylist(), b.column(2), codes)
+            place, often = _find(hot_words, codes.array())
+            m = len(coded)
+            sums = np.zeros(m)
+            for x, c in enumerate(coded):
+                if not len(c):
+                    continue
+                u, k = np.unique((c[:-1].astype(np.uint64) << np.uint64(32)) | c[1:], return_counts=True)
+                v, w = (u >> np.uint64(32)).astype(np.int64), (u & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                i, yes = _find(hot_pairs, place[v] << 32 | place[w])
+                yes &= often[v] & often[w]
+                if yes.any():
+                    sums[x] += float((log_pairs[i[yes]] * k[yes]).sum())
+                    u, k = u[~yes], k[~yes]
+                ends = []
+                if often[c[0]]:
+                    sums[x] += log_hot[place[c[0]]] - log_n
+                else:
+                    ends.append(int(c[0]) << 32 | FIRST)
+                if not often[c[-1]]:
+                    ends.append(int(c[-1]) << 32 | LAST)
+                grams.append(np.concatenate([u, np.array(ends, dtype=np.uint64)]))
+                times.append(np.concatenate([k, np.ones(len(ends), dtype=k.dtype)]).astype(np.uint32))
+                owners.append(np.full(len(grams[-1]), at - since + x, dtype=np.uint32))
+                held += len(grams[-1])
+            at += m
             uid = np.arange(at - m, at, dtype=np.int64) + first
-            yield pa.RecordBatch.from_arrays([pa.array((uid % parts).astype(np.int32)), pa.array(uid), ids, pa.array(n_words, pa.int64()), pa.array(sums, pa.float64()), pa.nulls(m, pa.binary())], ["p", "uid", "doc_id", "n", "s", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array((uid % parts).astype(np.int32)), pa.array([DOC] * m, pa.int32()), pa.array(uid), b.column(0), pa.array([len(c) for c in coded], pa.int64()), pa.array(sums), pa.nulls(m, pa.binary())], ["p", "kind", "uid", "doc_id", "n", "s", "body"])
             if held >= HELD:
-                yield parcels(first + since)
-                grams, owners, times, held, since = [], [], [], 0, at
-        if grams:
-            yield parcels(first + since)
-
-    floor_n = math.log(max(n, 1))
-
-    names = ["p", "uid", "doc_id", "n", "s", "body"]
+                yield parcels()
+                codes, held, grams, owners, times, since = Codes(), 0, [], [], [], at
+        if held:
+            yield parcels()
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All rows of a partition: base rows as they are, then parcels of each document's sum over its bigrams of this partition."""
-        _, log_uni, _, _ = shared.value
-        grams, docs_, times = [], [], []
-        for b in batches:
-            body = b.column(5)
-            yield b.filter(body.is_null())
-            for start, x in zip(b.column(1).filter(body.is_valid()).to_pylist(), body.drop_null().to_pylist(), strict=True):
-                m = len(x) // 12
-                grams.append(np.frombuffer(x, dtype="<u4", count=m))
-                docs_.append(start + np.cumsum(np.frombuffer(x, dtype="<u4", count=m, offset=4 * m).astype(np.int64)))
-                times.append(np.frombuffer(x, dtype="<u4", count=m, offset=8 * m))
-        if not grams:
+        """Scores bigrams of MIN_COUNT or more and first words; sends on the other bigrams' second words, and the counts of this partition's words."""
+        base, got = _sorted_in(batches)
+        yield from base
+        if not got[GRAMS]:
+            return
+        cols = []
+        for start, x in got.pop(GRAMS):
+            (v, w), doc, k = _unpacked(x, 2, start)
+            cols.append((v, w, doc, k))
+        v, w, doc, k = (np.concatenate(c) for c in zip(*cols, strict=True))
+        del cols
+        order = np.argsort(doc, kind="stable")
+        v, w, doc, k = v[order], w[order], doc[order], k[order]
+        begins, ends = w == first_hash, w == last_hash
+        words, at = np.unique(v, return_inverse=True)
+        count = np.bincount(at, weights=np.where(begins, 0.0, k))
+        place, often = _find(hot_words, words)
+        log_v = np.log(np.maximum(count, 1))
+        log_v[often] = log_hot[place[often]]
+        cold = ~often
+        order, cuts = _dealt(_home(words[cold], parts), parts)
+        own_w, own_c = words[cold][order], count[cold][order]
+        yield _rows(COUNTS, [x for x, _, _ in cuts], [own_w[i:j].tobytes() + own_c[i:j].tobytes() for _, i, j in cuts])
+        _, which = np.unique(mix(v) * np.uint64(3) + w, return_inverse=True)  # the count table of this partition
+        c = np.bincount(which, weights=k)[which]
+        place, often = _find(hot_words, w)
+        real = ~(begins | ends)
+        whole = real & (c >= MIN_COUNT)
+        value = np.zeros(len(v))
+        value[begins] = log_v[at[begins]] - log_n
+        value[whole] = np.log(c[whole]) - log_v[at[whole]]
+        back = real & ~whole
+        known = back & often
+        value[known] = floor + log_hot[place[known]]
+        yield _sums(doc, value * k, parts)
+        rest = np.flatnonzero(back & ~often)
+        order, cuts = _dealt(_home(w[rest], parts), parts)
+        rest = rest[order]
+        yield _rows(SECOND, [x for x, _, _ in cuts], [_packed_far(w[rest[i:j]], doc[rest[i:j]], k[rest[i:j]]) for _, i, j in cuts])
+
+    def back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, got = _sorted_in(batches)
+        t = _added(base, [x for _, x in got.pop(SUMS)])
+        if t is not None:
+            yield from t.to_batches()
+        if not got[SECOND]:
             return
-        g, doc, k = np.concatenate(grams), np.concatenate(docs_), np.concatenate(times).astype(np.float64)
-        del grams, docs_, times
-        table, where = np.unique(g, return_inverse=True)  # the count table of this partition
-        count = np.bincount(where, weights=k)
-        log = np.where(count >= MIN_COUNT, np.log(count) - log_uni[table >> 16], floor + log_uni[table & 0xFFFF])
-        value = log[where] * k
-        uid, where = np.unique(doc, return_inverse=True)
-        s = np.bincount(where, weights=value)
-        to = uid % parts
-        order = np.argsort(to, kind="stable")
-        uid, s, to = uid[order], s[order], to[order]
-        ends = np.searchsorted(to, np.arange(parts + 1))
-        rows = [x for x in range(parts) if ends[x] < ends[x + 1]]
-        m = len(rows)
-        packed = [uid[ends[x] : ends[x + 1]].tobytes() + s[ends[x] : ends[x + 1]].tobytes() for x in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.array(packed, pa.binary())], names)
+        halves = [(np.frombuffer(x, "<u8", len(x) // 16), np.frombuffer(x, "<f8", offset=len(x) // 2)) for _, x in got.pop(COUNTS)]
+        words, count = (np.concatenate(c) for c in zip(*halves, strict=True))
+        order = np.argsort(words)
+        words, log_w = words[order], np.log(np.maximum(count[order], 1))
+        cols = [_unpacked_far(x) for _, x in got.pop(SECOND)]
+        w, doc, k = (np.concatenate(c) for c in zip(*cols, strict=True))
+        yield _sums(doc, (floor + log_w[np.searchsorted(words, w)]) * k, parts)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition's documents with the sums that any partition has sent for them."""
-        base, sums = [], []
-        for b in batches:
-            body = b.column(5)
-            base.append(b.filter(body.is_null()).select([1, 2, 3, 4]))
-            sums += body.drop_null().to_pylist()
-        if not base:
+        base, got = _sorted_in(batches)
+        t = _added(base, [x for _, x in got[SUMS]])
+        if t is None:
             return
-        t = pa.Table.from_batches(base).combine_chunks()
-        uid = t.column(0).to_numpy()
-        order = np.argsort(uid)
-        total = t.column(3).to_numpy().copy()
-        for x in sums:
-            m = len(x) // 16
-            at = order[np.searchsorted(uid, np.frombuffer(x, dtype="<i8", count=m), sorter=order)]
-            total[at] += np.frombuffer(x, dtype="<f8", count=m, offset=8 * m)
-        n = t.column(2)
-        yield from pa.table({"doc_id": t.column(1), "n_tokens": n, "total": pa.array(total, pa.float64(), mask=n.to_numpy() == 0)}).to_batches(max_chunksize=65_536)
-
-    own = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("x"))
-    shape = "p int, uid long, doc_id long, n long, s double, body binary"
-    found = own.mapInArrow(pack, shape).repartitionById(parts, F.col("p")).mapInArrow(resolve, shape)
-    return found.repartitionById(parts, F.col("p")).mapInArrow(add_up, "doc_id long, n_tokens long, total double")
+        n = t.column("n")
+        yield from pa.table({"doc_id": t.column("doc_id"), "n_tokens": n, "total": pa.array(t.column("s").to_numpy(), pa.float64(), mask=n.to_numpy() == 0)}).to_batches(max_chunksize=65_536)
+
+    deal = lambda df: df.repartitionById(parts, F.col("p"))
+    found = deal(own.mapInArrow(pack, SHAPE)).mapInArrow(resolve, SHAPE)
+    return deal(deal(found).mapInArrow(back_off, SHAPE)).mapInArrow(add_up, "doc_id long, n_tokens long, total double")
 
 
 def op10_lm_scoring(spark, sf_dir):

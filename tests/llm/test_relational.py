@@ -256,3 +256,15 @@ def test_lm_sql_and_odd_rows(spark):
     out = lm_scoring.score(frame(spark)).collect()
     assert len(out) == frame(spark).count() and sum(r.total is None for r in out) == 4
     assert lm_scoring.score(frame(spark, [])).count() == 0
+
+
+def test_lm_counts_rare_words(spark, monkeypatch):
+    """Words and bigrams seen twice count however large the corpus is beside VOCABULARY; with few hot words and with many."""
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, rng.randrange(1, 80), 400)) for _ in range(80)] + [f"once{k} rare{k // 2} pair{k // 2} w1" for k in range(40)]
+    want = brute_lm(texts)
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 16)
+    for hot in (8, 4096):
+        monkeypatch.setattr(lm_scoring, "HOT", hot)
+        got = {r.doc_id: r.total for r in lm_scoring.score(docs(spark, texts)).collect()}
+        assert np.allclose([got[k] for k in range(len(texts))], want)
