@@ -55,3 +55,25 @@ def test_text_and_odd_rows(spark):
     assert len(same) == 3 and len({r["row"]["text"] for r in same}) == 1  # rows alike are one document
     assert [r["row"]["text"] for r in got.collect() if r["row"]["doc_id"] == 6] == [""]
     assert dedup_lines(frame(spark, [])).count() == 0
+
+
+def test_passages_inside_lines(spark):
+    """All words of later copies of RUN_WORDS words go and no others, wherever lines begin and end."""
+    rng = random.Random(9)
+    passages = [words(rng, n, 10**6) for n in (49, 50, 51, 80, 200)]
+    texts = []
+    for k in range(30):
+        w = [x for _ in range(3) for x in (*words(rng, rng.randrange(1, 30), 10**6), *rng.choice(passages))]
+        texts.append("".join(x + rng.choice([" ", " ", "  ", "\n", "\t"]) for x in w))
+    seen, want = set(), []
+    for t in texts:
+        w, off = t.split(), set()
+        for i in range(len(w) - RUN_WORDS + 1):
+            run = tuple(w[i : i + RUN_WORDS])
+            if run in seen:
+                off |= set(range(i, i + RUN_WORDS))
+            seen.add(run)
+        want.append([x for i, x in enumerate(w) if i not in off])
+    got = dedup_lines(docs(spark, texts)).orderBy("row.doc_id").collect()
+    assert [r["row"]["text"].split() for r in got] == want
+    assert sum(map(len, want)) < sum(len(t.split()) for t in texts) / 2
