@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions.scalars import draw_sql
 from ..operators import beyond, codec, features, impressions, metrics, sampling, stats
 from ..schemas import FEATURES
@@ -219,7 +220,7 @@ def nrms_scores(spark, sf):
 
     vocabulary = 5000
     codes = codec.codec(A.catalogue(spark, sf).select("art"))
-    tokens = codec.encode(codec.token_codes(A.catalogue(spark, sf), 6, vocabulary), codes).select("code", "tokens")
+    tokens = codec.encode(codec.token_codes(A.catalogue(spark, sf), config.TITLE_TOKENS, vocabulary), codes).select("code", "tokens")
     w = nrms.Weights.seeded(vocabulary)
     v = nrms.article_vectors(tokens, w)
     from ..functions.scalars import padded
@@ -227,7 +228,7 @@ def nrms_scores(spark, sf):
     h = codec.encode(A.histories(spark, sf).select("imp", F.posexplode_outer("history").alias("i", "h")).select("imp", "i", F.col("h.art").alias("art")), codes)
     h = h.groupBy("imp").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", F.col("code").cast("int").alias("c"))))), lambda x: x["c"]).alias("h"))
     c = codec.encode(A.shown(spark, sf).select("imp", "pos", "art"), codes).groupBy("imp").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col("code").cast("int").alias("c")))), lambda x: x["c"]).alias("candidates"))
-    return nrms.scores(h.select("imp", padded(F.col("h"), 8).alias("history")).join(c, "imp"), v, w).select("imp", "pos", "code", r6("score").alias("score"))
+    return nrms.scores(h.select("imp", padded(F.col("h"), config.HISTORY_LENGTH).alias("history")).join(c, "imp"), v, w).select("imp", "pos", "code", r6("score").alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -66,3 +66,16 @@ def test_joined_scores_equal_direct_ones(spark, tmp_path):
     for i, h, c in imps:
         u = nrms.encode_user(np.array([[enc[x] for x in h]]), m)[0]
         assert np.allclose([got[i, k + 1] for k in range(len(c))], [u @ enc[x] for x in c], atol=5e-4)
+
+
+def test_registered_ranker_has_whole_inputs(spark, monkeypatch):
+    """nrms_scores reads HISTORY_LENGTH clicks and TITLE_TOKENS words."""
+    from pressroom import config
+    from pressroom.plans import QUERIES
+
+    seen = {}
+    vectors, scores = nrms.article_vectors, nrms.scores
+    monkeypatch.setattr(nrms, "article_vectors", lambda t, w: seen.update(title=len(t.first()["tokens"])) or vectors(t, w))
+    monkeypatch.setattr(nrms, "scores", lambda i, v, w: seen.update(history=len(i.first()["history"])) or scores(i, v, w))
+    QUERIES["nrms_scores"](spark, "/root/testdata/sf0.001")
+    assert seen == {"title": config.TITLE_TOKENS, "history": config.HISTORY_LENGTH}
