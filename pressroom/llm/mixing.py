@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import materialize, read, small_or_same
 
 TEMPERATURE, SEED = 0.7, "mix-1"
+#: Rates beyond which exp(-rate) comes near the least double. OP7_SQL has no such branch.
+LARGE = 700
 
 
 def unit(*parts: Column) -> Column:
@@ -24,7 +26,7 @@ def unit(*parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, total: int | None = None) -> DataFrame:
-    """source, n, rate and cdf: the Poisson distribution function at 0, 1, ... to where it is 1 but for rounding. total: rows wanted, as many as there are by default."""
+    """source, n, rate, least and cdf: the Poisson distribution function at least, least + 1, ... to where it is 1 but for rounding; least is 0 up to LARGE, then 10 deviations below the rate. total: rows wanted, as many as there are by default."""
     n = docs.groupBy(F.col("source").cast("string").alias("s")).agg(F.count("*").alias("n"))
     if weights is None:
         n = n.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
@@ -36,11 +38,16 @@ def rates(docs: DataFrame, weights: dict | None = None, temperature: float = TEM
     sums = n.agg(F.sum("n").alias("total"), F.sum(F.col("w").cast("decimal(38,12)")).cast("double").alias("all"))
     wanted = F.lit(total) if total is not None else F.col("total")
     n = n.crossJoin(F.broadcast(sums)).withColumn("rate", F.when(F.col("all") > 0, F.col("w") / F.col("all") * wanted / F.col("n")).otherwise(0.0))
-    steps = F.sequence(F.lit(1), (F.col("rate") + 10 * F.sqrt("rate") + 24).cast("int"))
-    start = F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("c"))
+    large = F.col("rate") > LARGE
+    n = n.withColumn("least", F.when(large, (F.col("rate") - 10 * F.sqrt("rate") - 24).cast("int")).otherwise(0))
+    steps = F.sequence(F.col("least") + 1, (F.col("rate") + 10 * F.sqrt("rate") + 24).cast("int"))
+    # Large rates: relative to p(least), divided by their sum at the end
+    start = F.when(large, 1.0).otherwise(F.exp(-F.col("rate")))
+    start = F.struct(start.alias("p"), F.array(start).alias("c"))
     # p(k) = p(k-1) * rate / k; c: the sums so far
     step = lambda a, k: F.struct((a["p"] * F.col("rate") / k).alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + a["p"] * F.col("rate") / k)).alias("c"))
-    return n.select("s", "n", "rate", F.aggregate(steps, start, step)["c"].alias("cdf"))
+    n = n.select("s", "n", "rate", "least", F.aggregate(steps, start, step)["c"].alias("cdf"))
+    return n.withColumn("cdf", F.when(large, F.transform("cdf", lambda c: c / F.element_at("cdf", -1))).otherwise(F.col("cdf")))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, total: int | None = None, seed: str = SEED, shuffled: bool = True) -> DataFrame:
@@ -50,7 +57,7 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPE
     own = docs.select(F.struct("*").alias("row"), unit(F.lit(seed), d).alias("u"), d.alias("d"), F.col("source").cast("string").alias("src"))
     # Few sources are broadcast, many are joined by shuffle, where Spark splits a large source.
     both = own.join(small_or_same(table), own.src.eqNullSafe(table.s))
-    out = both.withColumn("copies", F.size(F.filter("cdf", lambda c: c <= F.col("u"))).cast("long")).where("copies > 0")
+    out = both.withColumn("copies", (F.col("least") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).cast("long")).where("copies > 0")
     out = out.select("row", "rate", "copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "d")
     out = out.select("row", "rate", "copies", "copy", unit(F.lit(seed), F.lit("place"), "d", F.col("copy").cast("string")).alias("place"))
     return out.repartitionByRange("place").sortWithinPartitions("place") if shuffled else out

@@ -268,3 +268,11 @@ def test_lm_counts_rare_words(spark, monkeypatch):
         monkeypatch.setattr(lm_scoring, "HOT", hot)
         got = {r.doc_id: r.total for r in lm_scoring.score(docs(spark, texts)).collect()}
         assert np.allclose([got[k] for k in range(len(texts))], want)
+
+
+def test_mixing_large_rates(spark):
+    """A rate beyond exp's range is drawn from its own distribution."""
+    d = docs(spark, ["t"] * 40, "a").unionByName(docs(spark, ["t"] * 40, "b").withColumn("doc_id", F.col("doc_id") + 1000))
+    n = {(r["row"]["source"], r["row"]["doc_id"]): r.copies for r in mixing.mix(d, {"a": 0.9, "b": 0.1}, total=40 * 1000, shuffled=False).where("copy = 1").select("row", "copies").collect()}
+    a = [v for (s, _), v in n.items() if s == "a"]
+    assert len(a) == 40 and len(set(a)) > 10 and all(abs(x - 900) < 6 * 30 for x in a) and abs(sum(a) / 40 - 900) < 6 * 30 / 40**0.5
