@@ -181,7 +181,7 @@ def bootstrap_ci(spark, sf):
     per = _per(spark, sf)
     out = None
     for name in ("auc", "mrr", "ndcg_10"):
-        one = beyond.bootstrap(per.select(F.col("imp").alias("id"), F.col(name).alias("x")), draws=200).select(F.lit(name).alias("metric"), "n", "mean", "lo", "hi")
+        one = beyond.bootstrap(per.select(F.col("imp").alias("id"), F.col(name).alias("x"))).select(F.lit(name).alias("metric"), "n", "mean", "lo", "hi")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -189,12 +189,12 @@ def bootstrap_ci(spark, sf):
 def paired_bootstrap(spark, sf):
     t = _test(spark, sf)
     b = metrics.per_impression(t.select("imp", "pos", (-F.col("pos")).cast("double").alias("score"), "label")).select(F.col("imp").alias("id"), F.col("mrr").alias("x"))
-    return beyond.paired_bootstrap(b, _per(spark, sf).select(F.col("imp").alias("id"), F.col("mrr").alias("x")), draws=200)
+    return beyond.paired_bootstrap(b, _per(spark, sf).select(F.col("imp").alias("id"), F.col("mrr").alias("x")))
 
 
 def coverage_ci(spark, sf):
     lists = _test(spark, sf).groupBy("imp").agg(F.collect_list("art").alias("arts"))
-    return beyond.coverage_bootstrap(lists, A.catalogue(spark, sf).count(), draws=50)
+    return beyond.coverage_bootstrap(lists, A.catalogue(spark, sf).count())
 
 
 def random_pair_diversity(spark, sf):

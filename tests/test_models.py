@@ -79,3 +79,15 @@ def test_registered_ranker_has_whole_inputs(spark, monkeypatch):
     monkeypatch.setattr(nrms, "scores", lambda i, v, w: seen.update(history=len(i.first()["history"])) or scores(i, v, w))
     QUERIES["nrms_scores"](spark, "/root/testdata/sf0.001")
     assert seen == {"title": config.TITLE_TOKENS, "history": config.HISTORY_LENGTH}
+
+
+def test_registered_bootstraps_have_all_draws(spark, monkeypatch):
+    from pressroom.operators import beyond
+    from pressroom.plans import QUERIES
+
+    seen = []
+    ids = spark.range
+    monkeypatch.setattr(type(spark), "range", lambda self, *a, **b: seen.append(a[0]) or ids(*a, **b))
+    for name in ("bootstrap_ci", "paired_bootstrap", "coverage_ci"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [beyond.BOOTSTRAP_DRAWS] * 4 + [200]
