@@ -1,44 +1,49 @@
 """Stupid-backoff scores from bigram and unigram count tables over all documents.
 
 S(w | v) = c(v w) / c(v) if c(v w) >= MIN_COUNT, else BACKOFF * c(w) / N; a text's first word is scored by c(w) / N. The
-score of a document is the mean of ln S over its words. Words are those between blanks, lower-cased A-Z. The vocabulary is
-every word of MIN_COUNT occurrences or more, however many there are; the others, which occur once, are one unknown word.
+score of a document is the mean of ln S over its words. Words are those between blanks, lower-cased A-Z. Every word counts
+as itself, however rare; there is no vocabulary and no unknown word.
 
-Words are 64-bit hashes. No table that grows with the corpus is broadcast or gathered. A word that occurs once is in one
-document, which the count table names; such words are joined to their documents, and there they become the unknown word.
-Each task then sends its documents' bigrams, packed (first word, second word, document, times), to the partition of the first
-word: that partition has c(v) and c(v w) whole. What has to back off goes on to the partition of the second word, where c(w) is;
-another exchange adds up the sums by document.
+The plan is relational:
 
-Words with a share of 1 / HOT of the corpus would be much of a partition; there are HOT such words at most, whose
-counts are broadcast and whose bigrams are dealt by both words. Bigrams of that share have two such words; they are counted
-beforehand with the counts combined before the shuffle, broadcast, and scored where they are read.
+1. The unigram table: words are counted by task, then by the word's hash.
+2. Documents are exploded to rows (v, w, document, times), one for each distinct bigram of a document, dealt once by the hash of
+   (v, w). The bigram table is the aggregate of that exchange, and the exploded rows are joined to it where they lie.
+3. Each row then needs one unigram count: that of v if the bigram counts, else that of w. Rows are summed by document, and the
+   sums of the words that the broadcast table lacks are joined to the unigram table by hash.
 
-Null and blank texts have no words and a null score. Rows equal in doc_id are scored each by itself.
+Two tables of a fixed size are broadcast; they change what travels, not what is counted. TOP words of the highest counts get
+small numbers, and HEAVY bigrams that are frequent in a sample of documents are counted over all documents with the unigrams and
+scored where they are read, so that no frequent bigram is a hot key. All others go through the joins above.
+
+A document's key is 64 bits of doc_id and text, so a task that is run again sends the same rows. Null and blank texts have no words
+and a null score. Rows equal in doc_id and text share a key, count as often as they are there, and have one score; rows equal in
+doc_id alone are scored each by itself. An empty table gives an empty table. Columns besides doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import lower_ascii, materialize, mix, partitions, read, shared_folder
+from .common import lower_ascii, materialize, mix, partitions, read
 
-#: VOCABULARY is a bound of OP10_SQL only. A word below MIN_COUNT (2) is in one document, on which _words and marked rely.
-MIN_COUNT, BACKOFF, VOCABULARY, HOT = 2, 0.4, 1 << 16, 4096
-#: Bigrams that a task packs before it sends them on: bounds its memory and sets the size of a parcel.
-HELD = 4_000_000
-#: Numbers of the unknown word, and of what stands beside a text's first and last word.
-UNKNOWN, FIRST, LAST = 0, 1, 2
-#: Kinds of rows that are exchanged: a document, and parcels of bigrams, sums, second words, counts.
-DOC, GRAMS, SUMS, SECOND, COUNTS = range(5)
-SHAPE = "p int, kind int, uid long, doc_id long, n long, s double, body binary"
+MIN_COUNT, BACKOFF = 2, 0.4
+#: Bounds of the broadcast tables, and of the documents that are looked at for frequent bigrams.
+TOP, HEAVY, SAMPLE = 1 << 20, 1 << 19, 1 << 15
+#: Words that a task handles at once, and different words that it remembers.
+BLOCK, REMEMBERED = 500_000, 1 << 19
+#: Words are hashes of 62 bits; one without a number from the broadcast table is -hash - RARE. Small negative numbers mark other rows:
+#: what is known of a document's sum, its words, and its first word where that is rare.
+BITS, RARE = (1 << 62) - 1, 10
+SUM, WORDS, FIRST = -1, -2, -3
+EXPLODED = StructType([StructField("v", LongType(), False), StructField("w", LongType(), False), StructField("key", LongType(), False), StructField("k", DoubleType(), False)])
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -46,330 +51,228 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Codes(dict):
-    """Words to numbers as they come, and the words' hashes by number. The first three can't be words."""
+    """Words to numbers as they come, and the words' hashes by number."""
 
     def __init__(self):
         self.hashes: list[int] = []
-        for w in (b"", b" ", b"\n"):
-            self[w]
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         self[word] = k = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        self.hashes.append(xxhash.xxh3_64_intdigest(word) & BITS)
         return k
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint32, count=len(words))
-
-    def array(self) -> np.ndarray:
-        return np.array(self.hashes, dtype=np.uint64)
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, text to word, count, key of a document that has it."""
-    codes, counts, keys = Codes(), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-
-    def pack() -> pa.RecordBatch:
-        k = np.flatnonzero(counts)
-        return pa.RecordBatch.from_arrays([pa.array(codes.array()[k].view(np.int64)), pa.array(counts[k]), pa.array(keys[k])], ["w", "c", "key"])
-
-    for b in batches:
-        for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            c = codes.of(tokens(t))
-            if len(codes) > len(counts):
-                more = np.zeros(len(codes), dtype=np.int64)
-                counts, keys = np.concatenate([counts, more]), np.concatenate([keys, more])
-            np.add.at(counts, c, 1)
-            keys[c] = key
-            if len(codes) > 400_000:
-                yield pack()
-                codes, counts, keys = Codes(), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    yield pack()
-
-
-def marked(docs: DataFrame) -> tuple[DataFrame, dict[int, int], int]:
-    """doc_id, text and rare (the text's words that are in no other place); counts of the words with a share of 1 / HOT of the corpus; N, the words of the corpus."""
-    own = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("d"), F.col("text").alias("x"))
-    counts = materialize(own.select("key", "x").mapInArrow(_words, "w long, c long, key long").groupBy("w").agg(F.sum("c").alias("c"), F.max("key").alias("key")))
-    rare = F.col("c") < MIN_COUNT
-    total, unknown = counts.agg(F.sum("c"), F.sum(F.when(rare, F.col("c")))).first()
-    least = max(MIN_COUNT, (total or 0) // HOT)
-    hot = {r.w % (1 << 64): r.c for r in counts.where(F.col("c") >= least).orderBy(F.desc("c")).limit(HOT).select("w", "c").collect()}
-    if (unknown or 0) >= least:
-        hot[Codes().hashes[UNKNOWN]] = unknown
-    lists = counts.where(rare).groupBy("key").agg(F.collect_list("w").alias("rare"))
-    path = shared_folder(docs.sparkSession)
-    out = own.join(lists, "key", "left").select("d", "x", "rare")
-    out.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(out.schema).parquet(path), hot, total or 0
-
-
-def _coded(texts: list, rare: pa.Array, codes: Codes) -> list[np.ndarray]:
-    """Numbers of each text's words, UNKNOWN for the rare ones."""
-    out = [codes.of(tokens(t)) for t in texts]
-    bad = np.isin(codes.array(), rare.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-    for c in out:
-        c[bad[c]] = UNKNOWN
-    return out
-
-
-def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of x in a sorted table, and whether it is there."""
-    if not len(table):
-        return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
-    i = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return i, table[i] == x
-
-
-def hot_bigrams(docs: DataFrame, hot: np.ndarray, total: int) -> dict[int, int]:
-    """Counts of the bigrams with a share of 1 / HOT of the corpus, by the words' places in hot (first << 32 | second). Both words have that share, too."""
-    least = max(MIN_COUNT, total // HOT)
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes, parts = Codes(), [np.zeros(0, dtype=np.int64)]
-            coded = _coded(b.column(0).to_pylist(), b.column(1), codes)
-            at, often = _find(hot, codes.array())
-            for c in coded:
-                both = often[c[:-1]] & often[c[1:]]
-                parts.append((at[c[:-1]] << 32 | at[c[1:]])[both])
-            u, k = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(k.astype(np.int64))], ["g", "c"])
-
-    out = docs.select("x", "rare").mapInArrow(of, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    return {r.g: r.c for r in out.orderBy(F.desc("c")).limit(HOT).collect()}
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """32-bit numbers, byte by byte: the high bytes are mostly 0, which the exchange compresses well."""
-    return np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unplaned(body: bytes, m: int, offset: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(body, dtype=np.uint8, count=4 * m, offset=offset).reshape(4, m).T).view("<u4").ravel()
-
-
-def _packed(words: list[np.ndarray], doc: np.ndarray, k: np.ndarray) -> bytes:
-    """Columns of hashes (as tables and places in them), documents in order (as steps) and times."""
-    out = [np.array([len(doc)], dtype="<u4").tobytes()]
-    for w in words:
-        table, at = np.unique(w, return_inverse=True)
-        out += [np.array([len(table)], dtype="<u4").tobytes(), table.tobytes(), _planes(at)]
-    return b"".join([*out, _planes(np.diff(doc, prepend=doc[:1])), _planes(k)])
-
-
-def _unpacked(body: bytes, columns: int, start: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    m, at, words = int(np.frombuffer(body, "<u4", 1)[0]), 4, []
-    for _ in range(columns):
-        n = int(np.frombuffer(body, "<u4", 1, at)[0])
-        words.append(np.frombuffer(body, "<u8", n, at + 4)[_unplaned(body, m, at + 4 + 8 * n)])
-        at += 4 + 8 * n + 4 * m
-    return words, start + np.cumsum(_unplaned(body, m, at), dtype=np.int64), _unplaned(body, m, at + 4 * m).astype(np.float64)
-
-
-def _packed_far(w: np.ndarray, doc: np.ndarray, k: np.ndarray) -> bytes:
-    """As _packed for one column, with documents of any tasks: each document once, by its number, and a place for each row."""
-    uid, at = np.unique(doc, return_inverse=True)
-    return np.array([len(uid)], dtype="<u4").tobytes() + uid.tobytes() + _packed([w], at, k)
-
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
-def _unpacked_far(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(body, "<u4", 1)[0])
-    (w,), at, k = _unpacked(body[4 + 8 * n :], 1, 0)
-    return w, np.frombuffer(body, "<i8", n, 4)[at], k
 
+class Blocks:
+    """Documents in blocks of less than 2 * BLOCK words, or of one document: keys, the words' numbers one after the other, and each word's document."""
 
-def _rows(kind: int, to: list, bodies: list, starts: list | None = None) -> pa.RecordBatch:
-    m = len(to)
-    bodies = [np.array([len(x)], dtype="<i8").tobytes() + pa.compress(x, codec="zstd", asbytes=True) for x in bodies]
-    cols = [pa.array(to, pa.int32()), pa.array([kind] * m, pa.int32()), pa.array(starts or [0] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.array(bodies, pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, ["p", "kind", "uid", "doc_id", "n", "s", "body"])
-
-
-def _dealt(p: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The order by partition, and (partition, from, to) in it."""
-    order = np.argsort(p, kind="stable")
-    ends = np.searchsorted(p[order], np.arange(parts + 1))
-    return order, [(x, int(ends[x]), int(ends[x + 1])) for x in range(parts) if ends[x] < ends[x + 1]]
-
-
-def _home(w: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(w) % np.uint64(parts)).astype(np.int64)
-
-
-def _sums(doc: np.ndarray, value: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Parcels of each document's sum, to the documents' partitions."""
-    uid, where = np.unique(doc, return_inverse=True)
-    s = np.bincount(where, weights=value, minlength=len(uid))
-    order, cuts = _dealt(uid % parts, parts)
-    uid, s = uid[order], s[order]
-    return _rows(SUMS, [x for x, _, _ in cuts], [uid[i:j].tobytes() + s[i:j].tobytes() for _, i, j in cuts])
-
-
-def _added(base: list[pa.RecordBatch], sums: list[bytes]) -> pa.Table | None:
-    """A partition's documents with the sums sent for them."""
-    if not base:
-        return None
-    t = pa.Table.from_batches(base).combine_chunks()
-    uid, s = t.column("uid").to_numpy(), t.column("s").to_numpy().copy()
-    order = np.argsort(uid)
-    for x in sums:
-        m = len(x) // 16
-        s[order[np.searchsorted(uid, np.frombuffer(x, dtype="<i8", count=m), sorter=order)]] += np.frombuffer(x, dtype="<f8", count=m, offset=8 * m)
-    return t.set_column(t.schema.get_field_index("s"), "s", pa.array(s))
-
+    def __init__(self):
+        self.codes = Codes()
 
-def _sorted_in(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], dict[int, list[tuple[int, bytes]]]]:
-    """Documents, and (start, body) of the parcels by kind."""
-    base, parcels = [], {k: [] for k in (GRAMS, SUMS, SECOND, COUNTS)}
-    for b in batches:
-        doc = pc.equal(b.column(1), DOC)
-        base.append(b.filter(doc))
-        rest = b.filter(pc.invert(doc))
-        for k, start, x in zip(rest.column(1).to_pylist(), rest.column(2).to_pylist(), rest.column(6).to_pylist(), strict=True):
-            parcels[k].append((start, pa.decompress(memoryview(x)[8:], decompressed_size=int(np.frombuffer(x, "<i8", 1)[0]), codec="zstd", asbytes=True)))
-    return base, parcels
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        keys, parts, held = [], [], 0
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                c = self.codes.of(tokens(text))
+                if parts and len(c) >= BLOCK:  # a very long text is a block by itself
+                    yield self._block(keys, parts)
+                    keys, parts, held = [], [], 0
+                keys.append(key)
+                parts.append(c)
+                held += len(c)
+                if held >= BLOCK or len(parts) >= BLOCK:
+                    yield self._block(keys, parts)
+                    keys, parts, held = [], [], 0
+        if parts:
+            yield self._block(keys, parts)
+
+    @staticmethod
+    def _block(keys: list[int], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(keys, dtype=np.int64), np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+
+    def hashes(self) -> np.ndarray:
+        return np.array(self.codes.hashes, dtype=np.int64)
+
+
+def _pairs(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64 bits of a bigram from those of its words."""
+    return mix(mix(v.view(np.uint64)) * np.uint64(3) + w.view(np.uint64))
+
+
+class Table:
+    """Places of 64-bit numbers in a sorted table; a filter of 2**24 bits' worth of bytes answers most of what isn't there."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.maybe = np.zeros(1 << 24, dtype=bool)
+        self.maybe[keys >> np.uint64(40)] = True
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of each, -1 if it isn't there."""
+        out = np.full(len(x), -1, dtype=np.int64)
+        some = np.flatnonzero(self.maybe[x >> np.uint64(40)])
+        if len(some):
+            i = np.minimum(np.searchsorted(self.keys, x[some]), len(self.keys) - 1)
+            out[some] = np.where(self.keys[i] == x[some], i, -1)
+        return out
+
+
+def _frequent(counted: DataFrame, bound: int) -> DataFrame:
+    """The rows with the highest c, `bound` at most: all of a count or none, to an eighth of a power of two. One small histogram goes to the driver."""
+    level = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
+    least, n = None, 0
+    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        n += r["count"]
+        if n > bound:
+            break
+        least = r["level"]
+    return counted.where(F.lit(False) if least is None else level >= least)
+
+
+def _local_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g, c: bigrams that occur twice in a block."""
+    blocks = Blocks()
+    for _, flat, doc in blocks(batches):
+        h = blocks.hashes()[flat]
+        g, c = np.unique(_pairs(h[:-1], h[1:])[doc[1:] == doc[:-1]], return_counts=True)
+        g, c = g[c >= MIN_COUNT], c[c >= MIN_COUNT]
+        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["g", "c"])
+        if len(blocks.codes) > REMEMBERED:
+            blocks.codes = Codes()
+
+
+def candidates(own: DataFrame, bound: int, sample: int) -> np.ndarray:
+    """Sorted bigrams that are frequent in about `sample` documents. Which ones they are changes no score."""
+    n = own.count()
+    some = own if n <= sample else own.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
+    found = materialize(some.select("key", "text").mapInArrow(_local_bigrams, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")))
+    return np.sort(_frequent(found, bound).select("g").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _counted(heavy: np.ndarray) -> Callable:
+    """key, text to kind (0: words, 1: bigrams of the table), h (hash, or place in the table), c."""
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, table = Blocks(), Table(heavy)
+        words, grams = np.zeros(0, dtype=np.int64), np.zeros(len(heavy), dtype=np.int64)
+
+        def rows(kind: int, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, dtype=np.int32)), pa.array(h), pa.array(c)], ["kind", "h", "c"])
+
+        for _, flat, doc in blocks(batches):
+            hashes = blocks.hashes()
+            words = np.concatenate([words, np.zeros(len(hashes) - len(words), dtype=np.int64)]) + np.bincount(flat, minlength=len(hashes))
+            if len(heavy):
+                h = hashes[flat]
+                at = table.find(_pairs(h[:-1], h[1:])[doc[1:] == doc[:-1]])
+                grams += np.bincount(at[at >= 0], minlength=len(heavy))
+            if len(hashes) > REMEMBERED:
+                yield rows(0, hashes, words)
+                blocks.codes, words = Codes(), np.zeros(0, dtype=np.int64)
+        if len(words):
+            yield rows(0, blocks.hashes(), words)
+        there = np.flatnonzero(grams)
+        yield rows(1, there, grams[there])
+
+    return of
+
+
+def _exploded(top: np.ndarray, log_top: np.ndarray, heavy: np.ndarray, log_heavy: np.ndarray, log_n: float) -> Callable:
+    """key, text to v, w, key, k: a row for each distinct bigram of a document that isn't heavy, and the rows that the markers name.
+    top: sorted hashes, a word's place is its number; log_heavy: NaN for a bigram under MIN_COUNT, which is then exploded like others."""
 
-def score(docs: DataFrame) -> DataFrame:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, table = Blocks(), Table(heavy)
+        number, log = np.zeros(0, dtype=np.int64), np.zeros(0)
+
+        def rows(v: np.ndarray, w: np.ndarray, key: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (v, w, key, k.astype(np.float64))], schema=shape)
+
+        shape = pa.schema([pa.field(n, t, False) for n, t in (("v", pa.int64()), ("w", pa.int64()), ("key", pa.int64()), ("k", pa.float64()))])
+        for key, flat, doc in blocks(batches):
+            hashes = blocks.hashes()
+            if len(number) < len(hashes):  # words that are new: their numbers and logarithms
+                new = hashes[len(number) :]
+                i = np.minimum(np.searchsorted(top, new), max(len(top) - 1, 0))
+                known = top[i] == new if len(top) else np.zeros(len(new), dtype=bool)
+                number = np.concatenate([number, np.where(known, i, -new - RARE)])
+                log = np.concatenate([log, np.where(known, log_top[i] if len(top) else 0.0, np.nan)])
+            m = len(key)
+            total = np.zeros(m)
+            size = np.bincount(doc, minlength=m)
+            first = flat[np.cumsum(size)[size > 0] - size[size > 0]]
+            own = np.flatnonzero(size)
+            common = number[first] >= 0
+            total[own[common]] = log[first[common]] - log_n
+            yield rows(np.full((~common).sum(), FIRST), number[first[~common]], key[own[~common]], np.ones((~common).sum()))
+            inside = np.flatnonzero(doc[1:] == doc[:-1])
+            v, w, d = flat[inside], flat[inside + 1], doc[inside]
+            if len(heavy):
+                at = table.find(_pairs(hashes[v], hashes[w]))
+                value = np.where(at >= 0, log_heavy[at] - log[v], np.nan)  # NaN, too, if v isn't among the top words
+                here = ~np.isnan(value)
+                total += np.bincount(d[here], weights=value[here], minlength=m)
+                v, w, d = v[~here], w[~here], d[~here]
+            # At most REMEMBERED + 2 * BLOCK words and BLOCK documents, or one document: under 2**63.
+            one, k = np.unique((d * len(number) + v) * len(number) + w, return_counts=True)
+            one, last = np.divmod(one, len(number))
+            yield rows(number[one % len(number)], number[last], key[one // len(number)], k)
+            yield rows(np.full(m, SUM), key, key, total)
+            yield rows(np.full(m, WORDS), key, key, size)
+            if len(blocks.codes) > REMEMBERED:
+                blocks.codes, number, log = Codes(), np.zeros(0, dtype=np.int64), np.zeros(0)
+
+    return of
+
+
+def score(docs: DataFrame, top: int = TOP, heavy: int = HEAVY, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_tokens, total (the sum of ln S; null without words)."""
     spark = docs.sparkSession
-    own, hot, n = marked(docs)
-    hot_words = np.array(sorted(hot), dtype=np.uint64)
-    log_hot = np.log(np.array([hot[int(w)] for w in hot_words], dtype=np.float64))
-    pairs = hot_bigrams(own, hot_words, n)
-    hot_pairs = np.array(sorted(pairs), dtype=np.int64)
-    log_pairs = np.log(np.array([pairs[int(g)] for g in hot_pairs], dtype=np.float64)) - log_hot[hot_pairs >> 32]
-    parts, log_n = partitions(spark), math.log(max(n, 1))
-    floor = math.log(BACKOFF) - log_n
-    first_hash, last_hash = (np.uint64(Codes().hashes[k]) for k in (FIRST, LAST))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """To each partition: a row for a document, and parcels of bigrams with the documents' numbers."""
-        from pyspark import TaskContext
-
-        first, at, since = TaskContext.get().partitionId() << 40, 0, 0
-        codes, held, grams, owners, times = Codes(), 0, [], [], []
-
-        def parcels() -> pa.RecordBatch:
-            h, g, doc, k = codes.array(), np.concatenate(grams), np.concatenate(owners), np.concatenate(times)
-            often = _find(hot_words, h)[1]
-            v, w = g >> np.uint64(32), g & np.uint64(0xFFFFFFFF)
-            p = _home(h, parts)[v]
-            both = np.flatnonzero(often[v])
-            p[both] = _home(h[v[both]] * np.uint64(3) + h[w[both]], parts)
-            order, cuts = _dealt(p, parts)
-            bodies = []
-            for _, i, j in cuts:
-                own = order[i:j]
-                bodies.append(_packed([h[v[own]], h[w[own]]], doc[own], k[own]))
-            starts = [first + since + int(doc[order[i]]) for _, i, _ in cuts]
-            return _rows(GRAMS, [x for x, _, _ in cuts], bodies, starts)
-
-        for b in batches:
-            coded = _coded(b.column(1).to_pylist(), b.column(2), codes)
-            place, often = _find(hot_words, codes.array())
-            m = len(coded)
-            sums = np.zeros(m)
-            for x, c in enumerate(coded):
-                if not len(c):
-                    continue
-                u, k = np.unique((c[:-1].astype(np.uint64) << np.uint64(32)) | c[1:], return_counts=True)
-                v, w = (u >> np.uint64(32)).astype(np.int64), (u & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                i, yes = _find(hot_pairs, place[v] << 32 | place[w])
-                yes &= often[v] & often[w]
-                if yes.any():
-                    sums[x] += float((log_pairs[i[yes]] * k[yes]).sum())
-                    u, k = u[~yes], k[~yes]
-                ends = []
-                if often[c[0]]:
-                    sums[x] += log_hot[place[c[0]]] - log_n
-                else:
-                    ends.append(int(c[0]) << 32 | FIRST)
-                if not often[c[-1]]:
-                    ends.append(int(c[-1]) << 32 | LAST)
-                grams.append(np.concatenate([u, np.array(ends, dtype=np.uint64)]))
-                times.append(np.concatenate([k, np.ones(len(ends), dtype=k.dtype)]).astype(np.uint32))
-                owners.append(np.full(len(grams[-1]), at - since + x, dtype=np.uint32))
-                held += len(grams[-1])
-            at += m
-            uid = np.arange(at - m, at, dtype=np.int64) + first
-            yield pa.RecordBatch.from_arrays([pa.array((uid % parts).astype(np.int32)), pa.array([DOC] * m, pa.int32()), pa.array(uid), b.column(0), pa.array([len(c) for c in coded], pa.int64()), pa.array(sums), pa.nulls(m, pa.binary())], ["p", "kind", "uid", "doc_id", "n", "s", "body"])
-            if held >= HELD:
-                yield parcels()
-                codes, held, grams, owners, times, since = Codes(), 0, [], [], [], at
-        if held:
-            yield parcels()
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Scores bigrams of MIN_COUNT or more and first words; sends on the other bigrams' second words, and the counts of this partition's words."""
-        base, got = _sorted_in(batches)
-        yield from base
-        if not got[GRAMS]:
-            return
-        cols = []
-        for start, x in got.pop(GRAMS):
-            (v, w), doc, k = _unpacked(x, 2, start)
-            cols.append((v, w, doc, k))
-        v, w, doc, k = (np.concatenate(c) for c in zip(*cols, strict=True))
-        del cols
-        order = np.argsort(doc, kind="stable")
-        v, w, doc, k = v[order], w[order], doc[order], k[order]
-        begins, ends = w == first_hash, w == last_hash
-        words, at = np.unique(v, return_inverse=True)
-        count = np.bincount(at, weights=np.where(begins, 0.0, k))
-        place, often = _find(hot_words, words)
-        log_v = np.log(np.maximum(count, 1))
-        log_v[often] = log_hot[place[often]]
-        cold = ~often
-        order, cuts = _dealt(_home(words[cold], parts), parts)
-        own_w, own_c = words[cold][order], count[cold][order]
-        yield _rows(COUNTS, [x for x, _, _ in cuts], [own_w[i:j].tobytes() + own_c[i:j].tobytes() for _, i, j in cuts])
-        _, which = np.unique(mix(v) * np.uint64(3) + w, return_inverse=True)  # the count table of this partition
-        c = np.bincount(which, weights=k)[which]
-        place, often = _find(hot_words, w)
-        real = ~(begins | ends)
-        whole = real & (c >= MIN_COUNT)
-        value = np.zeros(len(v))
-        value[begins] = log_v[at[begins]] - log_n
-        value[whole] = np.log(c[whole]) - log_v[at[whole]]
-        back = real & ~whole
-        known = back & often
-        value[known] = floor + log_hot[place[known]]
-        yield _sums(doc, value * k, parts)
-        rest = np.flatnonzero(back & ~often)
-        order, cuts = _dealt(_home(w[rest], parts), parts)
-        rest = rest[order]
-        yield _rows(SECOND, [x for x, _, _ in cuts], [_packed_far(w[rest[i:j]], doc[rest[i:j]], k[rest[i:j]]) for _, i, j in cuts])
-
-    def back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, got = _sorted_in(batches)
-        t = _added(base, [x for _, x in got.pop(SUMS)])
-        if t is not None:
-            yield from t.to_batches()
-        if not got[SECOND]:
-            return
-        halves = [(np.frombuffer(x, "<u8", len(x) // 16), np.frombuffer(x, "<f8", offset=len(x) // 2)) for _, x in got.pop(COUNTS)]
-        words, count = (np.concatenate(c) for c in zip(*halves, strict=True))
-        order = np.argsort(words)
-        words, log_w = words[order], np.log(np.maximum(count[order], 1))
-        cols = [_unpacked_far(x) for _, x in got.pop(SECOND)]
-        w, doc, k = (np.concatenate(c) for c in zip(*cols, strict=True))
-        yield _sums(doc, (floor + log_w[np.searchsorted(words, w)]) * k, parts)
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, got = _sorted_in(batches)
-        t = _added(base, [x for _, x in got[SUMS]])
-        if t is None:
-            return
-        n = t.column("n")
-        yield from pa.table({"doc_id": t.column("doc_id"), "n_tokens": n, "total": pa.array(t.column("s").to_numpy(), pa.float64(), mask=n.to_numpy() == 0)}).to_batches(max_chunksize=65_536)
-
-    deal = lambda df: df.repartitionById(parts, F.col("p"))
-    found = deal(own.mapInArrow(pack, SHAPE)).mapInArrow(resolve, SHAPE)
-    return deal(deal(found).mapInArrow(back_off, SHAPE)).mapInArrow(add_up, "doc_id long, n_tokens long, total double")
+    parts = partitions(spark)
+    own = docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("key"), "text")
+    texts = own.select("key", "text")
+    often = candidates(own, heavy, sample)
+    counted = materialize(texts.mapInArrow(_counted(often), "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c")))
+    words, grams = counted.where("kind = 0"), counted.where("kind = 1")
+    n = words.agg(F.sum("c")).first()[0] or 0
+    log_n = math.log(max(n, 1))
+
+    most = _frequent(words, top).select("h", "c").toArrow()
+    order = np.argsort(hashes := most.column(0).to_numpy())
+    hashes, log_top = hashes[order], np.log(most.column(1).to_numpy()[order])
+    got = grams.select("h", "c").toArrow()
+    times = np.zeros(len(often))
+    times[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    log_heavy = np.log(np.where(times >= MIN_COUNT, times, np.nan))
+
+    exploded = texts.mapInArrow(_exploded(hashes, log_top, often, log_heavy, log_n), EXPLODED)
+    dealt = exploded.repartition(parts, "v", "w")  # one exchange, for the count table and the rows that are joined to it
+    # The count table asks for every column of the exchange, or else it would have one of its own.
+    counts = dealt.groupBy("v", "w").agg(F.sum("k").alias("c"), F.max("key").alias("any")).where(F.col("c") >= MIN_COUNT).select("v", "w", "c")
+    joined = dealt.join(counts, ["v", "w"], "left")
+    gram = (F.col("v") <= -RARE) | (F.col("v") >= 0)
+    c = F.when(gram, F.col("c"))
+    x = F.when(c.isNotNull(), F.col("v")).when(gram | (F.col("v") == FIRST), F.col("w"))
+    log_known = spark.createDataFrame(pa.table({"x": pa.array(np.arange(len(hashes))), "ln": pa.array(log_top)}), "x long, ln double")
+    joined = joined.select("key", "v", "k", c.alias("c"), x.alias("x")).join(F.broadcast(log_known), "x", "left")  # TOP rows at most
+    sign = F.when(F.col("c").isNotNull(), -1.0).otherwise(1.0)
+    known = F.when(F.col("c").isNotNull(), F.log("c")).when(F.col("v") == FIRST, F.lit(-log_n)).otherwise(F.lit(math.log(BACKOFF) - log_n))
+    rare = F.col("x") < 0
+    value = F.when(F.col("v") == WORDS, 0.0).when(F.col("v") == SUM, F.col("k")).otherwise(F.col("k") * (known + F.when(rare, 0.0).otherwise(sign * F.col("ln"))))
+    is_words = F.col("v") == WORDS
+    sums = joined.groupBy("key", F.when(rare, F.col("x")).alias("x")).agg(
+        F.sum(value).alias("s"), F.sum(F.when(rare, F.col("k") * sign)).alias("z"), F.sum(F.when(is_words, F.col("k"))).alias("n"), F.count(F.when(is_words, 1)).alias("m")
+    )
+    sums = materialize(sums)
+    lacking = sums.where("x is not null").join(words.select((-F.col("h") - RARE).alias("x"), F.log(F.col("c").cast("double")).alias("ln")), "x")
+    both = sums.where("x is null").select("key", "s", "n", "m").unionByName(lacking.select("key", (F.col("s") + F.col("z") * F.col("ln")).alias("s"), F.lit(None).cast("double").alias("n"), F.lit(0).cast("long").alias("m")))
+    by_key = both.groupBy("key").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    out = own.select("doc_id", "key").join(by_key, "key", "left")
+    return out.select("doc_id", (F.col("n") / F.col("m")).cast("long").alias("n_tokens"), F.when(F.col("n") > 0, F.col("s") / F.col("m")).alias("total"))
 
 
 def op10_lm_scoring(spark, sf_dir):
@@ -379,15 +282,13 @@ def op10_lm_scoring(spark, sf_dir):
 
 OP10_SQL = f"""
 with d as (select row_number() over () r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') w from documents),
-t as (select r, unnest(w) raw, generate_subscripts(w, 1) i from d),
+t as (select r, unnest(w) w, generate_subscripts(w, 1) i from d),
 n as (select count(*) n from t),
-c as (select raw, count(*) c from t group by raw having count(*) >= greatest({MIN_COUNT}, (select (n + {VOCABULARY - 1}) // {VOCABULARY} from n))),
-v as (select raw from c order by c desc, encode(raw) limit {VOCABULARY - 1}),
-k as (select r, i, coalesce(v.raw, '') w from t left join v on t.raw = v.raw),
-u as (select w, count(*) c from k group by w),
-b as (select r, i, w, lag(w) over (partition by r order by i) p from k),
+u as (select w, count(*) c from t group by w),
+b as (select r, i, w, lag(w) over (partition by r order by i) p from t),
 g as (select p, w, count(*) c from b where p is not null group by p, w),
-s as (select r, sum(case when b.p is null then ln(u.c) - ln((select n from n)) when g.c >= {MIN_COUNT} then ln(g.c) - ln(q.c) else ln({BACKOFF}) + ln(u.c) - ln((select n from n)) end) s
-  from b join u on b.w = u.w left join g on b.p = g.p and b.w = g.w left join u q on b.p = q.w group by r)
+s as (
+  select r, sum(case when b.p is null then ln(u.c) - ln(n.n) when g.c >= {MIN_COUNT} then ln(g.c) - ln(q.c) else ln({BACKOFF}) + ln(u.c) - ln(n.n) end) s
+  from b cross join n join u on b.w = u.w left join g on b.p = g.p and b.w = g.w left join u q on b.p = q.w group by r)
 select d.doc_id, cast(len(d.w) as bigint) n_tokens, round(s.s / len(d.w), 6) score from d left join s using (r)
 """

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pressroom.llm import decontamination, lm_scoring, mixing, near_dedup, sharding
@@ -222,15 +223,12 @@ def test_near_odd_rows(spark):
 
 
 def brute_lm(texts):
+    import math
+
     toks = [["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in (t or "").encode().decode().split(" ") if w] for t in texts]
     uni = Counter(w for t in toks for w in t)
     n = sum(uni.values())
-    least = max(lm_scoring.MIN_COUNT, -(-n // lm_scoring.VOCABULARY))
-    toks = [[w if uni[w] >= least else "" for w in t] for t in toks]
-    uni = Counter(w for t in toks for w in t)
     bi = Counter(b for t in toks for b in zip(t, t[1:], strict=False))
-    import math
-
     out = []
     for t in toks:
         s = [math.log(uni[t[0]] / n)] if t else []
@@ -240,15 +238,19 @@ def brute_lm(texts):
     return out
 
 
-def test_lm_scores(spark, monkeypatch):
-    rng = random.Random(4)
-    texts = [" ".join(words(rng, rng.randrange(0, 60), 90)) for _ in range(60)] + [None, "", "A b", "a B"]
+@pytest.mark.parametrize("block", [500_000, 50])  # many blocks, too
+def test_lm_scores(spark, monkeypatch, block):
+    """Whatever goes by broadcast and whatever by joins, rare first words included: the same scores."""
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, rng.randrange(0, 80), 200)) for _ in range(80)] + [f"once{k} rare{k // 2} pair{k // 2} w1" for k in range(40)] + [None, "", "A b", "a B"]
     want = brute_lm(texts)
-    for held in (4_000_000, 50):  # many parcels, too
-        monkeypatch.setattr(lm_scoring, "HELD", held)
-        got = {r.doc_id: r.total for r in lm_scoring.score(docs(spark, texts)).collect()}
+    monkeypatch.setattr(lm_scoring, "BLOCK", block)
+    monkeypatch.setattr(lm_scoring, "REMEMBERED", block)
+    for top, heavy, sample in ((1 << 20, 1 << 19, 1 << 15), (16, 40, 60), (0, 0, 1), (300, 0, 1)):
+        got = {r.doc_id: r for r in lm_scoring.score(docs(spark, texts), top, heavy, sample).collect()}
         for k, w in enumerate(want):
-            assert (w is None and got[k] is None) or np.isclose(w, got[k])
+            assert (w is None and got[k].total is None) or np.isclose(w, got[k].total)
+            assert got[k].n_tokens == len((texts[k] or "").split())
 
 
 def test_lm_sql_and_odd_rows(spark):
@@ -258,16 +260,13 @@ def test_lm_sql_and_odd_rows(spark):
     assert lm_scoring.score(frame(spark, [])).count() == 0
 
 
-def test_lm_counts_rare_words(spark, monkeypatch):
-    """Words and bigrams seen twice count however large the corpus is beside VOCABULARY; with few hot words and with many."""
-    rng = random.Random(5)
-    texts = [" ".join(words(rng, rng.randrange(1, 80), 400)) for _ in range(80)] + [f"once{k} rare{k // 2} pair{k // 2} w1" for k in range(40)]
+def test_lm_repeated_rows(spark):
+    """Rows alike count each and score alike; rows equal in doc_id alone are scored each by itself."""
+    texts = ["a b c", "a b c", "a b d", "x"]
+    d = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[2]), (None, texts[3])], "doc_id long, text string")
     want = brute_lm(texts)
-    monkeypatch.setattr(lm_scoring, "VOCABULARY", 16)
-    for hot in (8, 4096):
-        monkeypatch.setattr(lm_scoring, "HOT", hot)
-        got = {r.doc_id: r.total for r in lm_scoring.score(docs(spark, texts)).collect()}
-        assert np.allclose([got[k] for k in range(len(texts))], want)
+    got = sorted((r.doc_id or 0, r.n_tokens, round(r.total, 9)) for r in lm_scoring.score(d).collect())
+    assert got == sorted((k, len(t.split()), round(w, 9)) for k, t, w in zip((1, 1, 1, 0), texts, want, strict=True))
 
 
 def test_mixing_large_rates(spark):
