@@ -7,8 +7,9 @@ as itself, however rare; there is no vocabulary and no unknown word.
 The plan is relational:
 
 1. The unigram table: words are counted by task, then by the word's hash.
-2. Documents are exploded to rows (v, w, document, times), one for each distinct bigram of a document, dealt once by the hash of
-   (v, w). The bigram table is the aggregate of that exchange, and the exploded rows are joined to it where they lie.
+2. Documents are exploded to rows (bigram, document, times), one for each distinct bigram of a document, dealt once by the bigram's
+   hash. There a window over the bigram counts it: its count meets the exploded rows where they lie, as a join of the exchange
+   with its own aggregate would have it, but with one sort, and spilling where a bigram has many rows.
 3. Each row then needs one unigram count: that of v if the bigram counts, else that of w. Rows are summed by document, and the
    sums of the words that the broadcast table lacks are joined to the unigram table by hash.
 
@@ -28,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -39,11 +40,12 @@ MIN_COUNT, BACKOFF = 2, 0.4
 TOP, HEAVY, SAMPLE = 1 << 20, 1 << 19, 1 << 15
 #: Words that a task handles at once, and different words that it remembers.
 BLOCK, REMEMBERED = 500_000, 1 << 19
-#: Words are hashes of 62 bits; one without a number from the broadcast table is -hash - RARE. Small negative numbers mark other rows:
-#: what is known of a document's sum, its words, and its first word where that is rare.
-BITS, RARE = (1 << 62) - 1, 10
-SUM, WORDS, FIRST = -1, -2, -3
-EXPLODED = StructType([StructField("v", LongType(), False), StructField("w", LongType(), False), StructField("key", LongType(), False), StructField("k", DoubleType(), False)])
+#: Words are hashes of 62 bits; one without a number from the broadcast table is -hash - RARE, which no number is.
+BITS, RARE, NUMBER_BITS = (1 << 62) - 1, 10, 20
+#: Kinds of rows, in column v: a bigram of two numbered words (g has both), another bigram (v and w are its words, g a hash of both, negative);
+#: what is known of a document's sum, its words, and its first word (w) where that is rare. g then has the document's key.
+COMMON, SUM, WORDS, FIRST = -1, -2, -3, -4
+EXPLODED = StructType([StructField(n, LongType(), False) for n in ("g", "v", "w", "key")] + [StructField("k", DoubleType(), False)])
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -182,17 +184,18 @@ def _counted(heavy: np.ndarray) -> Callable:
 
 
 def _exploded(top: np.ndarray, log_top: np.ndarray, heavy: np.ndarray, log_heavy: np.ndarray, log_n: float) -> Callable:
-    """key, text to v, w, key, k: a row for each distinct bigram of a document that isn't heavy, and the rows that the markers name.
+    """key, text to g, v, w, key, k: a row for each distinct bigram of a document that isn't heavy, and the rows that the markers name.
     top: sorted hashes, a word's place is its number; log_heavy: NaN for a bigram under MIN_COUNT, which is then exploded like others."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, table = Blocks(), Table(heavy)
         number, log = np.zeros(0, dtype=np.int64), np.zeros(0)
 
-        def rows(v: np.ndarray, w: np.ndarray, key: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (v, w, key, k.astype(np.float64))], schema=shape)
+        def rows(g: np.ndarray, v: np.ndarray | int, w: np.ndarray | int, key: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+            v, w = (np.full(len(g), x) if isinstance(x, int) else x for x in (v, w))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (g, v, w, key, k.astype(np.float64))], schema=shape)
 
-        shape = pa.schema([pa.field(n, t, False) for n, t in (("v", pa.int64()), ("w", pa.int64()), ("key", pa.int64()), ("k", pa.float64()))])
+        shape = pa.schema([*(pa.field(n, pa.int64(), False) for n in ("g", "v", "w", "key")), pa.field("k", pa.float64(), False)])
         for key, flat, doc in blocks(batches):
             hashes = blocks.hashes()
             if len(number) < len(hashes):  # words that are new: their numbers and logarithms
@@ -208,7 +211,7 @@ def _exploded(top: np.ndarray, log_top: np.ndarray, heavy: np.ndarray, log_heavy
             own = np.flatnonzero(size)
             common = number[first] >= 0
             total[own[common]] = log[first[common]] - log_n
-            yield rows(np.full((~common).sum(), FIRST), number[first[~common]], key[own[~common]], np.ones((~common).sum()))
+            yield rows(key[own[~common]], FIRST, number[first[~common]], key[own[~common]], np.ones((~common).sum()))
             inside = np.flatnonzero(doc[1:] == doc[:-1])
             v, w, d = flat[inside], flat[inside + 1], doc[inside]
             if len(heavy):
@@ -219,10 +222,15 @@ def _exploded(top: np.ndarray, log_top: np.ndarray, heavy: np.ndarray, log_heavy
                 v, w, d = v[~here], w[~here], d[~here]
             # At most REMEMBERED + 2 * BLOCK words and BLOCK documents, or one document: under 2**63.
             one, k = np.unique((d * len(number) + v) * len(number) + w, return_counts=True)
-            one, last = np.divmod(one, len(number))
-            yield rows(number[one % len(number)], number[last], key[one // len(number)], k)
-            yield rows(np.full(m, SUM), key, key, total)
-            yield rows(np.full(m, WORDS), key, key, size)
+            one, w = np.divmod(one, len(number))
+            d, v = np.divmod(one, len(number))
+            nv, nw = number[v], number[w]
+            easy = (nv >= 0) & (nw >= 0)
+            yield rows(nv[easy] << NUMBER_BITS | nw[easy], COMMON, COMMON, key[d[easy]], k[easy])
+            d, v, w, k = (x[~easy] for x in (d, v, w, k))
+            yield rows((_pairs(hashes[v], hashes[w]) | np.uint64(1 << 63)).view(np.int64), number[v], number[w], key[d], k)
+            yield rows(key, SUM, SUM, key, total)
+            yield rows(key, WORDS, WORDS, key, size)
             if len(blocks.codes) > REMEMBERED:
                 blocks.codes, number, log = Codes(), np.zeros(0, dtype=np.int64), np.zeros(0)
 
@@ -250,15 +258,14 @@ def score(docs: DataFrame, top: int = TOP, heavy: int = HEAVY, sample: int = SAM
     log_heavy = np.log(np.where(times >= MIN_COUNT, times, np.nan))
 
     exploded = texts.mapInArrow(_exploded(hashes, log_top, often, log_heavy, log_n), EXPLODED)
-    dealt = exploded.repartition(parts, "v", "w")  # one exchange, for the count table and the rows that are joined to it
-    # The count table asks for every column of the exchange, or else it would have one of its own.
-    counts = dealt.groupBy("v", "w").agg(F.sum("k").alias("c"), F.max("key").alias("any")).where(F.col("c") >= MIN_COUNT).select("v", "w", "c")
-    joined = dealt.join(counts, ["v", "w"], "left")
-    gram = (F.col("v") <= -RARE) | (F.col("v") >= 0)
-    c = F.when(gram, F.col("c"))
-    x = F.when(c.isNotNull(), F.col("v")).when(gram | (F.col("v") == FIRST), F.col("w"))
+    gram = (F.col("v") == COMMON) | (F.col("v") >= 0) | (F.col("v") <= -RARE)
+    number = lambda col, shifted: F.when(F.col("v") == COMMON, shifted).otherwise(F.col(col))
+    dealt = exploded.repartition(parts, "g").withColumn("c", F.when(gram, F.sum("k").over(Window.partitionBy("g"))))
+    dealt = dealt.withColumn("c", F.when(F.col("c") >= MIN_COUNT, F.col("c")))
+    x = F.when(F.col("c").isNotNull(), number("v", F.shiftright("g", NUMBER_BITS)))
+    x = x.when(gram | (F.col("v") == FIRST), number("w", F.col("g").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))))
     log_known = spark.createDataFrame(pa.table({"x": pa.array(np.arange(len(hashes))), "ln": pa.array(log_top)}), "x long, ln double")
-    joined = joined.select("key", "v", "k", c.alias("c"), x.alias("x")).join(F.broadcast(log_known), "x", "left")  # TOP rows at most
+    joined = dealt.select("key", "v", "k", "c", x.alias("x")).join(F.broadcast(log_known), "x", "left")  # TOP rows at most
     sign = F.when(F.col("c").isNotNull(), -1.0).otherwise(1.0)
     known = F.when(F.col("c").isNotNull(), F.log("c")).when(F.col("v") == FIRST, F.lit(-log_n)).otherwise(F.lit(math.log(BACKOFF) - log_n))
     rare = F.col("x") < 0
