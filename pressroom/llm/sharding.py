@@ -7,9 +7,12 @@ number of rows and differ by one at most, so the shards do, too.
 
 The walk needs only the number of rows in each arc: 2**16 counts at most, whatever the size of the data, which go to the
 driver. Rows get their turn in their arc by hash; the arcs are even because keys are hashed, and a doc_id (or null) that
-many rows share is spread by its text. Rows equal in both are alike, and share an arc.
+many rows share is spread by its text. Rows equal in both share an arc; an arc with many more rows than the mean is numbered
+in lots, dealt by the rows' numbers, of which each takes up where the one before ends.
 
-Nulls: a null doc_id hashes as such, a null text has no bytes and the checksum of the empty text. Tables may be empty.
+Nulls: a null doc_id hashes as such, a null text has no bytes and the checksum of the empty text. Empty and long texts, ties and
+repeated rows are rows like others: each gets a slot of its own. An empty table gives an empty table. The document travels as one
+struct, so its other columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,9 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, read
+from .common import materialize, mix, read
 
 ARCS, VNODES = 1 << 16, 256
+#: Rows of an arc, or times the mean of all arcs, up to which one task numbers them.
+LOT, HOT = 20_000, 4
 
 
 def ring(shards: int, vnodes: int = VNODES, arcs: int = ARCS) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +87,20 @@ def shard(docs: DataFrame, shards: int, vnodes: int = VNODES, slack: float = 0.0
     load = np.zeros(ARCS, dtype=np.int64)
     for r in keyed.groupBy("arc").count().collect():  # ARCS rows at most
         load[r["arc"]] = r["count"]
+    bound = max(LOT, HOT * int(load.sum()) // ARCS)
+    hot = {int(a): int(-(-load[a] // bound)) for a in np.flatnonzero(load > bound)}
+    lots: dict[int, list[int]] = {}
+    lot = F.lit(0)
+    if hot:  # ARCS / HOT arcs and ARCS * (1 + 1 / HOT) lots at most
+        keyed = materialize(keyed)  # the rows' numbers are needed twice
+        many = F.broadcast(spark.createDataFrame(list(hot.items()), "arc int, lots int"))
+        lot = F.pmod(F.xxhash64("c"), F.coalesce("lots", F.lit(1))).cast("int")
+        keyed = keyed.join(many, "arc", "left").withColumn("lot", lot)
+        lots = {a: [0] * n for a, n in hot.items()}
+        for r in keyed.where("lots is not null").groupBy("arc", "lot").count().collect():
+            lots[r["arc"]][r["lot"]] = r["count"]
+    else:
+        keyed = keyed.withColumn("lot", lot)
     plan = assign(load, shards, vnodes, slack)
     slots, rows, base = np.zeros(shards, dtype=np.int64), [], 0
     for a, first, end, s in sorted(plan):
@@ -90,10 +109,11 @@ def shard(docs: DataFrame, shards: int, vnodes: int = VNODES, slack: float = 0.0
     spans: dict[int, list] = {}
     for a, *rest in rows:
         spans.setdefault(a, []).append(tuple(rest))
-    table = spark.createDataFrame(list(spans.items()), "arc int, spans array<struct<first:long,end:long,shard:int,base:long>>")
-    turn = F.row_number().over(Window.partitionBy("arc").orderBy("h", "c")).cast("long") - 1
+    before = {a: [0, *np.cumsum(n)[:-1].tolist()] for a, n in lots.items()}
+    table = spark.createDataFrame([(a, x, before.get(a, [0])) for a, x in spans.items()], "arc int, spans array<struct<first:long,end:long,shard:int,base:long>>, before array<long>")
+    in_lot = F.row_number().over(Window.partitionBy("arc", "lot").orderBy("h", "c")).cast("long") - 1
     # 2**16 arcs at most: a bound that doesn't depend on the data.
-    out = keyed.withColumn("turn", turn).join(F.broadcast(table), "arc", "left")
+    out = keyed.withColumn("turn", in_lot).join(F.broadcast(table), "arc", "left").withColumn("turn", F.col("turn") + F.get("before", F.col("lot")))
     out = out.withColumn("span", F.element_at(F.filter("spans", lambda x: (x["first"] <= F.col("turn")) & (F.col("turn") < x["end"])), 1))
     return out.select("row", F.col("span.shard").alias("shard"), (F.col("span.base") + F.col("turn") - F.col("span.first")).alias("slot"))
 

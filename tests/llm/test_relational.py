@@ -62,6 +62,35 @@ def test_ring_walk_by_hand():
     assert all(home[a] == s for a, _, _, s in loose)
 
 
+def test_ring_walk_of_single_keys():
+    """Key by key: every shard that a key passes on its way clockwise is full, and a key that was taken passed no room."""
+    for seed, shards, slack in ((3, 5, 0.0), (4, 24, 0.0), (5, 7, 0.25)):
+        load = np.random.default_rng(seed).integers(0, 30, 1 << 9)
+        at, who = sharding.ring(shards, 16, len(load))
+        plan = sharding.assign(load, shards, 16, slack)
+        room = sharding.capacities(int(load.sum()), shards, slack)
+        of = {(a, t): s for a, f, e, s in plan for t in range(f, e)}
+        assert len(of) == load.sum()
+        taken = Counter(of.values())
+        full = {s for s in range(shards) if taken[s] == room[s]}
+        assert all(taken[s] <= room[s] for s in range(shards))
+        for (a, _), s in of.items():
+            i = int(np.searchsorted(at, a)) % len(at)
+            while who[i] != s:
+                assert who[i] in full
+                i = (i + 1) % len(at)
+
+
+def test_sharding_hot_arc(spark, monkeypatch):
+    """A third of all rows alike share an arc, which is numbered in lots: still one slot each, without gaps."""
+    monkeypatch.setattr(sharding, "LOT", 10)
+    d = spark.range(0, 600, 1, 4).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"), F.col("id").alias("shard"))
+    got = sharding.shard(d, 7).toPandas()
+    assert len(got) == 600 and sorted(r["shard"] for r in got["row"]) == list(range(600))
+    for _, x in got.groupby("shard"):
+        assert sorted(x.slot) == list(range(len(x))) and len(x) in (85, 86)
+
+
 def test_growth_moves_little():
     load = np.random.default_rng(2).integers(50, 60, 1 << 16)
     own = lambda n: {(a, t): s for a, f, e, s in sharding.assign(load[:4096], n) for t in range(f, e)}
@@ -269,6 +298,21 @@ def test_lm_repeated_rows(spark):
     assert got == sorted((k, len(t.split()), round(w, 9)) for k, t, w in zip((1, 1, 1, 0), texts, want, strict=True))
 
 
+@pytest.mark.parametrize("rate", [0.01, 3.75, 745.0, 1000.0, 1e6])
+def test_mixing_distribution(spark, rate):
+    """The distribution function at every rate against the closed form, and the copies' mean and deviation."""
+    import math
+
+    r = mixing.poisson(spark.createDataFrame([("a", 5, rate), (None, 1, 0.0)], "s string, n long, rate double")).collect()
+    none, one = sorted(r, key=lambda x: x.rate)
+    assert none.least == 0 and none.cdf[0] == 1.0
+    p = np.array([math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(one.least, one.least + len(one.cdf))])
+    assert np.allclose(one.cdf, np.cumsum(p), atol=1e-9 * max(1, rate**0.5)) and len(one.cdf) < 30 * rate**0.5 + 60
+    u = np.random.default_rng(1).random(20_000)
+    k = one.least + np.searchsorted(one.cdf, u, side="right")
+    assert abs(k.mean() - rate) < 5 * (rate / len(u)) ** 0.5 + 1e-3 and abs(k.std() - rate**0.5) < 0.05 * rate**0.5
+
+
 def test_mixing_large_rates(spark):
     """A rate beyond exp's range is drawn from its own distribution."""
     d = docs(spark, ["t"] * 40, "a").unionByName(docs(spark, ["t"] * 40, "b").withColumn("doc_id", F.col("doc_id") + 1000))
