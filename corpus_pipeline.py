@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages over documents, each on all its predecessor kept.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents."""
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents, the last adds size, shard and slot.
+Nulls, in any column: a document without a text is no one's duplicate, holds no benchmark item, is scored for toxicity as an
+empty one, is mixed and sharded like others; one without a doc_id, too, and null sources are a source. Ties and repeated rows: rows
+equal in doc_id and text are judged alike, near_dedup keeps one of them, mixing repeats them alike, and each gets a slot of its own. Empty tables:
+each stage returns an empty table of its columns; without labels toxicity keeps all, without benchmark items decontamination does."""
 
 from __future__ import annotations
 
@@ -38,10 +42,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, shard and slot; the text itself stays where the mixing stage wrote it."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lean = docs.select("doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.hex(F.xxhash64(text, F.col("text").isNull())).alias("text"))
-    return shard(lean, SHARDS).select("row.doc_id", "row.source", "row.size", "shard", "slot")
+    """The documents with their columns, and size, shard and slot beside them, in the place of columns so called."""
+    out = shard(docs, SHARDS)
+    size = (F.octet_length(F.coalesce("row.text", F.lit(""))) + 8).cast("long").alias("size")
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("size", "shard", "slot")), size, "shard", "slot")
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
