@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,21 +34,33 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir), or in a local one where that is unset, as in tests."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Where that is unset a local folder serves a local session; a cluster has to set it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="pressroom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder and reads it again: lineage ends there, and lost executors don't lose it."""
+def materialize(df: DataFrame, old: list[str] | None = None) -> DataFrame:
+    """Writes df once to the shared folder and reads it again: lineage ends there, and lost executors don't lose it. old: gets the path, for `remove`."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    if old is not None:
+        old.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing reads any longer, wherever the shared folder is, and empties the list."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def small_or_same(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has `rows` rows at most, else df as it is, to be joined by shuffle. df should be materialized."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

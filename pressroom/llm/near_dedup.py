@@ -13,7 +13,9 @@ of BLOCK by BLOCK documents, each block pair a task's work of bounded size; a pa
 is skipped, and a task reports a forest of links. The components of the links are the classes.
 
 Documents with equal sets are one node throughout; copies are never paired. Documents without words (or text) are linked
-with nothing. Null doc_ids are passed over for the least doc_id of a class. Rows equal in doc_id and text stay or go together.
+with nothing. Null doc_ids are passed over for the least doc_id of a class. Rows equal in doc_id and text are one document: they have
+one class, and drop_near_duplicates keeps one of them. Very long texts are hashed whole. An empty table gives an empty table. doc_id
+is a number; other columns may have any names and types, and aren't looked at.
 """
 
 from __future__ import annotations
@@ -162,8 +164,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("d"), text_key().alias("t"), F.col("text").alias("x"))
     rows = materialize(own.mapInArrow(_sets(n), "d long, t long, node binary, n long, sig binary"))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("d").alias("least"), F.first("sig").alias("sig"), F.min(F.struct("d", "t")).alias("one"))
-    nodes = materialize(nodes)
+    least = F.min(F.struct(F.col("d").isNull().alias("z"), "d", "t"))  # of those with a doc_id, if there are any
+    nodes = materialize(rows.where("node is not null").groupBy("node").agg(least.alias("least"), F.first("sig").alias("sig")))
     keys = nodes.select("node", "sig").mapInArrow(_keys, "node binary, keys array<long>").select(F.explode("keys").alias("key"), "node")
     keys = keys.repartition(partitions(spark), "key")  # one exchange, for the aggregation and the join
     heads = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
@@ -171,8 +173,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     sig = nodes.select("node", "sig")
     ties = ties.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     family = materialize(components(ties.select("a", "b", "sa", "sb").mapInArrow(_near, "a binary, b binary")))
-    blocks = family.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = materialize(family.join(blocks, "root").join(nodes, "node").select("node", "root", "blocks", F.col("one.d").alias("d1"), F.col("one.t").alias("t1")))
+    blocks = materialize(family.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    members = family.join(small_or_same(blocks), "root").join(nodes, "node")
+    members = materialize(members.select("node", "root", "blocks", F.col("least.d").alias("d1"), F.col("least.t").alias("t1")))
     texts = own.join(small_or_same(members), own.d.eqNullSafe(F.col("d1")) & (own.t == F.col("t1"))).select("node", "root", "blocks", "x")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,18 +189,27 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     pairs = sets.select("root", F.explode(others).alias("p"), "block", "node", "set").select("root", "p.b1", "p.b2", "block", "node", "set")
     pairs = pairs.repartition(partitions(spark), "root", "b1", "b2").sortWithinPartitions("root", "b1", "b2")
     classes = materialize(components(materialize(pairs.mapInArrow(_confirm(percent), "a binary, b binary"))))
-    least = classes.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component"))
-    found = classes.join(least, "root").select("node", "component")
-    found = materialize(nodes.select("node", "least").join(found, "node", "left").select("node", F.coalesce("component", "least").alias("component")))
-    return rows.join(small_or_same(found), "node", "left").select("d", "t", "n", F.coalesce("component", "d").alias("component"))
+    first = materialize(classes.join(nodes, "node").groupBy("root").agg(F.min("least").alias("first")))
+    found = classes.join(small_or_same(first), "root").select("node", "first")
+    found = materialize(nodes.select("node", "least").join(found, "node", "left").select("node", F.coalesce("first", "least").alias("first")))
+    out = ("d", "t", "n", "first")
+    # Documents without words stay out of the join: nulls would be one key.
+    alone = rows.where("node is null").select("d", "t", "n", F.lit(None).cast(found.schema["first"].dataType).alias("first"))
+    both = rows.where("node is not null").join(small_or_same(found), "node").select(*out).unionByName(alone)
+    return both.select(*out, F.coalesce("first.d", "d").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each class, that with the least doc_id, with its own columns."""
-    gone = materialize(near_duplicates(docs, n, percent).where("not d <=> component").select("d", "t").distinct())
+    """One document of each class, that with the least doc_id (of texts equal in doc_id, that with the least key), with its own columns;
+    and all documents without words. Of rows equal in doc_id and text one stays, the least by a hash of its columns."""
+    marked = near_duplicates(docs, n, percent).where("first is not null").groupBy("d", "t").agg(F.count("*").alias("c"), F.first("first").alias("first"))
+    one = F.col("d").eqNullSafe(F.col("first.d")) & (F.col("t") == F.col("first.t"))
+    marked = materialize(marked.select(F.col("d").alias("d1"), F.col("t").alias("t1"), one.alias("one"), "c").where("not one or c > 1"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d0"), text_key().alias("t0"))
-    table = small_or_same(gone)
-    return rows.join(table, rows.d0.eqNullSafe(table.d) & (rows.t0 == table.t), "left_anti").select("row.*")
+    same = F.col("d0").eqNullSafe(F.col("d1")) & (F.col("t0") == F.col("t1"))
+    often = materialize(marked.where("one"))
+    repeated = rows.join(small_or_same(often), same, "left_semi").groupBy("d0", "t0").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.join(small_or_same(marked), same, "left_anti").select("row.*").unionByName(repeated.select("row.*"))
 
 
 def op9_near_dedup(spark, sf_dir):

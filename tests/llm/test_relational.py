@@ -244,10 +244,35 @@ def test_near_odd_rows(spark):
     out = near_dedup.drop_near_duplicates(d)
     assert out.columns == d.columns
     kept = Counter(r.doc_id for r in out.collect())
-    assert kept[5] == 3 and 6 not in kept and {0, 1, 2, 3, 4, 8} <= set(kept)  # rows alike stay together
+    assert kept[5] == 1  # of rows alike one stays
+    assert 6 not in kept and {0, 1, 2, 3, 4, 8} <= set(kept)
     assert near_dedup.drop_near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_one_document_of_a_class_stays(spark):
+    """Repeated ids with equal and with near-equal texts: one row a class, whichever columns clash."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, base, "a"), (3, base, "b"), (3, base + " more", "c"), (4, base, "d"), (None, base, "e"), (5, "other text", "f"), (None, "", "g"), (None, "", "g")]
+    out = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, `first` string")).collect()
+    assert sorted(((r.doc_id or 0), len(r.text)) for r in out) in ([(0, 0), (0, 0), (3, len(base)), (5, 10)], [(0, 0), (0, 0), (3, len(base) + 5), (5, 10)])
+
+
+def test_components_against_union_find(spark):
+    """A hub of a third of all edges, chains, repeated edges and loops."""
+    from pressroom.llm.components import components
+
+    rng = random.Random(8)
+    edges = [(0, k) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(40)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)]
+    edges += edges[:9] + [(7, 7)]
+    group = {x: x for e in edges for x in e}
+    for _ in range(len(group)):
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: v for k, v in group.items() if k in got} and set(got) == {x for a, b in edges if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # language model
 
 
