@@ -1,9 +1,12 @@
 """Factorisation machine for texts: y = w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j.
 
 The pairwise sum is half of sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2), so a document costs time linear in its terms.
-Terms are hashed to 2**BITS buckets: words in lower case, and their first four and five letters. Of the buckets, those that tell
-the classes apart best in the training rows are kept, the others weigh nothing; statistics are cut into equal-count bins.
-Fitted on the driver on a bounded sample of labelled rows; scored by executors over whole texts.
+Terms are hashed to 2**BITS buckets: words in lower case, and their first four and five letters. Of the buckets, all those that
+tell the classes apart significantly in the training rows are kept, the others weigh nothing; statistics are cut into equal-count
+bins. Fitted on the driver on a bounded sample of labelled rows; scored by executors over whole texts.
+
+Executors make the sample's terms and count them by bucket and class. Only the kept buckets come to the driver, and the sample's
+rows reduced to them; the fit runs on index lists, without a matrix of rows by terms.
 """
 
 from __future__ import annotations
@@ -17,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .docstats import RATIOS, counts, ratios
 
-BITS, PREFIXES, BINS, FACTORS, TERMS = 20, (4, 5), 12, 8, 768
+BITS, PREFIXES, BINS, FACTORS = 20, (4, 5), 12, 8
+#: A bucket is kept if it is in LEAST training rows or more and the classes' shares differ by SIGNIFICANT standard errors.
+LEAST, SIGNIFICANT = 5, 4.0
 #: Labelled rows of each class that a fit takes at most; which ones, a hash of doc_id decides.
 ROWS_A_CLASS = 4_000
 
@@ -94,51 +100,76 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(sets: list[np.ndarray], numbers: np.ndarray, y: np.ndarray, terms: int = TERMS, factors: int = FACTORS, steps: int = 400, l2: float = 3e-4, seed: int = 7) -> Model:
-    """Full-batch Adam on the logistic loss, classes weighted alike. sets: term buckets; numbers: statistics, no columns for none. Without both classes the machine says 0.5."""
+class Rows:
+    """Rows of 0/1 features as one list of column numbers; sums by row and by column."""
+
+    def __init__(self, rows: list[np.ndarray], columns: int):
+        size = np.array([len(r) for r in rows])
+        self.at = np.concatenate(rows).astype(np.int64)
+        self.row = np.repeat(np.arange(len(rows)), size)
+        order = np.argsort(self.at, kind="stable")  # by column, for the sums by column
+        self.by_column, self.columns = self.row[order], columns
+        self.size, self.count = size, np.bincount(self.at, minlength=columns)
+
+    @staticmethod
+    def _sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(size), *x.shape[1:]), dtype=np.float64)
+        some = size > 0
+        if some.any():
+            out[some] = np.add.reduceat(x, (np.cumsum(size) - size)[some], axis=0)
+        return out
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """X w."""
+        return self._sums(w[self.at], self.size)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """X' g."""
+        return self._sums(g[self.by_column], self.count)
+
+
+def fit(rows: list[np.ndarray], numbers: np.ndarray, y: np.ndarray, keep: dict[int, int], factors: int = FACTORS, steps: int = 150, rate: float = 0.08, l2: float = 3e-4, seed: int = 7) -> Model:
+    """Full-batch Adam on the logistic loss, classes weighted alike. rows: kept features, by number; numbers: statistics, no columns for none. Without both classes the machine says 0.5."""
     y = np.asarray(y, dtype=np.float64)
     stats = numbers.shape[1] > 0
     if len(set(y.tolist())) < 2:
         return Model(0.0, np.zeros(0), np.zeros((0, factors)), {}, [], False)
-    pos, neg = (np.bincount(np.concatenate([s for s, a in zip(sets, y, strict=True) if a == k] or [np.zeros(0, dtype=np.int64)]), minlength=1 << BITS) for k in (1, 0))
-    n1, n0 = y.sum(), (1 - y).sum()
-    p = (pos + neg) / len(y)
-    z = np.abs(pos / n1 - neg / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[pos + neg < 5] = 0
-    best = [int(b) for b in np.argsort(-z, kind="stable")[:terms] if z[b] > 4]
-    keep = {b: k for k, b in enumerate(sorted(best))}
     edges = [np.unique(np.quantile(numbers[:, k], np.arange(1, BINS) / BINS)) for k in range(numbers.shape[1])]
-    model = Model(0.0, np.zeros(0), np.zeros((0, factors)), keep, edges, stats)
-    d = len(keep) + sum(len(e) + 1 for e in edges)
-    x = np.zeros((len(y), d), dtype=np.float32)
-    for k, (s, r) in enumerate(zip(sets, numbers, strict=True)):
-        for b in s:
-            if (j := keep.get(int(b))) is not None:
-                x[k, j] = 1
-        n = len(keep)
-        for value, e in zip(r, edges, strict=True):
-            x[k, n + int(np.searchsorted(e, value, side="right"))] = 1
-            n += len(e) + 1
+    n, bins = len(keep), []
+    for k, e in enumerate(edges):
+        bins.append(n + np.searchsorted(e, numbers[:, k], side="right"))
+        n += len(e) + 1
+    x = Rows([np.concatenate([r, *(b[i : i + 1] for b in bins)]) for i, r in enumerate(rows)], n)
     rng = np.random.default_rng(seed)
-    par = [np.zeros(1, dtype=np.float32), np.zeros(d, dtype=np.float32), rng.normal(0, 0.05, (d, factors)).astype(np.float32)]
+    par = [np.zeros(1), np.zeros(n), rng.normal(0, 0.05, (n, factors))]
     m1, m2 = [np.zeros_like(a) for a in par], [np.zeros_like(a) for a in par]
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0).astype(np.float32)
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     for t in range(1, steps + 1):
-        xv = x @ par[2]
-        out = par[0] + x @ par[1] + 0.5 * (xv**2 - x @ par[2] ** 2).sum(1)  # x is 0 or 1: x*x = x
-        g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y).astype(np.float32) * weight
-        grads = [np.array([g.sum()]), x.T @ g + l2 * par[1] / 10, x.T @ (g[:, None] * xv) - (x.T @ g)[:, None] * par[2] + l2 * par[2]]
+        sums = x.dot(np.column_stack([par[1], (par[2] ** 2).sum(1), par[2]]))
+        xv = sums[:, 2:]
+        out = par[0] + sums[:, 0] + 0.5 * ((xv**2).sum(1) - sums[:, 1])  # x is 0 or 1: x*x = x
+        g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y) * weight
+        back = x.back(np.column_stack([g, g[:, None] * xv]))
+        grads = [np.array([g.sum()]), back[:, 0] + l2 * par[1] / 10, back[:, 1:] - back[:, :1] * par[2] + l2 * par[2]]
         for k in range(3):
             m1[k] = 0.9 * m1[k] + 0.1 * grads[k]
             m2[k] = 0.99 * m2[k] + 0.01 * grads[k] ** 2
-            par[k] = (par[k] - 0.05 * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
-    model.w0, model.w, model.v = float(par[0][0]), par[1].astype(np.float64), par[2].astype(np.float64)
-    return model
+            par[k] = par[k] - rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-7)
+    return Model(float(par[0][0]), par[1], par[2], keep, edges, stats)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, stats: bool, words: bool = True, rows_a_class: int = ROWS_A_CLASS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Term buckets, statistics and labels of at most rows_a_class rows of each class among those for which `train` holds: the least by a hash of doc_id.
-    Executors make the features of the whole texts; only these, of 2 * rows_a_class rows at most, come to the driver."""
+def significant(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """b of those rows of (b, pos, neg: training rows of each class with the bucket) that tell the classes apart."""
+    n = float(n1 + n0)
+    p = (F.col("pos") + F.col("neg")) / n
+    error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / n0))
+    z = F.abs(F.col("pos") / float(n1) - F.col("neg") / float(n0)) / error
+    return counts.where((F.col("pos") + F.col("neg") >= LEAST) & (z > SIGNIFICANT)).select("b")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, stats: bool, words: bool = True, rows_a_class: int = ROWS_A_CLASS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, dict[int, int]]:
+    """Kept terms by number, statistics, labels, and the numbers by bucket, of at most rows_a_class rows of each class among those for which `train` holds:
+    the least by a hash of doc_id. A doc_id labelled more than once has its greatest label; null and other labels are passed over. Executors make the features of the whole texts."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & train)
     ids = ids.groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64("doc_id")
@@ -148,20 +179,37 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, stat
         terms = Terms()
         for b in batches:
             made = [raw_features(t, stats) for t in b.column(1).to_pylist()]
-            sets = [np.array(sorted(terms(w)) if words else [], dtype=np.uint32).tobytes() for w, _ in made]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sets, pa.binary()), pa.array([r for _, r in made], pa.list_(pa.float64()))], ["d", "y", "s", "r"])
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
-    got = own.select(F.col("doc_id").alias("d"), "text", "y").mapInArrow(of, "d long, y int, s binary, r array<double>").collect()
-    best = {}
-    for r in got:  # of rows equal in doc_id one counts, whatever the order of reading
-        best[r.d] = min(best.get(r.d, r), r, key=lambda x: (bytes(x.s), x.r))
-    rows = [best[k] for k in sorted(best)]
-    return [np.frombuffer(r.s, dtype=np.uint32) for r in rows], np.array([r.r for r in rows]).reshape(len(rows), len(RATIOS) * stats), np.array([r.y for r in rows], dtype=np.int64)
+            sets = [sorted(terms(w)) if words else [] for w, _ in made]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sets, pa.list_(pa.int32())), pa.array([r for _, r in made], pa.list_(pa.float64()))], ["d", "y", "s", "r"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")  # 2 * rows_a_class rows
+    made = own.select(F.col("doc_id").alias("d"), "text", "y").mapInArrow(of, "d long, y int, s array<int>, r array<double>")
+    # Of rows equal in doc_id one counts, whatever the order of reading.
+    made = materialize(made.groupBy("d").agg(F.min(F.struct("y", "s", "r")).alias("x")).select("d", "x.*"))
+    n1, n0 = made.agg(F.count(F.when(F.col("y") == 1, 1)), F.count(F.when(F.col("y") == 0, 1))).first()
+    keep: dict[int, int] = {}
+    if n1 and n0 and words:
+        by_bucket = made.select("y", F.explode("s").alias("b")).groupBy("b").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+        keep = {b: k for k, b in enumerate(sorted(r.b for r in significant(by_bucket, n1, n0).collect()))}  # 2**BITS at most
+    table = np.array(sorted(keep), dtype=np.int32)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for b in batches if b.num_rows):
+            flat, ends = b.column(2).flatten().to_numpy(), b.column(2).offsets.to_numpy() - b.column(2).offsets[0].as_py()
+            at = np.searchsorted(table, flat)
+            there = (table[np.minimum(at, len(table) - 1)] == flat) if len(table) else np.zeros(len(flat), dtype=bool)
+            upto = np.concatenate([[0], np.cumsum(there)])[ends].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(upto), pa.array(at[there].astype(np.int32))), b.column(3)], ["d", "y", "s", "r"])
+
+    rows = made.mapInArrow(kept, made.schema).orderBy("d").toArrow()
+    sets = [np.array(s, dtype=np.int64) for s in rows.column("s").to_pylist()]
+    numbers = np.array(rows.column("r").to_pylist(), dtype=np.float64).reshape(rows.num_rows, len(RATIOS) * stats)
+    return sets, numbers, rows.column("y").to_numpy().astype(np.int64), keep
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """row (the document as a struct, whatever its columns are called) and score. Null and empty texts are scored as such."""
+    """row (the document as a struct, whatever its columns are called) and score, which depends on the text alone: repeated rows and ties
+    score alike, null and empty texts as such. An empty table gives an empty one."""
 
     at = docs.columns.index("text")  # the text goes to Python once, inside the row
 

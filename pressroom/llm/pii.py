@@ -6,7 +6,9 @@ IP address, a card or a phone number, a web address with a user's name in it, an
 (parts of an IP, Luhn's sum, the digits of a phone, mod 97 of an IBAN). Nothing else of the text is looked at.
 
 Base kinds: email, ip, card, phone, by the patterns given with `scan`; added kinds: url, iban, secret. Spans count
-code points, the end is exclusive. Null and empty texts have none.
+code points, the end is exclusive. Null and empty texts have none, very long ones are scanned whole. A row's spans depend on its
+text alone, so ties and repeated rows have the same; an empty table gives an empty one. The document travels as one struct, so its
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -157,4 +159,5 @@ def op6_pii(spark, sf_dir):
     as_text = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end_"].cast("string"))
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("row.doc_id", *(count(k) for k in BASE_KINDS), F.sha2(F.array_join(F.transform(base, as_text), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("spans", as_text), ",").alias("spans"))
+    added = F.size(F.filter("spans", lambda x: ~x["kind"].isin(*BASE_KINDS))).cast("long").alias("n_added")
+    return found.select("row.doc_id", *(count(k) for k in KINDS), added, F.size("spans").cast("long").alias("n_spans"), F.sha2(F.array_join(F.transform(base, as_text), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("spans", as_text), ",").alias("spans"))

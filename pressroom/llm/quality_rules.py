@@ -3,7 +3,11 @@
 Histogram trees with Newton leaves for the logistic loss, grown to a fixed depth on a bounded sample of labelled rows. On
 the features named in MONOTONE a split is allowed only if it keeps the sign, and each side's leaves are bounded by the
 middle of the two, so the score never goes the wrong way. The trees are flattened to node arrays; a batch is scored by
-walking all its rows down together. Null and empty texts have no words and fail the base rule.
+walking all its rows down together.
+
+Null and empty texts have no words and fail the base rule; very long ones are counted whole. A row's result depends on its text alone,
+so ties and repeated rows have the same. An empty table gives an empty one; without labels of both classes every score is 0.5. The document
+travels as one struct, so its other columns may have any names. doc_id is a number.
 """
 
 from __future__ import annotations
@@ -101,7 +105,7 @@ def boost(x: np.ndarray, y: np.ndarray, sign: np.ndarray, rounds: int = 60, dept
 
 def fit_rules(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS) -> Trees:
     """Trained on the rows whose crc32(doc_id) mod 5 isn't 0, so that the others can test it."""
-    _, x, y = labelled(docs, labels, "quality", fold(5) != 0, stats=True, words=False, rows_a_class=rows_a_class)
+    _, x, y, _ = labelled(docs, labels, "quality", fold(5) != 0, stats=True, words=False, rows_a_class=rows_a_class)
     return boost(x, y, np.array([MONOTONE.get(n, 0) for n in RATIOS]))
 
 

@@ -1,6 +1,8 @@
 """Toxicity: a factorisation machine over hashed terms (fm.py), so that pairs of terms weigh beside single ones.
 
-Null and empty texts are scored by what an empty text has: no terms. A row's score depends on its text alone."""
+Null and empty texts are scored by what an empty text has: no terms. A row's score depends on its text alone. So ties
+and repeated rows score alike. An empty table gives an empty one; without labels of both classes every score is 0.5. Very long texts
+are read whole. The document travels as one struct, so its other columns may have any names. doc_id is a number."""
 
 from __future__ import annotations
 
