@@ -3,23 +3,31 @@
 An item is contained in a document if the document holds `threshold` of its distinct shingles. Documents are partitioned
 by size: partition p has up to 2**p shingles. In it, MinHash has 2**(p + 2) bins (one permutation: the leading bits of a
 shingle's hash are its bin, the least hash of a bin is the bin's value), so a long document gets a signature as much
-longer as it needs for a short item to show: a shingle is its bin's least with a chance of 0.88 or more. An item's value
-in a bin that equals the document's makes the two candidates. A hash is least in its bin of the item from some number of bins
-on, so an item is indexed once for all partitions. Items of under SHORT shingles, for which that might miss one in a million, are
-searched by all shingles of the documents. Candidates are verified on full shingle sets.
+longer as it needs for a short item to show: a shingle is its bin's least with a chance of KEPT or more. A hash is least in
+its bin of the item from some number of bins on, so an item is indexed once for all partitions. The two are candidates if
+their values are equal in as many bins as containment implies: of m shared shingles at least KEPT * m - sqrt(m ln(1 / MISS) / 2) show
+but for a chance of MISS (Hoeffding). So a line that many documents and items share makes no candidates. Items of under SHORT
+shingles, for which one bin might miss one in a million, are searched by all shingles of the documents. Candidates are verified on
+full shingle sets; of a document's set only the shingles that some item has are carried to its pairs.
 
 A text of fewer words than a shingle is one shingle as a whole; null and blank texts have none and contain nothing. An item
-without an id is passed over. Equal texts are searched alike and verified once.
+without an id is passed over. Equal texts are searched alike and verified once, so repeated rows and ties have the same result. Very long
+texts are searched whole. An empty table gives an empty one, and without items no document is contaminated. The document travels as
+one struct, so its other columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read, small_or_same, word_array
+from .common import BROADCAST_ROWS, materialize, read, small_or_same, word_array
 
 WORDS, THRESHOLD, SHORT = 5, 0.8, 8
+#: A document's shingle is the least of its bin with this chance at least; the chance that a contained item shows too little.
+KEPT, MISS = 0.88, 1e-9
 
 
 def shingles(text: str | Column, n: int = WORDS) -> Column:
@@ -44,20 +52,29 @@ def contained(docs: DataFrame, items: DataFrame, n: int = WORDS, threshold: floa
     index = materialize(_index(items, n))
     flat = index.select("item", "q", F.explode(F.arrays_zip("set", "from")).alias("x")).select("item", "q", F.col("x.set").alias("h"), F.col("x.from").alias("from"))
     flat = materialize(flat)
+    # The items' shingles, a row each, are what is counted before a broadcast; the index holds the same as arrays.
+    few = flat.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sent = F.broadcast if few else (lambda df: df)
     own = keyed(docs).where("k1 is not null")
     sets = own.select("k1", "k2", shingles("text", n).alias("s"))
     sized = sets.where(F.size("s") > 0).select("k1", "k2", "s", F.ceil(F.log2(F.size("s").cast("double"))).cast("int").alias("p"), F.size("s").alias("n"))
     leading = lambda x: F.call_function("shiftright", x, F.lit(64) - _bits(F.col("p")))
     least = F.filter("s", lambda x, i: (i == 0) | (leading(x) != leading(F.get("s", i - 1))))
-    table = small_or_same(flat)
-    found = sized.select("k1", "k2", "p", "n", F.explode(least).alias("h")).join(table, "h").where((F.col("from") <= _bits(F.col("p"))) & (F.col("n") >= F.col("q") * threshold)).select("k1", "k2", "item")
+    shared = F.ceil(F.col("q") * threshold - 1e-9).cast("double")  # of a contained item
+    enough = F.greatest(F.lit(1.0), F.ceil(KEPT * shared - F.sqrt(shared * (math.log(1 / MISS) / 2))).cast("double"))
+    hits = sized.select("k1", "k2", "p", "n", F.explode(least).alias("h")).join(sent(flat), "h").where((F.col("from") <= _bits(F.col("p"))) & (F.col("n") >= F.col("q") * threshold))
+    found = hits.groupBy("k1", "k2", "item", "q").agg(F.count_distinct("h").alias("hits")).where(F.col("hits") >= enough).select("k1", "k2", "item")
     short = flat.where(F.col("q") < SHORT)
     if not short.isEmpty():
-        every = sized.select("k1", "k2", F.explode("s").alias("h")).join(small_or_same(short), "h").select("k1", "k2", "item")
+        every = sized.select("k1", "k2", F.explode(F.array_distinct("s")).alias("h")).join(sent(short), "h")
+        every = every.groupBy("k1", "k2", "item", "q").agg(F.count_distinct("h").alias("hits")).where(F.col("hits") >= shared).select("k1", "k2", "item")
         found = found.unionByName(every)
     pairs = materialize(found.distinct())
     texts = own.join(small_or_same(materialize(pairs.select("k1", "k2").distinct())), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.select("k1", "k2", shingles("text", n).alias("s")), ["k1", "k2"]).join(small_or_same(index.select("item", "q", "set")), "item")
+    known = flat.select("h").distinct()
+    own_shingles = texts.select("k1", "k2", F.explode(F.array_distinct(shingles("text", n))).alias("h")).join(sent(known), "h", "left_semi")
+    own_shingles = own_shingles.groupBy("k1", "k2").agg(F.collect_list("h").alias("s"))
+    both = pairs.join(own_shingles, ["k1", "k2"]).join(sent(index.select("item", "q", "set")), "item")
     share = F.size(F.array_intersect("s", "set")) / F.col("q")
     return materialize(both.withColumn("c", share).where(F.col("c") >= threshold).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("c").alias("containment")))
 

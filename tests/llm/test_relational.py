@@ -157,6 +157,26 @@ def test_decontamination_planted(spark):
     assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {k for k, w in enumerate(want) if not w}
 
 
+def test_decontamination_common_line(spark):
+    """A line that all items begin with is in many documents: only those that hold an item are found, repeated texts alike."""
+    rng = random.Random(10)
+    line = words(rng, 14, 100_000)
+    items = [line + words(rng, n, 100_000) for n in (6, 10, 20, 30, 60) for _ in range(4)]
+    texts, want = [], []
+    for k in range(60):
+        own = [*words(rng, 200, 100_000), *line, *words(rng, 300, 100_000)]
+        if k % 4 == 0:
+            own += [w if rng.random() > 0.02 else "x" for w in items[k % len(items)]]
+        grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        texts.append(" ".join(own))
+        want.append([j for j, o in enumerate(items) if len(grams(o) & grams(own)) / len(grams(o)) >= 0.8])
+    texts, want = texts + texts[:9], want + want[:9]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    d = docs(spark, texts)
+    got = {r.doc_id: list(r["items"]) for r in decontamination.keyed(d).select("row.doc_id", "k1", "k2").join(decontamination.contained(d, bench), ["k1", "k2"]).collect()}
+    assert [got.get(k, []) for k in range(len(texts))] == want and any(want) and not all(want)
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (None, "two words")], "item_id long, text string")
     out = decontamination.decontaminate(frame(spark), bench)
