@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, words_of
 from .docstats import RATIOS, counts, ratios
 
 BITS, PREFIXES, BINS, FACTORS = 20, (4, 5), 12, 8
@@ -30,41 +30,40 @@ LEAST, SIGNIFICANT = 5, 4.0
 ROWS_A_CLASS = 4_000
 
 
-class Terms:
-    """Hash buckets of a text's terms."""
+class Terms(dict):
+    """Hash buckets of a text's terms, or, given the kept ones, their features. Words are numbered as they come; a table has the terms of each."""
 
     def __init__(self, keep: dict[int, int] | None = None, bound: int = 400_000):
-        self.memo: dict[str, tuple[int, ...]] = {}
         self.keep, self.bound = keep, bound
-
-    def _of(self, word: str) -> tuple[int, ...]:
-        low = word.strip(".,;:!?\"'()[]").lower()
-        h = tuple(crc32(mark + x.encode("utf-8", "surrogatepass")) >> (32 - BITS) for mark, x in ((b"", low), *((b"^%d" % n, low[:n]) for n in PREFIXES))) if low else ()
-        if self.keep is not None:
-            h = tuple(self.keep[x] for x in h if x in self.keep)
-        self.memo[word] = h
-        return h
-
-    def __call__(self, words: set[str]) -> set[int]:
-        if len(self.memo) > self.bound:
-            self.memo.clear()
-        out: set[int] = set()
-        get = self.memo.get
-        for w in words:
-            h = get(w)
-            if h is None:
-                h = self._of(w)
-            if h:
-                out.update(h)
-        return out
-
-
-def raw_features(text: str | None, stats: bool) -> tuple[set[str], list[float]]:
-    """Distinct words and, if asked for, the statistics of a whole text."""
+        self.table = np.full((1024, 1 + len(PREFIXES)), -1, dtype=np.int32)
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+        self.table[k] = -1
+        low = word.decode("utf-8", "surrogatepass").strip(".,;:!?\"'()[]").lower()
+        if low:
+            for j, x in enumerate((low, *(low[:n] for n in PREFIXES))):
+                bucket = crc32((b"^%d" % PREFIXES[j - 1] if j else b"") + x.encode("utf-8", "surrogatepass")) >> (32 - BITS)
+                self.table[k, j] = bucket if self.keep is None else self.keep.get(bucket, -1)
+        return k
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """Sorted and distinct."""
+        if len(self) > self.bound:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        out = np.unique(self.table[at])
+        return out[np.searchsorted(out, 0) :]
+
+
+def raw_features(text: str | None, stats: bool) -> tuple[list[bytes], list[float]]:
+    """Words and, if asked for, the statistics of a whole text."""
     if not stats:
-        return {w.decode("utf-8", "surrogatepass") for w in set((text or "").encode("utf-8", "surrogatepass").split())}, []
+        return words_of(text), []
     c, words = counts(text)
-    return {w.decode("utf-8", "surrogatepass") for w in set(words)}, ratios(text, c)
+    return words, ratios(text, c)
 
 
 @dataclass
@@ -84,36 +83,34 @@ class Model:
         if self.memo is None:
             self.memo = Terms(self.keep)
         words, s = raw_features(text, self.stats)
-        out = sorted(self.memo(words))
-        n = len(self.keep)
+        bins, n = [], len(self.keep)
         for x, e in zip(s, self.edges, strict=True):
-            out.append(n + int(np.searchsorted(e, x, side="right")))
+            bins.append(n + int(np.searchsorted(e, x, side="right")))
             n += len(e) + 1
-        return np.array(out, dtype=np.int64)
+        return np.concatenate([self.memo(words), np.array(bins, dtype=np.int64)])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        out = np.empty(len(texts))
-        for k, t in enumerate(texts):
-            i = self.columns(t)
-            v = self.v[i]
-            out[k] = self.w0 + self.w[i].sum() + 0.5 * (v.sum(0) ** 2 - (v**2).sum(0)).sum()
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        if not texts:
+            return np.zeros(0)
+        x = Rows([self.columns(t) for t in texts], len(self.w))
+        return 1 / (1 + np.exp(-np.clip(self.w0 + machine(x, self.w, self.v)[0], -30, 30)))
 
 
 class Rows:
     """Rows of 0/1 features as one list of column numbers; sums by row and by column."""
 
     def __init__(self, rows: list[np.ndarray], columns: int):
-        size = np.array([len(r) for r in rows])
+        self.size, self.columns = np.array([len(r) for r in rows]), columns
         self.at = np.concatenate(rows).astype(np.int64)
-        self.row = np.repeat(np.arange(len(rows)), size)
-        order = np.argsort(self.at, kind="stable")  # by column, for the sums by column
-        self.by_column, self.columns = self.row[order], columns
-        self.size, self.count = size, np.bincount(self.at, minlength=columns)
+
+    def by_column(self) -> None:
+        """What `back` needs."""
+        row, order = np.repeat(np.arange(len(self.size)), self.size), np.argsort(self.at, kind="stable")
+        self.order, self.count = row[order], np.bincount(self.at, minlength=self.columns)
 
     @staticmethod
     def _sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(size), *x.shape[1:]), dtype=np.float64)
+        out = np.zeros((len(size), *x.shape[1:]))
         some = size > 0
         if some.any():
             out[some] = np.add.reduceat(x, (np.cumsum(size) - size)[some], axis=0)
@@ -125,11 +122,19 @@ class Rows:
 
     def back(self, g: np.ndarray) -> np.ndarray:
         """X' g."""
-        return self._sums(g[self.by_column], self.count)
+        return self._sums(g[self.order], self.count)
+
+
+def machine(x: Rows, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linear and pairwise sums of each row, by the sum-of-squares identity, and X v. x is 0 or 1: x*x = x."""
+    sums = x.dot(np.column_stack([w, (v**2).sum(1), v]))
+    xv = sums[:, 2:]
+    return sums[:, 0] + 0.5 * ((xv**2).sum(1) - sums[:, 1]), xv
 
 
-def fit(rows: list[np.ndarray], numbers: np.ndarray, y: np.ndarray, keep: dict[int, int], factors: int = FACTORS, steps: int = 150, rate: float = 0.08, l2: float = 3e-4, seed: int = 7) -> Model:
-    """Full-batch Adam on the logistic loss, classes weighted alike. rows: kept features, by number; numbers: statistics, no columns for none. Without both classes the machine says 0.5."""
+def fit(rows: list[np.ndarray], numbers: np.ndarray, y: np.ndarray, keep: dict[int, int], factors: int = FACTORS, epochs: int = 20, steps: int = 300, batch: int = 512, rate: float = 0.03, l2: float = 3e-4, seed: int = 7) -> Model:
+    """Adam on the logistic loss in batches, `epochs` times over the rows and `steps` steps at least, classes weighted alike. rows: kept features,
+    by number; numbers: statistics, no columns for none. Without both classes the machine says 0.5."""
     y = np.asarray(y, dtype=np.float64)
     stats = numbers.shape[1] > 0
     if len(set(y.tolist())) < 2:
@@ -139,22 +144,27 @@ def fit(rows: list[np.ndarray], numbers: np.ndarray, y: np.ndarray, keep: dict[i
     for k, e in enumerate(edges):
         bins.append(n + np.searchsorted(e, numbers[:, k], side="right"))
         n += len(e) + 1
-    x = Rows([np.concatenate([r, *(b[i : i + 1] for b in bins)]) for i, r in enumerate(rows)], n)
     rng = np.random.default_rng(seed)
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y).mean())
+    batches = []
+    for own in np.array_split(rng.permutation(len(y)), -(-len(y) // batch)):
+        x = Rows([np.concatenate([rows[i], *(b[i : i + 1] for b in bins)]) for i in own], n)
+        x.by_column()
+        batches.append((x, y[own], weight[own] / len(own)))
     par = [np.zeros(1), np.zeros(n), rng.normal(0, 0.05, (n, factors))]
-    m1, m2 = [np.zeros_like(a) for a in par], [np.zeros_like(a) for a in par]
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    for t in range(1, steps + 1):
-        sums = x.dot(np.column_stack([par[1], (par[2] ** 2).sum(1), par[2]]))
-        xv = sums[:, 2:]
-        out = par[0] + sums[:, 0] + 0.5 * ((xv**2).sum(1) - sums[:, 1])  # x is 0 or 1: x*x = x
-        g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y) * weight
-        back = x.back(np.column_stack([g, g[:, None] * xv]))
-        grads = [np.array([g.sum()]), back[:, 0] + l2 * par[1] / 10, back[:, 1:] - back[:, :1] * par[2] + l2 * par[2]]
-        for k in range(3):
-            m1[k] = 0.9 * m1[k] + 0.1 * grads[k]
-            m2[k] = 0.99 * m2[k] + 0.01 * grads[k] ** 2
-            par[k] = par[k] - rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-7)
+    m1, m2, t = [np.zeros_like(a) for a in par], [np.zeros_like(a) for a in par], 0
+    for _ in range(max(epochs, -(-steps // len(batches)))):
+        for b in rng.permutation(len(batches)):
+            x, own_y, own_weight = batches[b]
+            t += 1
+            out, xv = machine(x, par[1], par[2])
+            g = (1 / (1 + np.exp(-np.clip(par[0] + out, -30, 30))) - own_y) * own_weight
+            back = x.back(np.column_stack([g, g[:, None] * xv]))
+            grads = [np.array([g.sum()]), back[:, 0] + l2 * par[1] / 10, back[:, 1:] - back[:, :1] * par[2] + l2 * par[2]]
+            for k in range(3):
+                m1[k] = 0.9 * m1[k] + 0.1 * grads[k]
+                m2[k] = 0.99 * m2[k] + 0.01 * grads[k] ** 2
+                par[k] = par[k] - rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-7)
     return Model(float(par[0][0]), par[1], par[2], keep, edges, stats)
 
 
@@ -179,7 +189,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, stat
         terms = Terms()
         for b in batches:
             made = [raw_features(t, stats) for t in b.column(1).to_pylist()]
-            sets = [sorted(terms(w)) if words else [] for w, _ in made]
+            sets = [terms(w) if words else [] for w, _ in made]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sets, pa.list_(pa.int32())), pa.array([r for _, r in made], pa.list_(pa.float64()))], ["d", "y", "s", "r"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")  # 2 * rows_a_class rows

@@ -43,10 +43,10 @@ def test_pair_is_learned():
     texts = [" ".join([*words(rng, 20, 50), *(["insult"] if a else []), *(["group"] if b else [])]) for a in (0, 1) for b in (0, 1) for _ in range(150)]
     y = np.array([a & b for a in (0, 1) for b in (0, 1) for _ in range(150)])
     terms = fm.Terms()
-    sets = [sorted(terms(fm.raw_features(t, False)[0])) for t in texts]
+    sets = [terms(fm.raw_features(t, False)[0]).tolist() for t in texts]
     share = lambda b, k: np.mean([b in s for s, a in zip(sets, y, strict=True) if a == k])
     keep = {b: k for k, b in enumerate(sorted(b for b in {b for s in sets for b in s} if abs(share(b, 1) - share(b, 0)) > 0.3))}
-    m = fm.fit([np.array([keep[b] for b in s if b in keep], dtype=np.int64) for s in sets], np.zeros((len(texts), 0)), y, keep, steps=400)
+    m = fm.fit([np.array([keep[b] for b in s if b in keep], dtype=np.int64) for s in sets], np.zeros((len(texts), 0)), y, keep)
     s = m.scores(["insult group w1", "insult w1", "group w1", "w1"])
     assert s[0] > 0.7 > max(s[1:])
 
@@ -67,6 +67,7 @@ def test_sums_by_row_and_column():
     for k, r in enumerate(rows):
         x[k, r] = 1
     sparse, w, g = fm.Rows(rows, 9), rng.normal(size=(9, 3)), rng.normal(size=(40, 2))
+    sparse.by_column()
     assert np.allclose(sparse.dot(w), x @ w) and np.allclose(sparse.back(g), x.T @ g)
 
 
@@ -77,7 +78,7 @@ def test_significant_buckets_are_all_kept(spark):
     train = {r.doc_id: r.quality for r in labels.where(fold(5) != 0).collect() if r.doc_id in text}
     terms, pos, neg = fm.Terms(), {}, {}
     for k, y in train.items():
-        for b in terms(fm.raw_features(text[k], False)[0]):
+        for b in terms(fm.raw_features(text[k], False)[0]).tolist():
             (pos if y else neg)[b] = (pos if y else neg).get(b, 0) + 1
     n1, n0 = sum(train.values()), len(train) - sum(train.values())
     want = set()
