@@ -151,7 +151,8 @@ def fit(rows: list[np.ndarray], numbers: np.ndarray, y: np.ndarray, keep: dict[i
         x = Rows([np.concatenate([rows[i], *(b[i : i + 1] for b in bins)]) for i in own], n)
         x.by_column()
         batches.append((x, y[own], weight[own] / len(own)))
-    par = [np.zeros(1), np.zeros(n), rng.normal(0, 0.05, (n, factors))]
+    spread = min(0.05, 0.35 / max(1.0, np.mean([len(r) for r in rows])) ** 0.5)  # so that the pairwise sum of a row starts small
+    par = [np.zeros(1), np.zeros(n), rng.normal(0, spread, (n, factors))]
     m1, m2, t = [np.zeros_like(a) for a in par], [np.zeros_like(a) for a in par], 0
     for _ in range(max(epochs, -(-steps // len(batches)))):
         for b in rng.permutation(len(batches)):
