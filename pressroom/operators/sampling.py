@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import NEGATIVES_HARD, NEGATIVES_RANDOM, SEED, WU_NEGATIVES
 from ..functions.scalars import draw
+from .ranks import ranked
 
 
 def fraction(df: DataFrame, id_: str, part: float, seed: int = SEED) -> DataFrame:
@@ -19,9 +20,9 @@ def fixed(df: DataFrame, id_: str, n: int, seed: int = SEED) -> DataFrame:
 
 
 def middle(df: DataFrame, n: int) -> DataFrame:
-    """The n rows in the middle of the order of (t, imp). Ranks are counted from the block's edge, in one ordered limit, not over the table."""
+    """The n rows in the middle of the order of (t, imp), by ranks that are counted in ranges."""
     skip = max(0, (df.count() - n) // 2)
-    return df.orderBy("t", "imp").offset(skip).limit(n)
+    return ranked(df, [F.col("t"), F.col("imp")], "_rank").where(F.col("_rank").between(skip + 1, skip + n)).drop("_rank")
 
 
 def negatives(candidates: DataFrame, hard: int = NEGATIVES_HARD, random: int = NEGATIVES_RANDOM, seed: int = SEED) -> DataFrame:

@@ -9,18 +9,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CLICK_LAG_MINUTES, CTR_PRIOR, MICROS_MINUTE
+from .ranks import ranked
 
 LAG = CLICK_LAG_MINUTES * MICROS_MINUTE
 #: Bucket of time within which a window frame runs: an article's log is cut into as many groups as it has buckets.
 BUCKET = 86_400_000_000 * 30
 
 
+def article_counts(displays: DataFrame) -> DataFrame:
+    """art, display_count, click_count, from art and label."""
+    return displays.groupBy("art").agg(F.count("*").alias("display_count"), F.sum("label").cast("bigint").alias("click_count"))
+
+
 def popularity(displays: DataFrame, top: int | None = None) -> DataFrame:
-    """art, display_count, click_count, rank (by clicks, then art), from art and label. Aggregated by article; the rank
-    is a window over the catalogue, unless only the top is asked for, which each partition cuts first."""
-    counts = displays.groupBy("art").agg(F.count("*").alias("display_count"), F.sum("label").cast("bigint").alias("click_count"))
-    if top:
-        counts = counts.orderBy(F.desc("click_count"), "art").limit(top)
+    """art, display_count, click_count, rank (by clicks, then art), from art and label. If only the top is asked for,
+    each partition cuts its own first; else the catalogue is ranked in ranges."""
+    counts = article_counts(displays)
+    if not top:
+        return ranked(counts, [-F.col("click_count"), F.col("art")])
+    counts = counts.orderBy(F.desc("click_count"), "art").limit(top)
     return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("click_count"), "art")).cast("bigint"))
 
 
@@ -33,6 +40,14 @@ def first_seen(displays: DataFrame) -> DataFrame:
     return displays.groupBy("art").agg(F.min("t").alias("first_t"))
 
 
+def reference_times(displays: DataFrame, published: DataFrame | None = None) -> DataFrame:
+    """art, first_t: what an article's age is counted from. Where a catalogue has times of publication (art, published) those count,
+    and articles without one have none; else the first display stands in."""
+    if published is None:
+        return first_seen(displays)
+    return published.where("published is not null").groupBy("art").agg(F.min("published").alias("first_t"))
+
+
 def asof_counts(displays: DataFrame, points: DataFrame, lag: int = LAG, bucket: int = BUCKET) -> DataFrame:
     """displays: art, t, label. points: art, t, and any other columns. Adds display_count, click_count before t.
 
@@ -71,5 +86,5 @@ def click_probabilities(counts: DataFrame) -> DataFrame:
 
 def head_set(counts: DataFrame, fraction: float) -> DataFrame:
     """The displayed articles that have most clicks: the given part of them, one at least."""
-    n = counts.count()
-    return counts.orderBy(F.desc("click_count"), "art").limit(max(1, int(n * fraction))).select("art")
+    most = max(1, int(counts.count() * fraction))
+    return ranked(counts.select("art", "click_count"), [-F.col("click_count"), F.col("art")]).where(F.col("rank") <= most).select("art")

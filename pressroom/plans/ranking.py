@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from .. import config
@@ -19,7 +21,7 @@ r9 = lambda c: F.round(F.col(c) if isinstance(c, str) else c, 9)
 def _first(spark, sf):
     """A first stage on orders: candidates by clicks of the training split; scores tie often. imp, pos, art, label, score, t, usr."""
     s = A.split_of(A.shown(spark, sf))
-    pop = stats.popularity(s.where("split = 'train'")).select("art", "click_count")
+    pop = stats.article_counts(s.where("split = 'train'")).select("art", "click_count")
     return s.join(pop, "art", "left").withColumn("score", F.coalesce("click_count", F.lit(0)).cast("double"))
 
 
@@ -136,7 +138,7 @@ def slice_cold_warm(spark, sf):
 
 def slice_head_tail(spark, sf):
     s = A.split_of(A.shown(spark, sf))
-    head = stats.head_set(stats.popularity(s.where("split = 'train'")), 0.2).withColumn("head", F.lit(True))
+    head = stats.head_set(stats.article_counts(s.where("split = 'train'")), 0.2).withColumn("head", F.lit(True))
     first = s.where("split = 'test' and label = 1").groupBy("imp").agg(F.min_by("art", "pos").alias("art"))
     slices = first.join(head, "art", "left").select("imp", F.when(F.col("head"), "head").otherwise("tail").alias("slice"))
     return metrics.population(_per(spark, sf), slices, "slice").select("slice", "n_impressions", "n_scored", *(r6(c).alias(c) for c in ("auc", "mrr", "ndcg_5", "ndcg_10")))
@@ -144,7 +146,7 @@ def slice_head_tail(spark, sf):
 
 def novelty(spark, sf):
     s = A.split_of(A.shown(spark, sf))
-    counts = stats.popularity(s.where("split = 'train'"))
+    counts = stats.article_counts(s.where("split = 'train'"))
     lists = s.where("split = 'test'").groupBy("imp").agg(F.collect_list("art").alias("arts"))
     total = counts.agg(F.sum("click_count").alias("n")).first()["n"] or 0
     return beyond.novelty(lists, stats.click_probabilities(counts), F.lit(1.0 / (total + 1))).select("imp", r6("novelty").alias("novelty"))
@@ -181,7 +183,7 @@ def bootstrap_ci(spark, sf):
     per = _per(spark, sf)
     out = None
     for name in ("auc", "mrr", "ndcg_10"):
-        one = beyond.bootstrap(per.select(F.col("imp").alias("id"), F.col(name).alias("x"))).select(F.lit(name).alias("metric"), "n", "mean", "lo", "hi")
+        one = beyond.bootstrap(per.select(F.col("imp").alias("id"), F.col(name).alias("x"))).select(F.lit(name).alias("metric"), "n", r6("mean").alias("mean"), r6("lo").alias("lo"), r6("hi").alias("hi"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -189,12 +191,13 @@ def bootstrap_ci(spark, sf):
 def paired_bootstrap(spark, sf):
     t = _test(spark, sf)
     b = metrics.per_impression(t.select("imp", "pos", (-F.col("pos")).cast("double").alias("score"), "label")).select(F.col("imp").alias("id"), F.col("mrr").alias("x"))
-    return beyond.paired_bootstrap(b, _per(spark, sf).select(F.col("imp").alias("id"), F.col("mrr").alias("x")))
+    out = beyond.paired_bootstrap(b, _per(spark, sf).select(F.col("imp").alias("id"), F.col("mrr").alias("x")))
+    return out.select("n", r6("mean").alias("mean"), r6("lo").alias("lo"), r6("hi").alias("hi"), "wins", "ties", "losses")
 
 
 def coverage_ci(spark, sf):
     lists = _test(spark, sf).groupBy("imp").agg(F.collect_list("art").alias("arts"))
-    return beyond.coverage_bootstrap(lists, A.catalogue(spark, sf).count())
+    return beyond.coverage_bootstrap(lists, A.catalogue(spark, sf).count()).select(r6("coverage").alias("coverage"), r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
 def random_pair_diversity(spark, sf):
@@ -283,7 +286,7 @@ g as (select sum(label) / count(*) g from sp where split = 'train'),
 co as (select c.imp, c.art, count(s.imp) d, coalesce(sum(case when s.t < c.t - 600000000 then s.label else 0 end), 0) k from cd c left join shown s on c.art = s.art and s.t < c.t group by c.imp, c.art),
 se as (select art, min(t) first_t from shown group by art),
 cw as (select imp, p_brand c, sum(pow(0.9, n - i)) w from hist join part on art = p_partkey group by imp, p_brand), cs as (select imp, c, w / sum(w) over (partition by imp) s from cw),
-hs as (select imp, count(*) n, sum(exp(-ln(2) / 168.0 * ((t - ct) / 3600000000.0))) e from hist group by imp),
+hs as (select imp, count(*) n, avg(dwell) dw, sum(exp(-ln(2) / 168.0 * ((t - ct) / 3600000000.0))) e from hist group by imp),
 cl as (select imp, sum(label) c from shown group by imp),
 s0 as (select o.*, coalesce(c, 0) c, case when t - lag(t) over (partition by usr order by t, imp) > 1800000000 then 1 else 0 end nw from osp o left join cl using (imp)),
 s1 as (select *, cast(usr as varchar) || '_' || cast(sum(nw) over (partition by usr order by t, imp rows unbounded preceding) as varchar) ss from s0),
@@ -298,7 +301,7 @@ bm as (select q imp, doc art, sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.
 aq as (select distinct q imp from qt),
 hv0 as (select imp q, art % m vec from hist, m), ds as (select q, unnest(e) x, generate_subscripts(e, 1) d from hv0 join vec using (vec)), dm as (select q, d, avg(x) x from ds group by q, d), {_UNIT},
 cn as (select imp, art, list_dot_product(un.e, vec.e) c from cd join un on q = imp, m, vec where vec.vec = art % m)
-select cd.imp, cd.art, coalesce(hs.n, 0) click_count, round(coalesce(hs.e, 0.0), 6) recency_weighted_engagement, cast(hs.n is not null as bigint) has_history_timestamps, cast(null as double) avg_history_dwell_time, cast(0 as bigint) has_dwell_time,
+select cd.imp, cd.art, coalesce(hs.n, 0) click_count, round(coalesce(hs.e, 0.0), 6) recency_weighted_engagement, cast(hs.n is not null as bigint) has_history_timestamps, round(hs.dw, 6) avg_history_dwell_time, cast(hs.dw is not null as bigint) has_dwell_time,
   extract(hour from make_timestamp(cd.t)) hour_of_day, isodow(make_timestamp(cd.t)) - 1 day_of_week, count(*) over (partition by cd.imp) impression_size, s2.p session_position, s2.p - 1 session_impressions_before, cast(s2.b as bigint) session_clicks_before,
   round(1 / ln(rank + 2), 6) position_bias, rank retrieval_rank, round(cast(cast(1 / rank as float) as double), 6) retrieval_score, cast(k as bigint) click_count_article, d display_count_article, round(ln(1 + k), 6) log_click_count_article, round((k + 50 * g) / (d + 50), 6) ctr_article,
   round(case when first_t < cd.t then ln(1 + (cd.t - first_t) / 3600000000.0) end, 6) freshness_log_hours, cast(first_t < cd.t as bigint) has_known_publish_time, cast(cs.s is not null as bigint) category_binary_match, round(coalesce(cs.s, 0.0), 6) category_affinity,
@@ -306,3 +309,29 @@ select cd.imp, cd.art, coalesce(hs.n, 0) click_count, round(coalesce(hs.e, 0.0),
 from cd join co using (imp, art) join se on se.art = cd.art left join hs on hs.imp = cd.imp join s2 on s2.imp = cd.imp left join part on p_partkey = cd.art left join cs on cs.imp = cd.imp and cs.c = p_brand
 left join bm on bm.imp = cd.imp and bm.art = cd.art left join aq on aq.imp = cd.imp left join cn on cn.imp = cd.imp and cn.art = cd.art, g
 """
+
+
+# The bootstrap's multiplicities are hashes, so SQL draws the same ones.
+_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def _weights(rows: str, draws: int, col: str = "x") -> str:
+    """rep, the row's columns and w, of a relation with id."""
+    u = f"(select rep, id, {col}, {draw_sql(config.SEED, 'rep', 'id')} / 4294967296.0 u from {rows}, range({draws}) reps(rep))"
+    return f"(select *, {' + '.join(f'cast(u >= {c!r} as int)' for c in _POISSON)} w from {u})"
+
+
+def _interval(rows: str) -> str:
+    means = f"(select sum(w * x) / sum(w) m from {_weights(rows, config.BOOTSTRAP_DRAWS)} group by rep)"
+    return f"(select count(*) from {rows}) n, round((select avg(x) from {rows}), 6) mean, round((select quantile_cont(m, 0.025) from {means}), 6) lo, round((select quantile_cont(m, 0.975) from {means}), 6) hi"
+
+
+ORACLES["bootstrap_ci"] = _M + "".join(f", v_{c} as (select imp id, {c} x from pe where {c} is not null)" for c in ("auc", "mrr", "ndcg_10")) + " " + " union all ".join(f"select '{c}' metric, {_interval(f'v_{c}')}" for c in ("auc", "mrr", "ndcg_10"))
+ORACLES["paired_bootstrap"] = f"""{_M}, {_metrics('-pos', '0')}, v as (select imp id, coalesce(pe.mrr, 0) - coalesce(pe0.mrr, 0) x from pe full join pe0 using (imp))
+select {_interval('v')}, (select count(*) from v where x > 1e-12) wins, (select count(*) from v where abs(x) <= 1e-12) ties, (select count(*) from v where x < -1e-12) losses"""
+ORACLES["coverage_ci"] = f"""{_FIRST}, ls as (select distinct imp id, 0 x from te), size as (select count(*) c from part),
+co as (select rep, count(distinct art) / any_value(c) c from {_weights('ls', 200)} join te on id = imp, size where w > 0 group by rep), point as (select count(distinct art) / any_value(c) p from te, size)
+select round(p, 6) coverage, round(quantile_cont(co.c, 0.025) + p - avg(co.c), 6) lo, round(quantile_cont(co.c, 0.975) + p - avg(co.c), 6) hi from co, point group by p"""
+ORACLES["random_pair_diversity"] = ctes("vectors") + f""", n as (select count(*) n from vec), nu as (select row_number() over (order by vec) i, e from vec),
+d as (select {draw_sql(config.SEED, 'k', '0')} % n + 1 i, {draw_sql(config.SEED, 'k', '1')} % n + 1 j from range(4000) t(k), n)
+select count(*) pairs, round(1 - avg(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))), 6) diversity from d join nu a on d.i = a.i join nu b on d.j = b.i where d.i <> d.j"""

@@ -142,12 +142,12 @@ def position_biases(spark, sf):
 
 
 def click_probabilities(spark, sf):
-    counts = stats.popularity(_train(spark, sf))
+    counts = stats.article_counts(_train(spark, sf))
     return stats.click_probabilities(counts).select("art", F.round("p", 9).alias("p"))
 
 
 def head_articles(spark, sf):
-    return stats.head_set(stats.popularity(_train(spark, sf)), 0.2)
+    return stats.head_set(stats.article_counts(_train(spark, sf)), 0.2)
 
 
 def coverage(spark, sf):

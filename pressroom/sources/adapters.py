@@ -28,11 +28,12 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("imp"), F.col("o_custkey").alias("usr"), micros("o_orderdate").alias("t"))
 
 
-def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """imp, usr, t, art, label, pos: candidates in place order (from 1). Line numbers repeat, so all columns order them."""
+def shown(spark: SparkSession, sf_dir: str, dwell: bool = False) -> DataFrame:
+    """imp, usr, t, art, label, pos: candidates in place order (from 1). Line numbers repeat, so all columns order them.
+    dwell: the line's quantity as the time for which the article was read, unknown where there is no tax."""
     cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     lines = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*cols)))
-    lines = lines.select(F.col("l_orderkey").alias("imp"), F.col("l_partkey").alias("art"), (F.col("l_returnflag") == "R").cast("int").alias("label"), "pos")
+    lines = lines.select(F.col("l_orderkey").alias("imp"), F.col("l_partkey").alias("art"), (F.col("l_returnflag") == "R").cast("int").alias("label"), "pos", *([F.when(F.col("l_tax") > 0, F.col("l_quantity")).alias("dwell")] * dwell))
     return lines.join(orders(spark, sf_dir), "imp")
 
 
@@ -45,15 +46,15 @@ def split_of(df: DataFrame) -> DataFrame:
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """usr, t, imp, pos, art of all clicks."""
-    return shown(spark, sf_dir).where("label = 1").select("usr", "t", "imp", "pos", "art")
+    """usr, t, imp, pos, art, dwell of all clicks."""
+    return shown(spark, sf_dir, dwell=True).where("label = 1").select("usr", "t", "imp", "pos", "art", "dwell")
 
 
 def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """imp, usr, t, history: the user's clicks before t, oldest first, as (t, imp, pos, art)."""
-    own = clicks(spark, sf_dir).groupBy("usr").agg(F.sort_array(F.collect_list(F.struct("t", "imp", "pos", "art"))).alias("all"))
+    """imp, usr, t, history: the user's clicks before t, oldest first, as (t, imp, pos, art, dwell)."""
+    own = clicks(spark, sf_dir).groupBy("usr").agg(F.sort_array(F.collect_list(F.struct("t", "imp", "pos", "art", "dwell"))).alias("all"))
     both = orders(spark, sf_dir).join(own, "usr", "left")
-    none = F.array().cast("array<struct<t:bigint,imp:bigint,pos:int,art:bigint>>")
+    none = F.array().cast("array<struct<t:bigint,imp:bigint,pos:int,art:bigint,dwell:double>>")
     return both.select("imp", "usr", "t", F.coalesce(F.filter("all", lambda x: x["t"] < F.col("t")), none).alias("history"))
 
 
@@ -82,11 +83,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in DuckDB's SQL, as common table expressions.
 SQL = {
     "orders": "ord as (select o_orderkey imp, o_custkey usr, epoch_us(o_orderdate) t from orders)",
-    "shown": "shown as (select imp, usr, t, l_partkey art, cast(l_returnflag = 'R' as int) label, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as int) pos from lineitem join ord on l_orderkey = imp)",
+    "shown": "shown as (select imp, usr, t, l_partkey art, cast(l_returnflag = 'R' as int) label, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as int) pos, case when l_tax > 0 then l_quantity end dwell from lineitem join ord on l_orderkey = imp)",
     "cut": f"cut as (select cast(floor(min(t) + (max(t) - min(t)) * {1 - VAL_FRACTION}) as bigint) c from ord where t < {DEV_FROM})",
     "split": f"sp as (select *, case when t >= {DEV_FROM} then 'test' when t >= (select c from cut) then 'val' else 'train' end split from shown)",
     "osplit": f"osp as (select *, case when t >= {DEV_FROM} then 'test' when t >= (select c from cut) then 'val' else 'train' end split from ord)",
-    "history": "hist as (select o.imp, o.usr, o.t, s.t ct, s.imp cimp, s.pos cpos, s.art, row_number() over (partition by o.imp order by s.t, s.imp, s.pos, s.art) i, count(*) over (partition by o.imp) n from ord o join shown s on o.usr = s.usr and s.label = 1 and s.t < o.t)",
+    "history": "hist as (select o.imp, o.usr, o.t, s.t ct, s.imp cimp, s.pos cpos, s.art, s.dwell, row_number() over (partition by o.imp order by s.t, s.imp, s.pos, s.art) i, count(*) over (partition by o.imp) n from ord o join shown s on o.usr = s.usr and s.label = 1 and s.t < o.t)",
     "events": "ev as (select event_id, user_id usr, epoch_us(ts) t, event_type kind, value, cast(json_extract_string(props, '$.k') as bigint) art from events)",
     "displays": "dis as (select event_id, t, art, cast(kind = 'click' as int) click from ev where kind in ('view', 'click'))",
     "vectors": "vec as (select vec_id vec, [x / case when s = 0 then 1 else s end for x in e] e from (select *, sqrt(list_sum([x * x for x in e])) s from (select vec_id, [cast(x as double) for x in embedding] e from embeddings)))",

@@ -74,8 +74,10 @@ def ebnerd_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ebnerd_behaviors(spark: SparkSession, behaviors: str, history: str, raw_split: str) -> DataFrame:
-    """Impressions with the user's history; users without one get empty lists. A clicked id that wasn't in view is no candidate."""
-    h = spark.read.parquet(history).groupBy("user_id").agg(F.last(F.struct("article_id_fixed", "read_time_fixed", "impression_time_fixed")).alias("h"))
+    """Impressions with the user's history; users without one get empty lists. A clicked id that wasn't in view is no candidate.
+    Of a user's several histories the longest counts, of those the one whose clicks are the latest."""
+    fixed = F.struct("article_id_fixed", "read_time_fixed", "impression_time_fixed")
+    h = spark.read.parquet(history).groupBy("user_id").agg(F.max_by(fixed, F.struct(F.size("article_id_fixed"), F.reverse("impression_time_fixed"), "article_id_fixed")).alias("h"))
     b = spark.read.parquet(behaviors).select("impression_id", "user_id", "impression_time", "session_id", "article_ids_inview", "article_ids_clicked")
     own = F.coalesce(F.col("h.article_id_fixed").cast("array<string>"), F.array().cast("array<string>"))
     return b.join(h, "user_id", "left").select(

@@ -22,18 +22,76 @@ def ranked_lines(ranked: DataFrame) -> DataFrame:
     return ranked.select(F.concat(F.col("impression_id").cast("string"), F.lit(" ["), F.array_join(F.col("ranks").cast("array<string>"), ","), F.lit("]")).alias("value"))
 
 
-def write_submission(ranked: DataFrame, folder: str, dataset: str) -> Path:
-    """Writes the lines in the order of impression_id as text parts, then zips them on the driver's disk in that order, a line at a time."""
-    ranked_lines(ranked.orderBy("impression_id")).write.mode("overwrite").text(f"{folder}/parts")
-    out = Path(folder) / f"{dataset}.zip"
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open(INNER[dataset], "w") as sink:
-        for part in sorted(Path(folder, "parts").glob("part-*")):
-            with part.open("rb") as f:
-                for line in f:
-                    sink.write(line)
+def _hadoop(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+class _Sink:
+    """A file in any store that Spark writes, for zipfile."""
+
+    def __init__(self, stream):
+        self.stream, self.at = stream, 0
+
+    def write(self, data) -> int:
+        self.stream.write(bytearray(data))
+        self.at += len(data)
+        return len(data)
+
+    def tell(self) -> int:
+        return self.at
+
+    def flush(self) -> None:
+        self.stream.flush()
+
+
+def write_submission(ranked: DataFrame, folder: str, dataset: str, parts: int = 64, stop_after: int | None = None) -> str:
+    """Writes the lines in the order of impression_id as parts, then zips the parts in that order, a line at a time, into folder.
+
+    Each part is a range of impression ids and is written by itself, with a marker when it is done; a run that was stopped is
+    taken up by another call, which leaves out what has its marker. The ranges are written first, so that all calls have the
+    same. stop_after: write so many parts and stop, as a lost driver would."""
+    spark = ranked.sparkSession
+    fs, plan = _hadoop(spark, f"{folder}/ranges")
+    if not fs.exists(_hadoop(spark, f"{folder}/ranges/_SUCCESS")[1]):
+        ids = ranked.select(F.col("impression_id").cast("long").alias("i"))
+        cuts = ids.agg(F.percentile_approx("i", [k / parts for k in range(1, parts)], 10_000).alias("c"))
+        cuts.write.mode("overwrite").parquet(f"{folder}/ranges")
+    edges = sorted(set(spark.read.parquet(f"{folder}/ranges").first()["c"] or []))
+    bounds = list(zip([None, *edges], [*edges, None], strict=True))
+    for k, (lo, hi) in enumerate(bounds):
+        if fs.exists(_hadoop(spark, f"{folder}/parts/{k:05d}/_SUCCESS")[1]):
+            continue
+        if stop_after is not None and k >= stop_after:
+            return ""
+        own = ranked.where((F.lit(lo is None) | (F.col("impression_id") > F.lit(lo))) & (F.lit(hi is None) | (F.col("impression_id") <= F.lit(hi))))
+        ranked_lines(own.orderBy("impression_id")).write.mode("overwrite").text(f"{folder}/parts/{k:05d}")
+    out = f"{folder}/{dataset}.zip"
+    stream = fs.create(_hadoop(spark, out)[1], True)
+    with zipfile.ZipFile(_Sink(stream), "w", zipfile.ZIP_DEFLATED) as z, z.open(INNER[dataset], "w", force_zip64=True) as sink:
+        for k in range(len(bounds)):
+            names = sorted(str(f.getPath()) for f in fs.listStatus(_hadoop(spark, f"{folder}/parts/{k:05d}")[1]) if f.getPath().getName().startswith("part-"))
+            for name in names:
+                # A file is one partition, read as it lies: its lines come to the driver a partition at a time.
+                for row in spark.read.text(name).coalesce(1).toLocalIterator():
+                    sink.write(f"{row.value}\n".encode())
+    stream.close()
     return out
 
 
+def archive_lines(spark, path: str, dataset: str) -> DataFrame:
+    """line (from 0) and value of the archive's member, read by an executor from any store."""
+
+    def of(rows):
+        import io
+
+        for r in rows:
+            with zipfile.ZipFile(io.BytesIO(bytes(r.content))) as z, z.open(INNER[dataset]) as f:
+                yield from ((k, x.decode().rstrip("\n")) for k, x in enumerate(f))
+
+    return spark.createDataFrame(spark.read.format("binaryFile").load(path).select("content").rdd.mapPartitions(of), "line long, value string")
+
+
 def verify_archive(path: str | Path, dataset: str, rows: int) -> None:
     """One member of the right name, and as many lines as impressions."""
     with zipfile.ZipFile(path) as z:
