@@ -197,7 +197,7 @@ def paired_bootstrap(spark, sf):
 
 def coverage_ci(spark, sf):
     lists = _test(spark, sf).groupBy("imp").agg(F.collect_list("art").alias("arts"))
-    return beyond.coverage_bootstrap(lists, A.catalogue(spark, sf).count()).select(r6("coverage").alias("coverage"), r6("lo").alias("lo"), r6("hi").alias("hi"))
+    return beyond.coverage_bootstrap(lists, A.catalogue(spark, sf).count()).select(*(F.round(c, 8).alias(c) for c in ("coverage", "lo", "hi")))
 
 
 def random_pair_diversity(spark, sf):
@@ -296,7 +296,7 @@ uh as (select imp q, art, i k, n from hist), uw as (select q, art, k - greatest(
 from .retrieval import _KEYS, _PARTS, _UNIT, _WORDS  # noqa: E402
 
 ORACLES["feature_matrix"] = _FM.rstrip() + f"""
-{_WORDS}, {_PARTS.replace('te as', 'tm as')}, {_KEYS.replace('join te', 'join tm').replace('<= 4', '<= 10')},
+{_WORDS}, {_PARTS.replace('te as', 'tm as')}, {_KEYS.replace('join te', 'join tm')},
 bm as (select q imp, doc art, sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl)))) b from cd join po on art = doc join qt on q = imp and qt.term = po.term join tm on tm.term = po.term, st group by q, doc),
 aq as (select distinct q imp from qt),
 hv0 as (select imp q, art % m vec from hist, m), ds as (select q, unnest(e) x, generate_subscripts(e, 1) d from hv0 join vec using (vec)), dm as (select q, d, avg(x) x from ds group by q, d), {_UNIT},
@@ -331,7 +331,7 @@ ORACLES["paired_bootstrap"] = f"""{_M}, {_metrics('-pos', '0')}, v as (select im
 select {_interval('v')}, (select count(*) from v where x > 1e-12) wins, (select count(*) from v where abs(x) <= 1e-12) ties, (select count(*) from v where x < -1e-12) losses"""
 ORACLES["coverage_ci"] = f"""{_FIRST}, ls as (select distinct imp id, 0 x from te), size as (select count(*) c from part),
 co as (select rep, count(distinct art) / any_value(c) c from {_weights('ls', 200)} join te on id = imp, size where w > 0 group by rep), point as (select count(distinct art) / any_value(c) p from te, size)
-select round(p, 6) coverage, round(quantile_cont(co.c, 0.025) + p - avg(co.c), 6) lo, round(quantile_cont(co.c, 0.975) + p - avg(co.c), 6) hi from co, point group by p"""
+select round(p, 8) coverage, round(quantile_cont(co.c, 0.025) + p - avg(co.c), 8) lo, round(quantile_cont(co.c, 0.975) + p - avg(co.c), 8) hi from co, point group by p"""
 ORACLES["random_pair_diversity"] = ctes("vectors") + f""", n as (select count(*) n from vec), nu as (select row_number() over (order by vec) i, e from vec),
 d as (select {draw_sql(config.SEED, 'k', '0')} % n + 1 i, {draw_sql(config.SEED, 'k', '1')} % n + 1 j from range(4000) t(k), n)
 select count(*) pairs, round(1 - avg(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))), 6) diversity from d join nu a on d.i = a.i join nu b on d.j = b.i where d.i <> d.j"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions.scalars import content_key, draw_sql
 from ..functions.text import join_fields, join_stripped, tokens
 from ..functions.vectors import dot
@@ -11,7 +12,7 @@ from ..operators import beyond, bm25, candidates, impressions, pool, semantic
 from ..sources import adapters as A
 from ..sources.adapters import ctes
 
-K = 20
+K = config.CANDIDATES_K
 r6 = lambda c: F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
@@ -69,7 +70,7 @@ def _part_docs(spark, sf):
 def _query(method):
     def run(spark, sf):
         index = bm25.build(_part_docs(spark, sf)) if method == "tfidf_keywords" else None
-        return bm25.query_terms(_user_histories(spark, sf), A.catalogue(spark, sf), method, 10, index, 4).select(F.col("q").alias("usr"), "term", "qtf")
+        return bm25.query_terms(_user_histories(spark, sf), A.catalogue(spark, sf), method, config.QUERY_WINDOW, index, config.KEYWORDS).select(F.col("q").alias("usr"), "term", "qtf")
 
     return run
 
@@ -141,7 +142,7 @@ def candidates_popular(spark, sf):
 
 def _bm25_found(spark, sf):
     index = bm25.build(_part_docs(spark, sf))
-    q = bm25.query_terms(_user_histories(spark, sf), A.catalogue(spark, sf), "tfidf_keywords", 10, index, 4)
+    q = bm25.query_terms(_user_histories(spark, sf), A.catalogue(spark, sf), "tfidf_keywords", config.QUERY_WINDOW, index, config.KEYWORDS)
     return bm25.top_of_distinct(index, q, K).select("q", F.col("doc").alias("art"), "rank", "score")
 
 
@@ -151,23 +152,23 @@ def _users(spark, sf):
 
 def candidates_bm25(spark, sf):
     index = bm25.build(_part_docs(spark, sf))
-    out = candidates.bm25(_users(spark, sf), _user_histories(spark, sf), A.catalogue(spark, sf), A.shown(spark, sf), index, K, keywords=4)
-    return out.select(F.col("q").alias("usr"), "art", "rank", r6("score").alias("score"), "used_fallback")
+    out = candidates.bm25(_users(spark, sf), _user_histories(spark, sf), A.catalogue(spark, sf), A.shown(spark, sf), index, K)
+    return out.select(F.col("q").alias("usr"), "art", "rank", "score", "used_fallback")
 
 
 def candidates_semantic(spark, sf):
     n = A.table(spark, sf, "embeddings").count()
     h = _user_histories(spark, sf).where("size(history) > 0").select("q", F.transform("history", lambda x: F.pmod(x, F.lit(n))).alias("history"))
     out = candidates.semantic_(_users(spark, sf), h, A.vectors(spark, sf), A.shown(spark, sf), K)
-    return out.select(F.col("q").alias("usr"), "art", "rank", r6("score").alias("score"), "used_fallback")
+    return out.select(F.col("q").alias("usr"), "art", "rank", "score", "used_fallback")
 
 
 def candidates_bm25_fresh(spark, sf):
     """The pool ranked by BM25 of the user's purchased articles, ties by draw, then the backfill; without a query, as in popular."""
     h = A.events(spark, sf).where("kind = 'purchase'").groupBy("usr").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "art"))), lambda x: x["art"]).alias("history")).withColumnRenamed("usr", "q")
     views = A.events(spark, sf).where("kind = 'view'").select(F.col("event_id").alias("q"), "usr", "t")
-    out = candidates.bm25_fresh(views, h, A.catalogue(spark, sf), A.displays(spark, sf), bm25.build(_part_docs(spark, sf)), K, keywords=4, hours=6)
-    return out.select(F.col("q").alias("imp"), "art", "rank", r6("score").alias("score"), "used_fallback")
+    out = candidates.bm25_fresh(views, h, A.catalogue(spark, sf), A.displays(spark, sf), bm25.build(_part_docs(spark, sf)), K, hours=6)
+    return out.select(F.col("q").alias("imp"), "art", "rank", "score", "used_fallback")
 
 
 def candidates_long(spark, sf):
@@ -200,15 +201,15 @@ _DOCS = _index("select doc_id doc, text from documents")
 _PARTS = _index("select p_partkey doc, concat_ws(' ', nullif(p_name, ''), nullif(p_type, '')) as text from part")
 _ITEMS = f"qt as (select q, term, count(*) qtf from (select item_id q, unnest({_TOK.format('text')}) term from benchmark) group by q, term)"
 _SCORE = "sc as (select q, doc, round(sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl)))), 9) score from qt join te using (term) join po using (term), st group by q, doc)"
-_TOP = "tp as (select q, doc art, row_number() over (partition by q order by score desc, doc) rank, score from sc where score > 0 qualify rank <= 20)"
+_TOP = f"tp as (select q, doc art, row_number() over (partition by q order by score desc, doc) rank, score from sc where score > 0 qualify rank <= {K})"
 _USER = ctes("orders", "shown", "history") + ", la as (select usr q, imp from ord qualify row_number() over (partition by usr order by t desc, imp desc) = 1), uh as (select q, art, row_number() over (partition by q order by i) k, count(*) over (partition by q) n from hist join la using (imp)), uw as (select q, art, k - greatest(n - 10, 0) i from uh where k > n - 10)"
 _WORDS = f"tw as (select p_partkey art, {_TOK.format('p_name')} w from part), fl as (select q, i, unnest(w) term, generate_subscripts(w, 1) j from uw join tw using (art))"
-_KEYS = "ky as (select q, term, count(*) tf, min(i * 10000 + j) at_ from fl group by q, term), qt as (select q, term, cast(1 as bigint) qtf from ky join te using (term) qualify row_number() over (partition by q order by round(tf * idf, 9) desc, at_) <= 4)"
+_KEYS = "ky as (select q, term, count(*) tf, min(i * 10000 + j) at_ from fl group by q, term), qt as (select q, term, cast(1 as bigint) qtf from ky join te using (term) qualify row_number() over (partition by q order by round(tf * idf, 9) desc, at_) <= 10)"
 _PAD = f"""qs as (select distinct usr q from ord), hv as (select q, list(art) has, count(*) n from tp group by q),
-pp as (select art, row_number() over (order by sum(label) desc, art) pr from shown group by art qualify pr <= 40),
+pp as (select art, row_number() over (order by sum(label) desc, art) pr from shown group by art qualify pr <= {2 * K}),
 fi as (select q, art, coalesce(n, 0) + row_number() over (partition by q order by pr) rank from qs left join hv using (q), pp where not coalesce(list_contains(has, art), false) and coalesce(n, 0) < {K}),
 al as (select q, art, rank, score from tp union all select q, art, rank, 0.0 from fi where rank <= {K})
-select q usr, art, rank, round(score, 6) score, hv.q is null used_fallback from al left join hv using (q)"""
+select q usr, art, rank, score, hv.q is null used_fallback from al left join hv using (q)"""
 _VECH = ctes("orders", "shown", "history", "vectors") + ", m as (select count(*) m from embeddings), hv0 as (select imp q, ((art % m) + m) % m vec, pow(0.7, n - i) w from hist, m)"
 _UNIT = "pl as (select q, list(x order by d) v from dm group by q), un as (select q, [x / case when s = 0 then 1 else s end for x in v] e from (select q, v, sqrt(list_sum([x * x for x in v])) s from pl))"
 
