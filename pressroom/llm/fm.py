@@ -89,11 +89,13 @@ class Model:
             n += len(e) + 1
         return np.concatenate([self.memo(words), np.array(bins, dtype=np.int64)])
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        x = Rows([self.columns(t) for t in texts], len(self.w))
-        return 1 / (1 + np.exp(-np.clip(self.w0 + machine(x, self.w, self.v)[0], -30, 30)))
+    def scores(self, texts: list[str | None], at_once: int = 128) -> np.ndarray:
+        """at_once: texts whose features' factors are held together."""
+        out = [np.zeros(0)]
+        for k in range(0, len(texts), at_once):
+            x = Rows([self.columns(t) for t in texts[k : k + at_once]], len(self.w))
+            out.append(self.w0 + machine(x, self.w, self.v)[0])
+        return 1 / (1 + np.exp(-np.clip(np.concatenate(out), -30, 30)))
 
 
 class Rows:
