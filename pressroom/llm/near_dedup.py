@@ -33,7 +33,7 @@ WORDS, PERCENT = 5, 80
 SYMBOLS, CHUNKS = 48, 12
 WIDTH = SYMBOLS // CHUNKS
 DISTANCE = 2 * CHUNKS - 1
-LOOSE, BLOCK = 14, 512
+LOOSE, BLOCK = 14, 128
 
 _ODD = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, SYMBOLS + 1001, dtype=np.uint64))
