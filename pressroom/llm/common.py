@@ -93,7 +93,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered for up to `bound` words."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 250_000):
         self.seen: dict[bytes, int] = {}
         self.bound = bound
 

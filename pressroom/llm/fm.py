@@ -33,7 +33,7 @@ ROWS_A_CLASS = 4_000
 class Terms(dict):
     """Hash buckets of a text's terms, or, given the kept ones, their features. Words are numbered as they come; a table has the terms of each."""
 
-    def __init__(self, keep: dict[int, int] | None = None, bound: int = 400_000):
+    def __init__(self, keep: dict[int, int] | None = None, bound: int = 250_000):
         self.keep, self.bound = keep, bound
         self.table = np.full((1024, 1 + len(PREFIXES)), -1, dtype=np.int32)
 
