@@ -13,6 +13,7 @@ from ..schemas import FEATURES
 from ..sources import adapters as A
 from ..sources import sinks
 from ..sources.adapters import ctes
+from ..sources.shared import stored
 
 r6 = lambda c: F.round(F.col(c) if isinstance(c, str) else c, 6)
 r9 = lambda c: F.round(F.col(c) if isinstance(c, str) else c, 9)
@@ -70,13 +71,19 @@ def wu_sampling(spark, sf):
     return out.select("imp", "pos", F.array_join(F.col("candidates").cast("array<string>"), " ").alias("candidates"), "label")
 
 
-def feature_matrix(spark, sf):
+def _matrix(spark, sf):
+    """imp, art, the features, label: of the candidates of all splits."""
     s = A.split_of(A.shown(spark, sf))
     n = A.table(spark, sf, "embeddings").count()
     cand = s.groupBy("imp", "art").agg(F.min("pos").cast("bigint").alias("rank"), F.max("label").alias("label")).withColumn("score", F.lit(1.0) / F.col("rank"))
     clicks = s.groupBy("imp").agg(F.sum("label").alias("clicks"))
     log = A.split_of(A.orders(spark, sf)).join(clicks, "imp", "left").fillna(0, ["clicks"])
-    out = features.build(s.select("art", "t", "label"), A.histories(spark, sf).select("imp", "t", "history"), cand, s.where("split = 'train'"), A.catalogue(spark, sf), A.vectors(spark, sf), lambda a: F.pmod(a, F.lit(n)), log)
+    own = A.histories(spark, sf).select("imp", "t", "history")
+    return features.build(s.select("art", "t", "label"), own, cand, s.where("split = 'train'"), A.catalogue(spark, sf), A.vectors(spark, sf), lambda a: F.pmod(a, F.lit(n)), log)
+
+
+def feature_matrix(spark, sf):
+    out = _matrix(spark, sf)
     kinds = dict(out.dtypes)
     cols = [r6(c).alias(c) if kinds[c] == "double" else F.col(c).cast("bigint").alias(c) for c in FEATURES]
     return out.select("imp", "art", *cols, "label")
@@ -205,16 +212,15 @@ def random_pair_diversity(spark, sf):
 
 
 def lambdamart_scores(spark, sf):
-    """A ranker on the as-of statistics, trained on the training split, stopped on val, scored on test."""
-    from ..models import lambdamart
-
-    s = _first(spark, sf)
-    points = s.select("imp", "pos", "art", "t", "label", "score", "split")
-    m = stats.smoothed(stats.asof_counts(s.select("art", "t", "label"), points), stats.global_ctr(s.where("split = 'train'")))
-    m = m.join(A.catalogue(spark, sf), "art", "left").select("imp", F.col("pos").alias("row"), "label", "split", "display_count", "click_count", "ctr", F.col("score").alias("first_score"), F.col("pos").alias("place"))
-    names = ["display_count", "click_count", "ctr", "first_score", "place"]
-    model = lambdamart.fit(m.where("split = 'train'"), names, m.where("split = 'val'"), rounds=3, depth=3)
-    return model.transform(m.where("split = 'test'").drop("split")).select("imp", F.col("row").alias("pos"), "label", r9("score").alias("score"))
+    """The ranker on all features, trained on the training split, stopped on val, scored on test."""
+    from ..models import run
+
+    splits = A.split_of(A.orders(spark, sf)).select("imp", "split")
+    m = _matrix(spark, sf)
+    kinds = dict(m.dtypes)
+    m = m.select("imp", F.col("retrieval_rank").alias("row"), "label", *(F.col(c).cast("double").alias(c) if kinds[c] == "boolean" else F.col(c) for c in FEATURES)).join(splits, "imp")
+    out, _ = run.scored(stored(m))
+    return out.select("imp", "pos", "label", r9("score").alias("score"))
 
 
 def nrms_scores(spark, sf):

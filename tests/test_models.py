@@ -91,3 +91,26 @@ def test_registered_bootstraps_have_all_draws(spark, monkeypatch):
     for name in ("bootstrap_ci", "paired_bootstrap", "coverage_ci"):
         QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen == [beyond.BOOTSTRAP_DRAWS] * 4 + [200]
+
+
+def test_arms_run(spark):
+    """Train, stop, score and evaluate, for two arms on the same rows; an arm leaves its features out."""
+    import random
+
+    from pressroom.models import run
+    from pressroom.schemas import FEATURES, arm
+
+    rng = random.Random(2)
+    rows = []
+    for imp in range(90):
+        for row in range(1, 6):
+            x = [rng.random() for _ in FEATURES]
+            best = x[FEATURES.index("history_title_bm25")] + 0.2 * x[FEATURES.index("ctr_article")]
+            rows.append((imp, row, ("train", "train", "val", "test")[imp % 4], int(best > 0.75), *x))
+    m = spark.createDataFrame(rows, "imp long, row long, split string, label int, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = {r["arm"]: r for r in run.arms(m, ("all", "no_history_content"), rounds=3, depth=3, min_leaf=5).collect()}
+    assert got["all"].mrr_gain is None and got["all"].trees >= 1 and got["all"].n_impressions == len({r[0] for r in rows if r[2] == "test"})
+    assert got["no_history_content"].mrr_gain < 0 and got["no_history_content"].gain_lo <= got["no_history_content"].mrr_gain <= got["no_history_content"].gain_hi
+    _, model = run.scored(m, "no_history_content", rounds=1, depth=2, min_leaf=5)
+    names = [r.feature for r in run.importance(model, spark).collect()]
+    assert sorted(names) == sorted(arm("no_history_content"))
