@@ -6,9 +6,11 @@ it differs in one symbol at most. So each chunk is indexed once for each of its
 allowed error: every near pair meets under a key. At the link threshold itself a pair isn't near in 3.3 of 10**6 cases (0.8) or
 1.3 of 10**8 (0.85), and then it may still meet.
 
-Under a key each document is tied to the least one, not to all, if the two signatures agree in LOOSE symbols at all; the
-components of these ties are families. A pair that is linked falls apart only if under each of some dozens of keys the least
-document differs from one of the two in nearly everything. Within a family all pairs are confirmed on full sets, in blocks
+Under a key each document is tied to the least one, its head, not to all, if the two signatures agree in LOOSE symbols at all; the
+components of these ties are families. A key with a member so unlike its head is looked at again: by the triangle inequality all that
+is near to a member within LOOSE_DISTANCE - DISTANCE of the head has been tied to the head, so the other members alone are left, and
+those are compared by their signatures, in blocks of SIGNATURES by SIGNATURES. So any two near documents are in one family, without
+exception (tests, against all pairs). Within a family all pairs are confirmed on full sets, in blocks
 of BLOCK by BLOCK documents, each block pair a task's work of bounded size; a pair that confirmed links have joined already
 is skipped, and a task reports a forest of links. The components of the links are the classes.
 
@@ -20,7 +22,7 @@ is a number; other columns may have any names and types, and aren't looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ WORDS, PERCENT = 5, 80
 SYMBOLS, CHUNKS = 48, 12
 WIDTH = SYMBOLS // CHUNKS
 DISTANCE = 2 * CHUNKS - 1
-LOOSE, BLOCK = 14, 128
+LOOSE, BLOCK, SIGNATURES = 14, 128, 512
+LOOSE_DISTANCE = SYMBOLS - LOOSE
 
 _ODD = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, SYMBOLS + 1001, dtype=np.uint64))
@@ -86,12 +89,27 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, keys.ravel())], ["node", "keys"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b and their signatures to those pairs that agree in LOOSE symbols."""
+def _symbols(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+
+
+def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b and their signatures to a, b, and, if they agree in less than LOOSE symbols, the keys they share and a's signature."""
+    for b in batches:
+        x, y = _symbols(b.column(2)), _symbols(b.column(3))
+        loose = (x == y).sum(1) >= LOOSE
+        keys: list[np.ndarray | None] = [None] * b.num_rows
+        for i, kx, ky in zip(np.flatnonzero(~loose), chunk_keys(x[~loose]), chunk_keys(y[~loose]), strict=True):
+            keys[i] = kx[kx == ky]
+        heads = [None if k is None else h for k, h in zip(keys, b.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(heads, pa.binary())], ["a", "b", "keys", "sa"])
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, node, the signatures of the node and of the key's head to those that may be near to one that isn't tied to the head."""
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS) for k in (2, 3))
-        keep = pa.array((x == y).sum(1) >= LOOSE)
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+        left = pa.array((_symbols(b.column(2)) != _symbols(b.column(3))).sum(1) > LOOSE_DISTANCE - DISTANCE)
+        yield pa.RecordBatch.from_arrays([b.column(k).filter(left) for k in range(3)], ["root", "node", "set"])
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -127,17 +145,31 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> lis
     return out
 
 
-def _confirm(percent: int):
-    """Rows in the order of (root, b1, b2) to links. A group ends where the next begins; it holds two blocks at most."""
+def near_signatures(x: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """A forest of the pairs of signatures within DISTANCE; side: as in `linked`."""
+    group, out = np.arange(len(x)), []
+    for i in range(len(x) - 1):
+        want = ((x[i + 1 :] != x[i]).sum(1) <= DISTANCE) & (group[i + 1 :] != group[i])
+        if side is not None:
+            want &= side[i + 1 :] != side[i]
+        for j in np.flatnonzero(want) + i + 1:
+            if group[j] != group[i]:
+                out.append((i, int(j)))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def _in_blocks(links: Callable):
+    """Rows in the order of (root, b1, b2) to the pairs that links(payloads, side) finds. A group ends where the next begins; it holds two blocks at most."""
 
-    def links(rows: list) -> tuple[list[bytes], list[bytes]]:
+    def pairs(rows: list) -> tuple[list[bytes], list[bytes]]:
         own = {r[0]: r for r in rows}  # rows equal in doc_id and text come more than once
         rows = [own[k] for k in sorted(own)]
         if len(rows) < 2:
             return [], []
         side = None if rows[0][3] == rows[0][4] else np.array([r[2] for r in rows])
-        pairs = linked([np.frombuffer(r[1], dtype=np.uint64) for r in rows], side, percent)
-        return [rows[i][0] for i, _ in pairs], [rows[j][0] for _, j in pairs]
+        found = links([r[1] for r in rows], side)
+        return [rows[i][0] for i, _ in found], [rows[j][0] for _, j in found]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, a, b = None, [], [], []
@@ -145,35 +177,66 @@ def _confirm(percent: int):
             cols = [c.to_pylist() for c in batch.columns]  # root, b1, b2, block, node, set
             for root, b1, b2, block, node, s in zip(*cols, strict=True):
                 if (root, b1, b2) != key:
-                    for x, y in zip((a, b), links(held), strict=True):
+                    for x, y in zip((a, b), pairs(held), strict=True):
                         x += y
                     key, held = (root, b1, b2), []
                 held.append((node, s, block, b1, b2))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
             a, b = [], []
-        a, b = links(held)
+        a, b = pairs(held)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return of
 
 
+def _compared(sets: DataFrame, links: Callable) -> DataFrame:
+    """root, blocks, node, set to a, b: what `links` finds among the nodes of a root, a block against a block at a time."""
+    own = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("b1"), F.greatest("block", x).alias("b2")))
+    pairs = own.select("root", F.explode(others).alias("p"), "block", "node", "set").select("root", "p.b1", "p.b2", "block", "node", "set")
+    pairs = pairs.repartition(partitions(sets.sparkSession), "root", "b1", "b2").sortWithinPartitions("root", "b1", "b2")
+    return pairs.mapInArrow(_in_blocks(links), "a binary, b binary")
+
+
+def _blocks(members: DataFrame, size: int) -> DataFrame:
+    return materialize(members.groupBy("root").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")))
+
+
+def families(nodes: DataFrame) -> DataFrame:
+    """node, sig to node, root: any two nodes whose signatures are within DISTANCE have the same root. Nodes near to none may lack a row."""
+    from .components import components
+
+    spark, sig = nodes.sparkSession, nodes.select("node", "sig")
+    keys = sig.mapInArrow(_keys, "node binary, keys array<long>").select(F.explode("keys").alias("key"), "node")
+    dealt = keys.repartition(partitions(spark), "key")  # one exchange, for the aggregation and the join
+    heads = dealt.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
+    ties = materialize(dealt.join(heads, "key").where("node != a").select("a", F.col("node").alias("b")).distinct())
+    ties = ties.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    ties = materialize(ties.select("a", "b", "sa", "sb").mapInArrow(_ties, "a binary, b binary, keys array<long>, sa binary"))
+    tied = ties.where("keys is null").select("a", "b")
+    # Of the nodes that name a key here the least is its head, if the key has a member unlike its head; if it has none, it needs no second look.
+    again = ties.where("keys is not null").select(F.explode("keys").alias("key"), "a", "sa").groupBy("key").agg(F.min(F.struct("a", "sa")).alias("h"))
+    again = materialize(again.select("key", "h.sa"))
+    if not again.isEmpty():
+        met = materialize(keys.join(small_or_same(again.select("key")), "key"))
+        left = met.join(sig, "node").join(small_or_same(again), "key").select("key", "node", "sig", "sa")
+        left = materialize(left.mapInArrow(_left, "root long, node binary, set binary"))
+        blocks = _blocks(left, SIGNATURES)
+        found = _compared(left.join(small_or_same(blocks), "root"), lambda sigs, side: near_signatures(np.frombuffer(b"".join(sigs), dtype=np.uint16).reshape(-1, SYMBOLS), side))
+        tied = tied.unionByName(found)
+    return components(tied)
+
+
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """d (doc_id), t (text key), n (shingles), component (the least doc_id that can be reached over links of percent/100 Jaccard)."""
     from .components import components
 
-    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("d"), text_key().alias("t"), F.col("text").alias("x"))
     rows = materialize(own.mapInArrow(_sets(n), "d long, t long, node binary, n long, sig binary"))
     least = F.min(F.struct(F.col("d").isNull().alias("z"), "d", "t"))  # of those with a doc_id, if there are any
     nodes = materialize(rows.where("node is not null").groupBy("node").agg(least.alias("least"), F.first("sig").alias("sig")))
-    keys = nodes.select("node", "sig").mapInArrow(_keys, "node binary, keys array<long>").select(F.explode("keys").alias("key"), "node")
-    keys = keys.repartition(partitions(spark), "key")  # one exchange, for the aggregation and the join
-    heads = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
-    ties = materialize(keys.join(heads, "key").where("node != a").select("a", F.col("node").alias("b")).distinct())
-    sig = nodes.select("node", "sig")
-    ties = ties.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-    family = materialize(components(ties.select("a", "b", "sa", "sb").mapInArrow(_near, "a binary, b binary")))
-    blocks = materialize(family.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    family = materialize(families(nodes))
+    blocks = _blocks(family, BLOCK)
     members = family.join(small_or_same(blocks), "root").join(nodes, "node")
     members = materialize(members.select("node", "root", "blocks", F.col("least.d").alias("d1"), F.col("least.t").alias("t1")))
     texts = own.join(small_or_same(members), own.d.eqNullSafe(F.col("d1")) & (own.t == F.col("t1"))).select("node", "root", "blocks", "x")
@@ -184,11 +247,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
             sets = [shingle_hashes(hashes(lower_ascii(t.encode("utf-8", "surrogatepass")).split()), n).tobytes() for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sets, pa.binary())], ["node", "root", "blocks", "set"])
 
-    sets = texts.mapInArrow(full, "node binary, root binary, blocks int, set binary").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("b1"), F.greatest("block", x).alias("b2")))
-    pairs = sets.select("root", F.explode(others).alias("p"), "block", "node", "set").select("root", "p.b1", "p.b2", "block", "node", "set")
-    pairs = pairs.repartition(partitions(spark), "root", "b1", "b2").sortWithinPartitions("root", "b1", "b2")
-    classes = materialize(components(materialize(pairs.mapInArrow(_confirm(percent), "a binary, b binary"))))
+    sets = texts.mapInArrow(full, "node binary, root binary, blocks int, set binary")
+    links = _compared(sets, lambda found, side: linked([np.frombuffer(s, dtype=np.uint64) for s in found], side, percent))
+    classes = materialize(components(materialize(links)))
     first = materialize(classes.join(nodes, "node").groupBy("root").agg(F.min("least").alias("first")))
     found = classes.join(small_or_same(first), "root").select("node", "first")
     found = materialize(nodes.select("node", "least").join(found, "node", "left").select("node", F.coalesce("first", "least").alias("first")))

@@ -251,6 +251,31 @@ def test_pigeonhole_index_is_exact():
     assert not np.intersect1d(near_dedup.chunk_keys(a), near_dedup.chunk_keys(c)).size
 
 
+def test_unlike_heads_lose_no_near_pair(spark, monkeypatch):
+    """Every key that two near signatures share has a lesser node, unlike both: against all pairs, also in blocks of three."""
+    rng = np.random.default_rng(11)
+    width, chunks = near_dedup.WIDTH, near_dedup.CHUNKS
+    sigs = {}
+    for g in range(12):
+        x = rng.integers(0, 1 << 16, near_dedup.SYMBOLS).astype(np.uint16)
+        for k in range(4):
+            y = x.copy()
+            y[rng.choice(near_dedup.SYMBOLS, near_dedup.DISTANCE if k else 0, replace=False)] += k
+            sigs[b"z%02d%d" % (g, k)] = y
+        for c in range(chunks):
+            head = rng.integers(0, 1 << 16, near_dedup.SYMBOLS).astype(np.uint16)
+            head[c * width : c * width + width] = x[c * width : c * width + width]
+            sigs[b"a%02d%02d" % (g, c)] = head
+    nodes = spark.createDataFrame([(bytearray(k), bytearray(v.tobytes())) for k, v in sigs.items()], "node binary, sig binary")
+    for size in (3, 512):
+        monkeypatch.setattr(near_dedup, "SIGNATURES", size)
+        root = {bytes(r.node): bytes(r.root) for r in near_dedup.families(nodes).collect()}
+        names = sorted(sigs)
+        near = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if (sigs[a] != sigs[b]).sum() <= near_dedup.DISTANCE]
+        assert len(near) >= 36 and all(a in root and root[a] == root.get(b) for a, b in near)
+        assert not any(k.startswith(b"a") for k in root)  # nothing is near to a head
+
+
 def test_real_documents(spark):
     got = near_dedup.op9_near_dedup(spark, SF).toPandas().set_index("doc_id")
     d = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").toPandas()
