@@ -1,4 +1,4 @@
-"""A neural news ranker's inference: word vectors, self-attention, additive attention; dot product of user and news.
+"""A neural news ranker's inference (training: nrms_fit.py): word vectors, self-attention, additive attention; dot product of user and news.
 
 Weights are numpy arrays (fixed by a seed, or read from an npz file). The catalogue is encoded once into a table of vectors;
 impressions gather what they need by joins, so no executor holds the catalogue. The padding code 0 has a vector, too: attention isn't
@@ -11,7 +11,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,23 +30,34 @@ class Weights:
     uw: np.ndarray
     ub: np.ndarray
     ua: np.ndarray
-    f1: np.ndarray  # freshness head: 2 to hidden to 1; zero at the start
-    f2: np.ndarray
+    f1: np.ndarray | None = None  # freshness head, of that arm only: 2 to hidden to 1, with biases; its output is zero at the start
+    g1: np.ndarray | None = None
+    f2: np.ndarray | None = None
+    g2: np.ndarray | None = None
+
+    @property
+    def fresh(self) -> bool:
+        return self.f1 is not None
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {f.name: x for f in fields(self) if (x := getattr(self, f.name)) is not None}
 
     @classmethod
-    def seeded(cls, vocabulary: int, word: int = 32, heads: int = 4, size: int = 8, attention: int = 16, hidden: int = 16, seed: int = 42) -> Weights:
+    def seeded(cls, vocabulary: int, word: int = 32, heads: int = 4, size: int = 8, attention: int = 16, hidden: int = 16, seed: int = 42, freshness: bool = False) -> Weights:
+        """The head is drawn last, so all other weights are those of the arm without it."""
         rng = np.random.default_rng(seed)
         g = lambda *s: rng.normal(0, 1 / np.sqrt(s[-2] if len(s) > 1 else s[0]), s)
         d = heads * size
-        return cls(g(vocabulary + 1, word), *(g(heads, word, size) for _ in range(3)), g(d, attention), np.zeros(attention), g(attention), *(g(heads, d, size) for _ in range(3)), g(d, attention), np.zeros(attention), g(attention), g(2, hidden), np.zeros(hidden))
+        return cls(g(vocabulary + 1, word), *(g(heads, word, size) for _ in range(3)), g(d, attention), np.zeros(attention), g(attention), *(g(heads, d, size) for _ in range(3)), g(d, attention), np.zeros(attention), g(attention), *((g(2, hidden), np.zeros(hidden), np.zeros(hidden), np.zeros(1)) if freshness else ()))
 
     def save(self, path: str) -> None:
-        np.savez(path, **{f.name: getattr(self, f.name) for f in fields(self)})
+        np.savez(path, **self.arrays())
 
     @classmethod
     def load(cls, path: str) -> Weights:
+        """The names in the file say which arm it is."""
         with np.load(path) as z:
-            return cls(**{f.name: z[f.name] for f in fields(cls)})
+            return cls(**{name: z[name] for name in z.files})
 
 
 def self_attention(x: np.ndarray, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -75,7 +86,13 @@ def encode_user(news: np.ndarray, m: Weights) -> np.ndarray:
 
 
 def freshness_logit(age: np.ndarray, known: np.ndarray, m: Weights) -> np.ndarray:
-    return np.maximum(np.stack([age, known], -1) @ m.f1, 0) @ m.f2
+    return np.maximum(np.stack([age, known], -1) @ m.f1 + m.g1, 0) @ m.f2 + m.g2[0]
+
+
+def freshness_column(age: Column, known: Column, m: Weights) -> Column:
+    """freshness_logit as an expression of columns."""
+    units = zip(m.f1[0], m.f1[1], m.g1, m.f2, strict=True)
+    return sum((F.greatest(age * float(a) + known * float(k) + float(g), F.lit(0.0)) * float(f) for a, k, g, f in units), F.lit(float(m.g2[0])))
 
 
 def article_vectors(tokens: DataFrame, m: Weights) -> DataFrame:
@@ -92,7 +109,10 @@ def article_vectors(tokens: DataFrame, m: Weights) -> DataFrame:
 
 
 def scores(impressions: DataFrame, vectors: DataFrame, m: Weights) -> DataFrame:
-    """impressions: imp, history (codes, padded to one length), candidates (codes, in place order, from 1). Returns imp, pos, code, score."""
+    """impressions: imp, history (codes, padded to one length), candidates (codes, in place order, from 1). Returns imp, pos, code, score.
+    The arm with freshness needs log_age (ln of 1 + hours) and known (0 or 1), too, of each candidate; the other looks at neither."""
+    if m.fresh and not {"log_age", "known"} <= set(impressions.columns):
+        raise ValueError("these weights have a freshness head: give log_age and known of the candidates")
     h = impressions.select("imp", F.posexplode("history").alias("i", "code")).join(vectors, "code").groupBy("imp").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("h"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,5 +125,9 @@ def scores(impressions: DataFrame, vectors: DataFrame, m: Weights) -> DataFrame:
     from ..functions.vectors import dot
 
     users = h.mapInArrow(of, "imp bigint, u array<double>")
-    long = impressions.select("imp", F.posexplode("candidates").alias("p", "code")).join(vectors, "code").join(users, "imp")
-    return long.select("imp", (F.col("p") + 1).alias("pos"), "code", dot(F.col("u"), F.col("v")).alias("score"))
+    names = ["candidates", *(["log_age", "known"] if m.fresh else [])]
+    long = impressions.select("imp", F.posexplode(F.arrays_zip(*names)).alias("p", "x")).select("imp", "p", F.col("x.candidates").alias("code"), *(f"x.{n}" for n in names[1:]))
+    score = dot(F.col("u"), F.col("v"))
+    if m.fresh:
+        score = score + freshness_column(F.col("log_age"), F.col("known"), m)
+    return long.join(vectors, "code").join(users, "imp").select("imp", (F.col("p") + 1).alias("pos"), "code", score.alias("score"))

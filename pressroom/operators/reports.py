@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BOOTSTRAP_DRAWS, MICROS_HOUR, SEED
+from ..sources.shared import stored
 from . import beyond, metrics
 
 
@@ -47,7 +48,7 @@ def beyond_accuracy(scored: DataFrame, vectors: DataFrame, vec: Column, probabil
     against that of random pairs. vec: the vector of an article."""
     by = Window.partitionBy("imp").orderBy(F.desc("score"), "pos")
     top = scored.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k)
-    lists = top.groupBy("imp").agg(F.collect_list("art").alias("arts"), F.collect_list(vec).alias("vecs"))  # k at most
+    lists = stored(top.groupBy("imp").agg(F.collect_list("art").alias("arts"), F.collect_list(vec).alias("vecs")))  # k at most; read six times
     out = lists.agg(F.count("*").alias("n_impressions"), F.lit(k).cast("bigint").alias("top_k"), F.lit(catalogue_size).cast("bigint").alias("catalogue_size"))
     for name, values in (("diversity", beyond.diversity(lists, vectors)), ("novelty", beyond.novelty(lists, probabilities, default))):
         ci = beyond.bootstrap(values.select(F.col("imp").alias("id"), F.col(name).alias("x")), draws=draws, seed=seed)

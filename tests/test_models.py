@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pressroom.functions.scalars import draw
@@ -50,7 +51,9 @@ def test_attention_numerics():
     one = nrms.self_attention(m.words[t[1:]], m.nq, m.nk, m.nv)
     assert np.allclose(one[0, 0], one[0, 4])  # equal inputs, equal outputs
     assert np.allclose(nrms.additive_attention(one, m.nw, m.nb, m.na)[0], one[0, 0], atol=1e-5)  # weights sum to 1
-    assert (nrms.freshness_logit(np.array([1.0, 2.0]), np.array([1.0, 0.0]), m) == 0).all()  # no effect before training
+    f = nrms.Weights.seeded(50, freshness=True)
+    assert not m.fresh and all((x == f.arrays()[k]).all() for k, x in m.arrays().items())  # the arms start alike
+    assert (nrms.freshness_logit(np.array([1.0, 2.0]), np.array([1.0, 0.0]), f) == 0).all()  # no effect before training
 
 
 def test_joined_scores_equal_direct_ones(spark, tmp_path):
@@ -114,3 +117,75 @@ def test_arms_run(spark):
     _, model = run.scored(m, "no_history_content", rounds=1, depth=2, min_leaf=5)
     names = [r.feature for r in run.importance(model, spark).collect()]
     assert sorted(names) == sorted(arm("no_history_content"))
+
+
+def test_freshness_arm(spark, tmp_path):
+    """The head adds to the logits, its weights' file says so, and ages must be given."""
+    rng = np.random.default_rng(2)
+    m = nrms.Weights.seeded(50, freshness=True)
+    m.f2, m.g1, m.g2 = rng.normal(size=16), rng.normal(size=16), np.array([0.3])
+    m.save(str(tmp_path / "f.npz"))
+    m = nrms.Weights.load(str(tmp_path / "f.npz"))
+    assert m.fresh
+    tokens = spark.createDataFrame([(c, rng.integers(0, 51, 4).tolist()) for c in range(1, 4)], "code long, tokens array<int>")
+    v = nrms.article_vectors(tokens, m)
+    imps = spark.createDataFrame([(1, [0, 2], [1, 2, 3], [0.0, 1.5, 3.0], [0.0, 1.0, 1.0])], "imp long, history array<long>, candidates array<long>, log_age array<double>, known array<double>")
+    with pytest.raises(ValueError):
+        nrms.scores(imps.drop("known"), v, m)
+    got = [r.score for r in nrms.scores(imps, v, m).orderBy("pos").collect()]
+    plain = nrms.Weights(**{k: x for k, x in m.arrays().items() if k not in ("f1", "g1", "f2", "g2")})
+    base = [r.score for r in nrms.scores(imps, v, plain).orderBy("pos").collect()]
+    want = nrms.freshness_logit(np.array([0.0, 1.5, 3.0]), np.array([0.0, 1.0, 1.0]), m)
+    assert np.allclose(np.array(got) - base, want)
+
+
+def _loss(m, h, c, y, age=None, known=None):
+    from pressroom.models import nrms_fit
+
+    return nrms_fit.gradients(m, h, c, y, age, known)[0]
+
+
+def test_gradients_by_finite_differences():
+    from pressroom.models import nrms_fit
+
+    rng = np.random.default_rng(5)
+    m = nrms.Weights.seeded(12, word=5, heads=2, size=3, attention=4, hidden=3, freshness=True)
+    m.f2, m.g1 = rng.normal(size=3), rng.normal(size=3)
+    h, c, y = rng.integers(0, 13, (3, 4, 3)), rng.integers(0, 13, (3, 5, 3)), np.array([0, 4, 2])
+    age, known = rng.random((3, 5)), rng.integers(0, 2, (3, 5)).astype(float)
+    _, grads = nrms_fit.gradients(m, h, c, y, age, known)
+    for name, x in m.arrays().items():
+        for at in {tuple(rng.integers(0, n) for n in x.shape) for _ in range(6)}:
+            old, e = x[at], 1e-5
+            x[at] = old + e
+            up = _loss(m, h, c, y, age, known)
+            x[at] = old - e
+            down = _loss(m, h, c, y, age, known)
+            x[at] = old
+            assert abs((up - down) / (2 * e) - grads[name][at]) < 1e-5, name
+
+
+def test_training_learns(spark):
+    """Users click what has the words of their history; a stop comes when validation no longer gains."""
+    from pressroom.models import nrms_fit
+
+    rng = np.random.default_rng(9)
+    topic = {c: (c - 1) // 10 for c in range(1, 41)}
+    tokens = spark.createDataFrame([(c, (1 + t * 5 + rng.integers(0, 5, 4)).tolist()) for c, t in topic.items()], "code long, tokens array<int>")
+
+    def rows(n, first):
+        out = []
+        for i in range(n):
+            t = int(rng.integers(0, 4))
+            own, other = [c for c in topic if topic[c] == t], [c for c in topic if topic[c] != t]
+            cand = [int(x) for x in rng.choice(other, 4, replace=False)]
+            y = int(rng.integers(0, 5))
+            cand.insert(y, int(rng.choice(own)))
+            out.append((first + i, [int(x) for x in rng.choice(own, 3)], cand, y))
+        return spark.createDataFrame(out, "imp long, history array<long>, candidates array<long>, label int")
+
+    start = nrms.Weights.seeded(21, word=8, heads=2, size=4, attention=8)
+    val = rows(60, 10_000)
+    before = nrms_fit.auc(val, tokens, start)
+    m, log = nrms_fit.fit(start, rows(300, 0), val, tokens, epochs=4, workers=2, rate=0.02, dropout=0.0)
+    assert log[0]["auc"] > before and max(e["auc"] for e in log) > 0.9 and nrms_fit.auc(val, tokens, m) == max(e["auc"] for e in log)
