@@ -4,7 +4,7 @@ Rows are dealt evenly to partitions, and each partition grows trees of `TREE` ro
 along the line between two far points. The inner product of an anchor with any row of a ball lies within centre.a - r|a| and centre.a + r|a|. So
 a node is passed over if it lies outside the score window, holds no row of a wanted label, or lies strictly beneath the k-th best
 score so far (strictly: at the same score the smaller id wins). The trees are stored; blocks of anchors are broadcast beside them, in
-passes of bounded size, and each tree with each block is one unit of work, with k rows a query at most. A window over
+passes of bounded size, and a task searches its trees one after the other, with k rows a query at most in the end. A window over
 those gives the first k of all. First the positives are searched (same label), then, for each, the negatives in its window.
 
 Scores are exact: entries are floor(scale * x), and products are added in doubles, which hold them exactly below 2^53; beyond that an error is raised.
@@ -81,8 +81,21 @@ class Anchors(NamedTuple):
     high: np.ndarray
 
 
-def search(tree: Tree, anchors: Anchors, same: bool, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """number of the query, id and score of each query's first k rows of the tree: of the anchor's label (same), itself not, or of others."""
+class Best:
+    """Each query's first k rows so far: score (-inf: none) and id."""
+
+    def __init__(self, queries: int, k: int):
+        self.score = np.full((queries, k), -np.inf)
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """number of the query, id and score."""
+        query, rank = np.nonzero(np.isfinite(self.score))
+        return query, self.ids[query, rank], self.score[query, rank].astype(np.int64)
+
+
+def search(tree: Tree, anchors: Anchors, same: bool, found: Best) -> None:
+    """Adds the tree's rows to found: those of the anchor's label (same), itself not, or of other labels."""
     x, a, who = tree.x.astype(np.float64), anchors.x.astype(np.float64), anchors.who
     if len(a) and np.abs(x).max() * np.abs(a).max() * x.shape[1] >= 2**53:
         raise ValueError("scores are too large to be exact")
@@ -96,8 +109,8 @@ def search(tree: Tree, anchors: Anchors, same: bool, k: int) -> tuple[np.ndarray
     middle, width = tree.centres @ a.T, tree.radii[:, None] * np.sqrt((a * a).sum(1))
     slack = 1e-9 * (np.abs(middle) + width + 1)
     upper, lower = middle + width + slack, middle - width - slack
-    best = np.full((len(who), k), -np.inf)
-    ids = np.full((len(who), k), np.iinfo(np.int64).max)
+    best, ids = found.score, found.ids
+    k = best.shape[1]
     stack = [(0, np.arange(len(who)))]
     while stack:
         node, live = stack.pop()
@@ -121,8 +134,6 @@ def search(tree: Tree, anchors: Anchors, same: bool, k: int) -> tuple[np.ndarray
         row = np.hstack([ids[live], np.where(fits, tree.ids[None, begin:end], np.iinfo(np.int64).max)])
         first = np.lexsort((row, -score), axis=1)[:, :k]
         best[live], ids[live] = np.take_along_axis(score, first, 1), np.take_along_axis(row, first, 1)
-    query, rank = np.nonzero(np.isfinite(best))
-    return query, ids[query, rank], best[query, rank].astype(np.int64)
 
 
 _TREE = "ids binary, labels binary, x binary, nodes binary, centres binary, radii binary"
@@ -154,27 +165,36 @@ def _tree(r: dict) -> Tree:
 
 
 def _searched(same: bool, k: int, low: int, high: int):
-    """Units of a tree and a block of anchors to anchor, positive (its id and score, or null) and the first rows of the tree for it."""
+    """Units of a tree and a block of anchors to anchor, positive (its id and score, or null) and the first rows of the task's trees for it. What a
+    task has found in one tree bounds the search of the next."""
+
+    def queries(block: list[dict]) -> tuple:
+        x = np.array([q["x"] for q in block], dtype=np.int64)
+        ids, labels, keys = (np.array([q[c] for q in block], dtype=np.int64) for c in ("id", "label", "key"))
+        if same:
+            asked = [(i, None, None) for i in range(len(block))]
+            ends = np.full(len(block), -np.inf), np.full(len(block), np.inf)
+        else:  # least and greatest score, as integers
+            asked = [(i, p["id"], p["score"]) for i, q in enumerate(block) for p in q["positives"]]
+            ends = np.array([-(-v[2] * low // 100) for v in asked]), np.array([v[2] * high // 100 for v in asked])
+        return Anchors(ids, labels, x, np.array([v[0] for v in asked], dtype=np.int64), *ends), keys, asked, Best(len(asked), k)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, tuple] = {}
         for b in batches:
             for r in b.to_pylist():
-                tree, block = _tree(r), r["anchors"]
-                x = np.array([q["x"] for q in block], dtype=np.int64)
-                if x.shape[1:] != tree.x.shape[1:]:
+                tree = _tree(r)
+                if r["block"] not in blocks:
+                    blocks[r["block"]] = queries(r["anchors"])
+                anchors, _, _, found = blocks[r["block"]]
+                if anchors.x.shape[1] != tree.x.shape[1]:
                     raise ValueError("vectors differ in length")
-                ids, labels = (np.array([q[c] for q in block], dtype=np.int64) for c in ("id", "label"))
-                if same:
-                    asked = [(i, None, None) for i in range(len(block))]
-                    ends = np.full(len(block), -np.inf), np.full(len(block), np.inf)
-                else:  # least and greatest score, as integers
-                    asked = [(i, p["id"], p["score"]) for i, q in enumerate(block) for p in q["positives"]]
-                    ends = np.array([-(-v[2] * low // 100) for v in asked]), np.array([v[2] * high // 100 for v in asked])
-                who = np.array([v[0] for v in asked], dtype=np.int64)
-                query, found, score = search(tree, Anchors(ids, labels, x, who, *ends), same, k)
-                keys = np.array([q["key"] for q in block], dtype=np.int64)
-                own = {"anchor": ids[who[query]], "key": keys[who[query]]} | {c: pa.array([asked[i][j] for i in query], pa.int64()) for j, c in ((1, "positive"), (2, "positive_score"))}
-                yield pa.RecordBatch.from_pydict(own | {"id": found, "score": score})
+                search(tree, anchors, same, found)
+        for anchors, keys, asked, found in blocks.values():
+            query, ids, score = found.rows()
+            who = anchors.who[query]
+            own = {"anchor": anchors.ids[who], "key": keys[who]} | {c: pa.array([asked[i][j] for i in query], pa.int64()) for j, c in ((1, "positive"), (2, "positive_score"))}
+            yield pa.RecordBatch.from_pydict(own | {"id": ids, "score": score})
 
     return of
 

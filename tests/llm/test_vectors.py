@@ -167,7 +167,10 @@ def test_tree_search_is_exact_and_prunes():
     for same in (True, False):
         low = np.full(40, -np.inf) if same else rng.integers(-10**6, 10**6, 40).astype(float)
         high = low + 10**6 if not same else np.full(40, np.inf)
-        q, found, score = hard_negatives.search(tree, hard_negatives.Anchors(ids[pick], labels[pick], x[pick], who, low, high), same, 4)
+        anchors, best = hard_negatives.Anchors(ids[pick], labels[pick], x[pick], who, low, high), hard_negatives.Best(40, 4)
+        for part in np.array_split(np.arange(720), 3):  # one tree after the other
+            hard_negatives.search(hard_negatives.grow(ids[part], labels[part], x[part], leaf=16), anchors, same, best)
+        q, found, score = best.rows()
         for i, p in enumerate(pick):
             s = x @ x[p]
             fits = [(-int(s[j]), int(ids[j])) for j in range(720) if (labels[j] == labels[p]) == same and low[i] <= s[j] <= high[i] and (not same or ids[j] != ids[p])]
