@@ -7,14 +7,15 @@ of each class with exactly k pieces, on its own. What tasks have left (fewer tha
 tokens, which fill sequences by the same rule; the last remainders of a group are laid end to end and cut, at the capacity and,
 for the last, at powers of two, which need no padding. So tokens cross the network only for remainders: at most one sequence a class and task.
 
-Whole texts are tokenised, word by word (between ASCII blanks, which the tokenizer drops, so ids are those of the text), and words are
-remembered. Null and empty texts have the end id only. A null doc_id stays null; rows equal in doc_id, or wholly, are documents each, with pieces of
+Whole texts are tokenised, in parts (the tokenizer drops blanks and parts words by kinds of characters, so ids are those of the text), and
+parts are remembered. Null and empty texts have the end id only. A null doc_id stays null; rows equal in doc_id, or wholly, are documents each, with pieces of
 their own. Very long texts are cut like others. Equal lengths take places in the order of the rows. An empty table gives an empty one. Only
 doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -23,39 +24,78 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read, words_of
+from .common import materialize, read
 
 CAPACITY, END = 4096, 2
 #: The part of its length by which a piece's slot may exceed it.
 SLACK = 1 / 128
 #: Tokens of a group of remainders, on average.
 GROUP = 1 << 22
-#: Words that a worker remembers; tokens of a batch that it sends on.
-WORDS, BATCH = 300_000, 1 << 20
+#: Parts of words that a worker remembers; bytes of the texts that it tokenises together; tokens of a batch that it sends on.
+WORDS, BYTES, BATCH = 1_000_000, 1 << 23, 1 << 20
 SHAPE = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordIds(dict):
-    """Ids of words, remembered. The tokenizer must treat blanks as ends of tokens and drop them."""
+#: Characters whose lower case and kind are the same everywhere: ASCII and the letters of Latin-1. No text of these has anything to compose.
+_PLAIN = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]*")
+#: How the tokenizer parts a text in lower case, for these characters.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+class WordIds:
+    """Ids of texts, of which the ids of parts are remembered.
 
-    def __missing__(self, word: bytes) -> list[int]:
-        ids = self.encode(word.decode("utf-8", "surrogatepass").encode("utf-8", "replace").decode(), add_special_tokens=False).ids
-        if len(word) <= 64:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    A word of plain characters is parted as the tokenizer parts it; parts that aren't remembered are tokenised together, as one text, whose
+    ids the tokenizer deals to its parts. Any other word, or one that may hold a special token, is tokenised as it is."""
+
+    def __init__(self, path: str, bound: int = WORDS):
+        from tokenizers import Tokenizer
 
-    def of(self, text: str | None, end: int) -> np.ndarray:
-        return np.fromiter(chain(chain.from_iterable(map(self.__getitem__, words_of(text))), (end,)), dtype=np.int32)
+        self.encode = Tokenizer.from_file(path).encode
+        self.seen: dict[str, bytes] = {}
+        self.bound = bound
+
+    def _parts(self, word: str) -> list[str]:
+        return _PARTS.findall(word.lower()) if _PLAIN.fullmatch(word) and "<|" not in word else [word]
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [x for x in new if _PLAIN.fullmatch(x) and "<|" not in x]
+        for k in range(0, len(plain), 4096):
+            own = plain[k : k + 4096]
+            e = self.encode(" ".join(own), add_special_tokens=False)
+            ids, words = np.array(e.ids, dtype="<i4"), np.array(e.word_ids)
+            ends = np.searchsorted(words, np.arange(len(own) + 1)).tolist()
+            for x, i, j in zip(own, ends[:-1], ends[1:], strict=True):
+                self.seen[x] = ids[i:j].tobytes()
+        for x in set(new).difference(plain):
+            self.seen[x] = np.array(self.encode(x, add_special_tokens=False).ids, dtype="<i4").tobytes()
+
+    def of(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """The texts' ids, each with the end id; no nulls. Each word of the lot is looked up once."""
+        words = pc.ascii_split_whitespace(texts)
+        known = words.flatten().dictionary_encode()
+        parts = [self._parts(x) for x in known.dictionary.to_pylist()]
+        if len(self.seen) > self.bound:
+            self.seen.clear()
+        self._learn(sorted(set(chain.from_iterable(parts)).difference(self.seen)))
+        own = [b"".join(map(self.seen.__getitem__, x)) for x in parts]
+        size = np.array([len(x) for x in own], dtype=np.int64) // 4
+        pool, first, which = np.frombuffer(b"".join(own), dtype="<i4"), np.cumsum(size) - size, known.indices.to_numpy()
+        length = size[which]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        ids = pool[np.repeat(first[which] - upto[:-1], length) + np.arange(upto[-1])]
+        ends = upto[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [np.append(ids[i:j], np.int32(end)) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One a worker, which keeps what it remembers from task to task."""
+    return WordIds(path)
 
 
 @lru_cache(1 << 16)
@@ -143,17 +183,29 @@ class Rows:
         return pa.RecordBatch.from_pydict(out)
 
 
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Ids and texts, in lots of about BYTES bytes at most."""
+    for b in batches:
+        docs, texts = b.column(0).to_pylist(), pc.fill_null(b.column(1), "")
+        upto = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(docs):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BYTES)))
+            yield docs[at:to], texts[at:to]
+            at = to
+
+
 def _fill(path: str, capacity: int, end: int, slack: float) -> Callable:
     """Documents to pieces in the sequences that the task fills, then, without a sequence, to those left over."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, bins, out = WordIds(path), Bins(capacity), Rows()
+        words, bins, out = word_ids(path), Bins(capacity), Rows()
         number = TaskContext.get().partitionId() << 32
-        for b in batches:
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for p in pieces(d, words.of(text, end), capacity, slack):
+        for docs, texts in _lots(batches):
+            for d, ids in zip(docs, words.of(texts, end), strict=True):
+                for p in pieces(d, ids, capacity, slack):
                     if own := bins.put(p):
                         out.add(own, number)
                         number += 1

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,15 +81,26 @@ def test_groups_of_remainders(spark, monkeypatch):
     assert padded(lengths) <= 0.02 * sum(lengths)
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aB éİΣς'sdt漢1٣ \t\n\x0b\x1c\x85\xa0 ́ﬁ<|endoftx>-_!😀‍"), max_size=60))
-def test_words_are_the_text(text):
-    assert packing.WordIds(PATH).of(text, 2).tolist() == encoded(text)
+WORDS = packing.WordIds(PATH, 200)
 
 
-def test_words_of_special_tokens():
-    for text in ("a <|endoftext|> b", "it<|endoftext|>'s", "<|startoftext|><|endoftext|>", "x" * 5000, "don't  you'LL"):
-        assert packing.WordIds(PATH).of(text, 2).tolist() == encoded(text)
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aB éÉ×ßµªİΣς'sdt漢1٣ \t\n\x0b\x1c\x7f\x85\xa0 ́ﬁ<|endoftx>-_!😀‍"), max_size=60))
+def test_parts_are_the_text(text):
+    assert WORDS.of(pa.array([text]), 2)[0].tolist() == encoded(text)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aBreéÉÀþß'sdtmLVl19 \t\n\x0b\x00\x1c\x1f\x7f-_!<>"), max_size=40), max_size=3))
+def test_plain_parts_are_the_texts(texts):
+    assert [x.tolist() for x in WORDS.of(pa.array(texts, pa.string()), 2)] == [encoded(x) for x in texts]
+
+
+def test_every_plain_character_and_special_tokens():
+    plain = [chr(c) for c in range(256) if packing._PLAIN.fullmatch(chr(c))]
+    texts = [a + b + "x" for a in plain for b in ("'", "s", "É", "1", "-", " ", "")]
+    texts += ["a <|endoftext|> b", "it<|endoftext|>'s", "<|startoftext|><|endoftext|>", "x" * 5000, "don't  you'LL", "", " "]
+    assert [x.tolist() for x in WORDS.of(pa.array(texts, pa.string()), 2)] == [encoded(x) for x in texts]
 
 
 @pytest.mark.parametrize("capacity", [16, 100, 4096])
