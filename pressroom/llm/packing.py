@@ -37,7 +37,7 @@ SLACK = 1 / 128
 GROUP = 1 << 22
 #: Parts of words that a worker remembers; bytes of the texts that it tokenises together; tokens of a batch that it sends on.
 WORDS, BYTES, BATCH = 1_000_000, 1 << 23, 1 << 20
-SHAPE = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SHAPE = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 #: Characters whose lower case and kind are the same everywhere: ASCII and the letters of Latin-1. No text of these has anything to compose.
@@ -46,33 +46,44 @@ _PLAIN = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
 
 
+#: How the tokenizer marks the last id of a word in its vocabulary.
+_LAST = "</w>"
+
+
 class WordIds:
     """Ids of texts, of which the ids of parts are remembered.
 
     A word of plain characters is parted as the tokenizer parts it; parts that aren't remembered are tokenised together, as one text, whose
-    ids the tokenizer deals to its parts. Any other word, or one that may hold a special token, is tokenised as it is."""
+    ids end where the vocabulary marks the end of a word. Any other word, or one that may hold a special token, is tokenised as it is."""
 
     def __init__(self, path: str, bound: int = WORDS):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[k for x, k in vocabulary.items() if x.endswith(_LAST)]] = True
         self.seen: dict[str, bytes] = {}
         self.bound = bound
 
     def _parts(self, word: str) -> list[str]:
         return _PARTS.findall(word.lower()) if _PLAIN.fullmatch(word) and "<|" not in word else [word]
 
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
     def _learn(self, new: list[str]) -> None:
         plain = [x for x in new if _PLAIN.fullmatch(x) and "<|" not in x]
         for k in range(0, len(plain), 4096):
             own = plain[k : k + 4096]
-            e = self.encode(" ".join(own), add_special_tokens=False)
-            ids, words = np.array(e.ids, dtype="<i4"), np.array(e.word_ids)
-            ends = np.searchsorted(words, np.arange(len(own) + 1)).tolist()
-            for x, i, j in zip(own, ends[:-1], ends[1:], strict=True):
+            ids = self._encode(" ".join(own))
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(own) or ends[-1] != len(ids):
+                raise ValueError("the tokenizer doesn't mark the last id of a word")
+            for x, i, j in zip(own, [0, *ends[:-1]], ends, strict=True):
                 self.seen[x] = ids[i:j].tobytes()
         for x in set(new).difference(plain):
-            self.seen[x] = np.array(self.encode(x, add_special_tokens=False).ids, dtype="<i4").tobytes()
+            self.seen[x] = self._encode(x).tobytes()
 
     def of(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """The texts' ids, each with the end id; no nulls. Each word of the lot is looked up once."""
@@ -81,15 +92,15 @@ class WordIds:
         parts = [self._parts(x) for x in known.dictionary.to_pylist()]
         if len(self.seen) > self.bound:
             self.seen.clear()
-        self._learn(sorted(set(chain.from_iterable(parts)).difference(self.seen)))
-        own = [b"".join(map(self.seen.__getitem__, x)) for x in parts]
+        self._learn(sorted({y for x in parts for y in x if y not in self.seen}))
+        own = [self.seen[x[0]] if len(x) == 1 else b"".join(map(self.seen.__getitem__, x)) for x in parts]
         size = np.array([len(x) for x in own], dtype=np.int64) // 4
-        pool, first, which = np.frombuffer(b"".join(own), dtype="<i4"), np.cumsum(size) - size, known.indices.to_numpy()
+        pool, first, which = np.frombuffer(b"".join(own), dtype="<u4"), np.cumsum(size) - size, known.indices.to_numpy()
         length = size[which]
         upto = np.concatenate([[0], np.cumsum(length)])
         ids = pool[np.repeat(first[which] - upto[:-1], length) + np.arange(upto[-1])]
         ends = upto[words.offsets.to_numpy() - words.offsets[0].as_py()]
-        return [np.append(ids[i:j], np.int32(end)) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        return [np.append(ids[i:j], np.uint32(end)) for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @lru_cache(1)
@@ -174,10 +185,9 @@ class Rows:
 
     def batch(self) -> pa.RecordBatch:
         ps, numbers, offsets = zip(*self.held, strict=True)
-        size = np.array([len(p.ids) for p in ps])
-        ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(np.concatenate([p.ids for p in ps])))
+        raw = [p.ids.astype("<u4", copy=False).tobytes() for p in ps]
         number, offset = np.array(numbers), np.array(offsets)
-        out = {"doc_id": pa.array([p.doc_id for p in ps], pa.int64()), "start": [p.start for p in ps], "length": size, "ids": ids, "ids_crc32": [zlib.crc32(np.ascontiguousarray(p.ids, "<u4")) for p in ps], "doc_tokens": [p.doc_tokens for p in ps]}
+        out = {"doc_id": pa.array([p.doc_id for p in ps], pa.int64()), "start": [p.start for p in ps], "length": [len(x) // 4 for x in raw], "ids": pa.array(raw, pa.binary()), "ids_crc32": [zlib.crc32(x) for x in raw], "doc_tokens": [p.doc_tokens for p in ps]}
         out |= {"sequence_id": pa.array(number, pa.int64(), mask=number < 0), "offset": pa.array(offset, pa.int64(), mask=number < 0)}
         self.held, self.tokens = [], 0
         return pa.RecordBatch.from_pydict(out)
@@ -224,12 +234,10 @@ def _regroup(capacity: int) -> Callable:
     def of(group: pa.Table) -> pa.Table:
         rows = group.sort_by([(c, "ascending") for c in ("worker", "doc_id", "start", "ids_crc32")])
         bins, out, number = Bins(capacity), Rows(), 1 << 62 | group["g"][0].as_py() << 32
-        columns = (rows[c].to_pylist() for c in ("doc_id", "start", "doc_tokens"))
-        ids = rows["ids"].combine_chunks()
-        flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        columns = (rows[c].to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens"))
         full = []
-        for i, (d, start, tokens) in enumerate(zip(*columns, strict=True)):
-            if own := bins.put(Piece(d, start, flat[ends[i] : ends[i + 1]], tokens)):
+        for d, start, ids, tokens in zip(*columns, strict=True):
+            if own := bins.put(Piece(d, start, np.frombuffer(ids, "<u4"), tokens)):
                 full.append(own)
         for i, own in enumerate(chain(full, close(bins.rest(), capacity))):
             out.add(own, number + i)
@@ -239,7 +247,7 @@ def _regroup(capacity: int) -> Callable:
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, slack: float = SLACK) -> DataFrame:
-    """SHAPE: the documents' pieces with their ids, and their places in sequences. path: a tokenizer's file, on every executor."""
+    """SHAPE: the documents' pieces with their ids (unsigned 32-bit numbers, little-endian), and their places in sequences. path: a tokenizer's file, on every executor."""
     first = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fill(path, capacity, end, slack), SHAPE).withColumn("worker", F.spark_partition_id()))
     left = first.where("sequence_id is null")
     tokens = left.agg(F.sum("length")).first()[0] or 0

@@ -33,7 +33,7 @@ def check(rows, documents):
     """rows: pieces with ids; documents: (doc_id, text)."""
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
-        assert r.length == len(r.ids) > 0 and r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes())
+        assert r.length * 4 == len(r.ids) > 0 and r.ids_crc32 == zlib.crc32(r.ids)
         pieces[r.doc_id].append(r)
         sequences[r.sequence_id].append(r)
     for s in sequences.values():
@@ -48,12 +48,12 @@ def check(rows, documents):
     assert set(pieces) == set(want)
     for d, own in pieces.items():
         if len(want[d]) > 1:  # documents of one id: their pieces together
-            assert sorted(x for r in own for x in r.ids) == sorted(x for w in want[d] for x in w)
+            assert sorted(x for r in own for x in np.frombuffer(r.ids, "<u4")) == sorted(x for w in want[d] for x in w)
             continue
         ids = []
         for r in sorted(own, key=lambda r: r.start):
             assert r.start == len(ids) and r.doc_tokens == len(want[d][0])
-            ids += r.ids
+            ids += np.frombuffer(r.ids, "<u4").tolist()
         assert ids == want[d][0]
     return [sum(r.length for r in s) for s in sequences.values()]
 
