@@ -1,14 +1,14 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions only.
 
 An item is contained in a document if the document holds `threshold` of its distinct shingles. Documents are partitioned
-by size: partition p has up to 2**p shingles. In it, MinHash has 2**(p + 2) bins (one permutation: the leading bits of a
+by size: partition p has up to 2**p shingles. In it, MinHash has 2**(p + 4) bins (one permutation: the leading bits of a
 shingle's hash are its bin, the least hash of a bin is the bin's value), so a long document gets a signature as much
 longer as it needs for a short item to show: a shingle is its bin's least with a chance of KEPT or more. A hash is least in
 its bin of the item from some number of bins on, so an item is indexed once for all partitions. The two are candidates if
 their values are equal in as many bins as containment implies: of m shared shingles at least KEPT * m - sqrt(m ln(1 / MISS) / 2) show
-but for a chance of MISS (Hoeffding). So a line that many documents and items share makes no candidates. Items of under SHORT
-shingles, for which one bin might miss one in a million, are searched by all shingles of the documents. Candidates are verified on
-full shingle sets; of a document's set only the shingles that some item has are carried to its pairs.
+but for a chance of MISS (Hoeffding). Pairs are made only where the two meet in one of the item's rarest shingles, as many as a document
+that contains it can't do without (SPARE more than it may lack), so a line that many documents and items share makes no rows of pairs. Items of under SHORT
+shingles are searched by all shingles of the documents, in the same way. Candidates are verified on full shingle sets; of a document's set only the shingles that some item has are carried to its pairs.
 
 A text of fewer words than a shingle is one shingle as a whole; null and blank texts have none and contain nothing. An item
 without an id is passed over. Equal texts are searched alike and verified once, so repeated rows and ties have the same result. Very long
@@ -19,15 +19,17 @@ one struct, so its other columns may have any names.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, materialize, read, small_or_same, word_array
 
 WORDS, THRESHOLD, SHORT = 5, 0.8, 8
-#: A document's shingle is the least of its bin with this chance at least; the chance that a contained item shows too little.
-KEPT, MISS = 0.88, 1e-9
+#: A document's shingle is the least of its bin with this chance ((1 - exp(-x)) / x with x = 1/16); the chance that a contained item shows too little; shingles of
+#: which none shows with that chance (0.031^6).
+KEPT, MISS, SPARE = 0.969, 1e-9, 6
 
 
 def shingles(text: str | Column, n: int = WORDS) -> Column:
@@ -37,7 +39,7 @@ def shingles(text: str | Column, n: int = WORDS) -> Column:
 
 
 def _bits(p: Column) -> Column:
-    return p + 2
+    return p + 4
 
 
 def _index(items: DataFrame, n: int) -> DataFrame:
@@ -47,6 +49,24 @@ def _index(items: DataFrame, n: int) -> DataFrame:
     return s.withColumn("from", F.transform("set", lambda x, i: F.when(i == 0, 0).otherwise(65 - F.length(F.bin(x.bitwiseXOR(F.get("set", i - 1)))))))
 
 
+def _met(seen: DataFrame, rows: DataFrame, sent: Callable[[DataFrame], DataFrame], first: Column, threshold: float) -> DataFrame:
+    """A row for each of an item's rarest hashes, `first` of them, that a text has."""
+    times = seen.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    rarest = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "h"))
+    few = rows.join(times, "h", "left").withColumn("r", rarest).where(F.col("r") <= first).select("item", "q", "h", "from")
+    met = seen.select("k1", "k2", "p", "n", F.explode("s").alias("h")).join(sent(few), "h")
+    return met.where((F.col("from") <= _bits(F.col("p"))) & (F.col("n") >= F.col("q") * threshold))
+
+
+def _meeting(seen: DataFrame, rows: DataFrame, index: DataFrame, sent: Callable[[DataFrame], DataFrame], first: Column, enough: Column, threshold: float) -> DataFrame:
+    """k1, k2, item of the candidates. seen: k1, k2, p, n and s, those of a text's hashes that some item has; rows: item, q, h, from; first: the number of an item's hashes, rarest
+    first, of which a text that contains it shows one; enough: hashes that it shows in all. A pair is made only where the two meet in one of the first."""
+    met = _met(seen, rows, sent, first, threshold)
+    both = met.select("k1", "k2", "item").distinct().join(seen.select("k1", "k2", "p", "s"), ["k1", "k2"]).join(sent(index), "item")
+    shown = F.filter("set", lambda x, i: F.get("from", i) <= _bits(F.col("p")))
+    return both.where(F.size(F.array_intersect("s", shown)) >= enough).select("k1", "k2", "item")
+
+
 def contained(docs: DataFrame, items: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """k1, k2 (the text's key, see keyed), items (ids, sorted) and containment (the largest), for texts that contain an item."""
     index = materialize(_index(items, n))
@@ -60,16 +80,22 @@ def contained(docs: DataFrame, items: DataFrame, n: int = WORDS, threshold: floa
     sized = sets.where(F.size("s") > 0).select("k1", "k2", "s", F.ceil(F.log2(F.size("s").cast("double"))).cast("int").alias("p"), F.size("s").alias("n"))
     leading = lambda x: F.call_function("shiftright", x, F.lit(64) - _bits(F.col("p")))
     least = F.filter("s", lambda x, i: (i == 0) | (leading(x) != leading(F.get("s", i - 1))))
-    shared = F.ceil(F.col("q") * threshold - 1e-9).cast("double")  # of a contained item
+
+    def seen(hashes: Column, of: DataFrame) -> DataFrame:
+        """A row a text that has one of the items' hashes: those that it has. Equal texts are one."""
+        met = sized.select("k1", "k2", "p", "n", F.explode(hashes).alias("h")).join(sent(of.select("h").distinct()), "h", "left_semi")
+        return materialize(met.groupBy("k1", "k2", "p", "n").agg(F.collect_set("h").alias("s")))
+
+    shared = F.ceil(F.col("q") * threshold - 1e-9).cast("int")  # of a contained item
+    lost = F.col("q") - shared
     enough = F.greatest(F.lit(1.0), F.ceil(KEPT * shared - F.sqrt(shared * (math.log(1 / MISS) / 2))).cast("double"))
-    hits = sized.select("k1", "k2", "p", "n", F.explode(least).alias("h")).join(sent(flat), "h").where((F.col("from") <= _bits(F.col("p"))) & (F.col("n") >= F.col("q") * threshold))
-    found = hits.groupBy("k1", "k2", "item", "q").agg(F.count_distinct("h").alias("hits")).where(F.col("hits") >= enough).select("k1", "k2", "item")
+    # Of lost + SPARE hashes a text that contains the item has SPARE at least, and shows none with a chance of MISS.
+    pairs = _meeting(seen(least, flat), flat, index, sent, lost + SPARE, enough, threshold)
     short = flat.where(F.col("q") < SHORT)
-    if not short.isEmpty():
-        every = sized.select("k1", "k2", F.explode(F.array_distinct("s")).alias("h")).join(sent(short), "h")
-        every = every.groupBy("k1", "k2", "item", "q").agg(F.count_distinct("h").alias("hits")).where(F.col("hits") >= shared).select("k1", "k2", "item")
-        found = found.unionByName(every)
-    pairs = materialize(found.distinct())
+    if not short.isEmpty():  # by all hashes, so no chance
+        every, always = short.withColumn("from", F.lit(0)), index.where(F.col("q") < SHORT).withColumn("from", F.transform("set", lambda x: F.lit(0)))
+        pairs = pairs.unionByName(_meeting(seen(F.array_distinct("s"), short), every, always, sent, lost + 1, shared, threshold))
+    pairs = materialize(pairs.distinct())
     texts = own.join(small_or_same(materialize(pairs.select("k1", "k2").distinct())), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     known = flat.select("h").distinct()
     own_shingles = texts.select("k1", "k2", F.explode(F.array_distinct(shingles("text", n))).alias("h")).join(sent(known), "h", "left_semi")

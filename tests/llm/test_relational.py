@@ -177,6 +177,24 @@ def test_decontamination_common_line(spark):
     assert [got.get(k, []) for k in range(len(texts))] == want and any(want) and not all(want)
 
 
+def test_a_shared_line_makes_no_rows_of_pairs(spark, monkeypatch):
+    """3,000 documents and 300 items with one line of 14 words in common, beside words of their own; one document holds an item."""
+    rng = random.Random(8)
+    line = " ".join(f"l{k}" for k in range(14))
+    bench = [(k, " ".join([*words(rng, 20, 90_000), line, *words(rng, 12, 90_000)])) for k in range(300)]
+    texts = [" ".join([*words(rng, 30, 90_000), line, *words(rng, 30, 90_000)]) for _ in range(2999)] + [" ".join(["so", bench[7][1], "it", "ends"])]
+    made, met = [], decontamination._met
+
+    def counted(*a):
+        out = met(*a)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(decontamination, "_met", counted)
+    found = decontamination.contained(docs(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert [list(r["items"]) for r in found] == [[7]] and sum(made) < 100_000
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (None, "two words")], "item_id long, text string")
     out = decontamination.decontaminate(frame(spark), bench)
@@ -383,6 +401,15 @@ def test_mixing_distribution(spark, rate):
     assert abs(k.mean() - rate) < 5 * (rate / len(u)) ** 0.5 + 1e-3 and abs(k.std() - rate**0.5) < 0.05 * rate**0.5
 
 
+def test_mixing_by_either_join(spark, monkeypatch):
+    """Distributions too large to send are joined by shuffle: the same rows."""
+    d = spark.createDataFrame([(k, f"t{k}", "a" if k % 3 else "b") for k in range(300)], "doc_id long, text string, source string")
+    few = lambda: sorted((r["row"].doc_id, r.copy, r.place) for r in mixing.mix(d).collect())
+    want = few()
+    monkeypatch.setattr(mixing, "CELLS", 3)
+    assert few() == want
+
+
 def test_mixing_large_rates(spark):
     """A rate beyond exp's range is drawn from its own distribution."""
     d = docs(spark, ["t"] * 40, "a").unionByName(docs(spark, ["t"] * 40, "b").withColumn("doc_id", F.col("doc_id") + 1000))
