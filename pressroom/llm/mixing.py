@@ -20,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read, small_or_same
+from .common import materialize, read
 
 TEMPERATURE, SEED = 0.7, "mix-1"
+#: Numbers of all sources' distributions up to which they are broadcast (20 MB).
+CELLS = 2_500_000
 
 
 def unit(*parts: Column) -> Column:
@@ -64,8 +66,9 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPE
     table = materialize(poisson(rates(docs, weights, temperature, total)))
     d = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     own = docs.select(F.struct("*").alias("row"), unit(F.lit(seed), d).alias("u"), d.alias("d"), F.col("source").cast("string").alias("src"))
-    # Few sources are broadcast, many are joined by shuffle, where Spark splits a large source.
-    both = own.join(small_or_same(table), own.src.eqNullSafe(table.s))
+    # Distributions of CELLS numbers in all are broadcast; larger ones are joined by shuffle, where Spark splits a large source.
+    cells = table.agg(F.sum(F.size("cdf") + 8)).first()[0] or 0
+    both = own.join(F.broadcast(table) if cells <= CELLS else table, own.src.eqNullSafe(table.s))
     out = both.withColumn("copies", F.col("least") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("copies > 0")
     out = out.select("row", "rate", "copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "d")
     out = out.select("row", "rate", "copies", "copy", unit(F.lit(seed), F.lit("place"), "d", F.col("copy").cast("string")).alias("place"))
