@@ -154,8 +154,8 @@ def submission_archive(spark, sf):
 
     path = folder(spark)
     ranked = metrics.submission(_test(spark, sf))
-    sinks.write_submission(ranked, path, "mind", parts=4, stop_after=2)
-    archive = sinks.write_submission(ranked, path, "mind", parts=4)
+    sinks.write_submission(ranked, path, "mind", parts=4, group=2, stop_after=2)
+    archive = sinks.write_submission(ranked, path, "mind", parts=4, group=2)
     lines = sinks.archive_lines(spark, archive, "mind")
     return lines.select((F.col("line") + 1).alias("line"), "value")
 

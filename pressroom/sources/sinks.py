@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import zipfile
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import archive
+from .shared import stored
+
 #: The file inside a submission's archive.
 INNER = {"mind": "prediction.txt", "ebnerd": "predictions.txt"}
 
@@ -17,88 +18,96 @@ def write_table(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def ranked_lines(ranked: DataFrame) -> DataFrame:
-    """impression_id, ranks to lines "<impression> [r1,r2,...]"."""
-    return ranked.select(F.concat(F.col("impression_id").cast("string"), F.lit(" ["), F.array_join(F.col("ranks").cast("array<string>"), ","), F.lit("]")).alias("value"))
+def ranked_lines(ranked: DataFrame, *keep: str) -> DataFrame:
+    """impression_id, ranks to lines "<impression> [r1,r2,...]"; keep: columns to stay beside them."""
+    line = F.concat(F.col("impression_id").cast("string"), F.lit(" ["), F.array_join(F.col("ranks").cast("array<string>"), ","), F.lit("]"))
+    return ranked.select(*keep, line.alias("value"))
 
 
-def _hadoop(spark, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+def write_submission(ranked: DataFrame, folder: str, dataset: str, parts: int = 64, group: int = 16, stop_after: int | None = None) -> str:
+    """Writes the lines, in the order of impression_id, into a zip archive in folder (archive.py).
 
+    The lines are stored first, once, with the range of ids that they fall in; then ranges are deflated, `group` of them a job, each job with a marker. A run that
+    was stopped is taken up by another call, which leaves out what has its marker. stop_after: deflate so many ranges and stop, as a lost driver would."""
+    spark = ranked.sparkSession
+    done = lambda path: archive.hadoop(spark, f"{path}/_SUCCESS")[0].exists(archive.hadoop(spark, f"{path}/_SUCCESS")[1])
+    if not done(f"{folder}/lines"):
+        own = stored(ranked.select("impression_id", "ranks"))
+        cuts = own.agg(F.percentile_approx(F.col("impression_id").cast("long"), [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+        edges = F.array(*map(F.lit, sorted(set(cuts or [])))).cast("array<long>")
+        lines = ranked_lines(own, "impression_id").withColumn("part", F.size(F.filter(edges, lambda x: x < F.col("impression_id"))))
+        lines.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/lines")
+    lines = spark.read.schema("impression_id long, value string, part int").parquet(f"{folder}/lines")
+    for k in range(0, parts, group):
+        if done(f"{folder}/deflated/{k:05d}"):
+            continue
+        if stop_after is not None and k >= stop_after:
+            return ""
+        own = lines.where(F.col("part").between(k, k + group - 1))
+        archive.deflated(own).write.mode("overwrite").parquet(f"{folder}/deflated/{k:05d}")
+    pieces = spark.read.schema(archive.PIECE).parquet(f"{folder}/deflated/*")
+    archive.write_pieces(pieces, f"{folder}/pieces")
+    fs, _ = archive.hadoop(spark, folder)
+    found = []
+    for r in _meta(spark, folder):
+        path = archive.hadoop(spark, f"{folder}/pieces/part={r['part']}")[1]
+        name = next(f.getPath().toString() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-"))
+        found.append((name, r["bytes"], r["crc"], r["size"]))
+    out = f"{folder}/{dataset}.zip"
+    archive.assemble(spark, found, out, INNER[dataset])
+    return out
 
-class _Sink:
-    """A file in any store that Spark writes, for zipfile."""
 
-    def __init__(self, stream):
-        self.stream, self.at = stream, 0
+def _meta(spark: SparkSession, folder: str) -> list:
+    """part, bytes, crc, size, lines of each piece, in order: a row a range."""
+    pieces = spark.read.schema(archive.PIECE).parquet(f"{folder}/deflated/*")
+    return pieces.select("part", F.octet_length("raw").alias("bytes"), "crc", "size", "lines").orderBy("part").collect()
 
-    def write(self, data) -> int:
-        self.stream.write(bytearray(data))
-        self.at += len(data)
-        return len(data)
 
-    def tell(self) -> int:
-        return self.at
+def archive_lines(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """line (from 0) and value of the member of an archive that write_submission wrote, read in records by many tasks."""
+    at, before, pieces = 30 + len(INNER[dataset]) + 20, 0, []
+    for r in _meta(spark, path.rsplit("/", 1)[0]):
+        pieces.append((at, r["bytes"], before))
+        at, before = at + r["bytes"], before + r["lines"]
+    return archive.lines_of(spark, path, pieces)
 
-    def flush(self) -> None:
-        self.stream.flush()
 
+def verify_archive(spark: SparkSession, path: str, dataset: str, rows: int) -> None:
+    """One member of the right name, and as many lines as impressions, all of them lines of ranks; from any store."""
+    with zipfile.ZipFile(_Source(*archive.hadoop(spark, path))) as z:
+        if z.namelist() != [INNER[dataset]]:
+            raise ValueError(f"members {z.namelist()}")
+    got = archive_lines(spark, path, dataset).agg(F.count("*"), F.sum(F.col("value").rlike(r"^\S+ \[(\d+(,\d+)*)?\]$").cast("long"))).first()
+    if got[0] != rows or (got[1] or 0) != rows:
+        raise ValueError(f"{got[0]} lines, {got[1]} of them well formed, for {rows} impressions")
 
-def write_submission(ranked: DataFrame, folder: str, dataset: str, parts: int = 64, stop_after: int | None = None) -> str:
-    """Writes the lines in the order of impression_id as parts, then zips the parts in that order, a line at a time, into folder.
 
-    Each part is a range of impression ids and is written by itself, with a marker when it is done; a run that was stopped is
-    taken up by another call, which leaves out what has its marker. The ranges are written first, so that all calls have the
-    same. stop_after: write so many parts and stop, as a lost driver would."""
-    spark = ranked.sparkSession
-    fs, plan = _hadoop(spark, f"{folder}/ranges")
-    if not fs.exists(_hadoop(spark, f"{folder}/ranges/_SUCCESS")[1]):
-        ids = ranked.select(F.col("impression_id").cast("long").alias("i"))
-        cuts = ids.agg(F.percentile_approx("i", [k / parts for k in range(1, parts)], 10_000).alias("c"))
-        cuts.write.mode("overwrite").parquet(f"{folder}/ranges")
-    edges = sorted(set(spark.read.parquet(f"{folder}/ranges").first()["c"] or []))
-    bounds = list(zip([None, *edges], [*edges, None], strict=True))
-    for k, (lo, hi) in enumerate(bounds):
-        if fs.exists(_hadoop(spark, f"{folder}/parts/{k:05d}/_SUCCESS")[1]):
-            continue
-        if stop_after is not None and k >= stop_after:
-            return ""
-        own = ranked.where((F.lit(lo is None) | (F.col("impression_id") > F.lit(lo))) & (F.lit(hi is None) | (F.col("impression_id") <= F.lit(hi))))
-        ranked_lines(own.orderBy("impression_id")).write.mode("overwrite").text(f"{folder}/parts/{k:05d}")
-    out = f"{folder}/{dataset}.zip"
-    stream = fs.create(_hadoop(spark, out)[1], True)
-    with zipfile.ZipFile(_Sink(stream), "w", zipfile.ZIP_DEFLATED) as z, z.open(INNER[dataset], "w", force_zip64=True) as sink:
-        for k in range(len(bounds)):
-            names = sorted(str(f.getPath()) for f in fs.listStatus(_hadoop(spark, f"{folder}/parts/{k:05d}")[1]) if f.getPath().getName().startswith("part-"))
-            for name in names:
-                # A file is one partition, read as it lies: its lines come to the driver a partition at a time.
-                for row in spark.read.text(name).coalesce(1).toLocalIterator():
-                    sink.write(f"{row.value}\n".encode())
-    stream.close()
-    return out
+class _Source:
+    """A file in any store, for zipfile, which reads headers and directory only."""
 
+    def __init__(self, fs, path):
+        self.stream, self.size, self.at = fs.open(path), fs.getFileStatus(path).getLen(), 0
 
-def archive_lines(spark, path: str, dataset: str) -> DataFrame:
-    """line (from 0) and value of the archive's member, read by an executor from any store."""
+    def seekable(self) -> bool:
+        return True
 
-    def of(rows):
-        import io
-
-        for r in rows:
-            with zipfile.ZipFile(io.BytesIO(bytes(r.content))) as z, z.open(INNER[dataset]) as f:
-                yield from ((k, x.decode().rstrip("\n")) for k, x in enumerate(f))
+    def tell(self) -> int:
+        return self.at
 
-    return spark.createDataFrame(spark.read.format("binaryFile").load(path).select("content").rdd.mapPartitions(of), "line long, value string")
+    def seek(self, at: int, whence: int = 0) -> int:
+        self.at = at + {0: 0, 1: self.at, 2: self.size}[whence]
+        return self.at
 
+    def read(self, n: int = -1) -> bytes:
+        n = min(n if n >= 0 else self.size, self.size - self.at)
+        self.stream.seek(self.at)
+        out = bytes(self.stream.readNBytes(n))
+        self.at += len(out)
+        return out
 
-def verify_archive(path: str | Path, dataset: str, rows: int) -> None:
-    """One member of the right name, and as many lines as impressions."""
-    with zipfile.ZipFile(path) as z:
-        assert z.namelist() == [INNER[dataset]], z.namelist()
-        with z.open(INNER[dataset]) as f:
-            n = sum(1 for _ in f)
-    assert n == rows, (n, rows)
+    def close(self) -> None:
+        self.stream.close()
 
 
 def bad_ranks(ranked: DataFrame) -> DataFrame:
@@ -106,8 +115,9 @@ def bad_ranks(ranked: DataFrame) -> DataFrame:
     return ranked.where(F.sort_array("ranks") != F.when(F.size("ranks") > 0, F.sequence(F.lit(1), F.size("ranks"))).otherwise(F.array().cast("array<int>")))
 
 
-def report(df: DataFrame, path: str, rows: int = 10_000) -> None:
-    """A small result as JSON lines and CSV."""
-    got = [r.asDict(recursive=True) for r in df.limit(rows).collect()]
-    Path(path).with_suffix(".json").write_text(json.dumps(got, default=str, indent=1))
-    df.limit(rows).toPandas().to_csv(Path(path).with_suffix(".csv"), index=False)
+def report(df: DataFrame, path: str) -> None:
+    """A result as JSON lines and as CSV, whole, to folders in any store; arrays and structs are JSON in the CSV."""
+    nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+    df = stored(df)
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}.json")
+    df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").option("header", "true").csv(f"{path}.csv")

@@ -1,11 +1,17 @@
 """Readers and sinks on files written here."""
 
 import datetime as dt
+import os
+import random
+import shutil
+import subprocess
+import zipfile
+import zlib
 
 import pytest
 
 from pressroom.operators import codec
-from pressroom.sources import readers, sinks
+from pressroom.sources import archive, readers, sinks
 
 
 @pytest.fixture
@@ -58,24 +64,72 @@ def test_embeddings(spark, tmp_path):
 
 
 def test_submission_file(spark, tmp_path):
-    ranked = spark.createDataFrame([(2, [1, 2]), (1, [2, 3, 1])], "impression_id long, ranks array<int>")
+    ranked = spark.createDataFrame([(2, [1, 2]), (1, [2, 3, 1]), (10, [])], "impression_id long, ranks array<int>")
     path = sinks.write_submission(ranked, str(tmp_path), "mind")
-    sinks.verify_archive(path, "mind", 2)
-    import zipfile
-
-    assert zipfile.ZipFile(path).read("prediction.txt").decode() == "1 [2,3,1]\n2 [1,2]\n"
-    with pytest.raises(AssertionError):
-        sinks.verify_archive(path, "mind", 3)
+    sinks.verify_archive(spark, path, "mind", 3)
+    assert zipfile.ZipFile(path).read("prediction.txt").decode() == "1 [2,3,1]\n2 [1,2]\n10 []\n"
+    with pytest.raises(ValueError):
+        sinks.verify_archive(spark, path, "mind", 4)
+    with pytest.raises(ValueError):
+        sinks.verify_archive(spark, path, "ebnerd", 3)
     assert sinks.bad_ranks(ranked).count() == 0
     assert sinks.bad_ranks(spark.createDataFrame([(1, [1, 1]), (2, [0, 1]), (3, [2, 1])], "impression_id long, ranks array<int>")).count() == 2
 
 
+def test_archive_of_many_parts_resumes(spark, tmp_path):
+    """Deflated by many tasks, stopped and taken up again: a whole zip, whose ranking was computed once and whose records are read by many tasks."""
+    rng = random.Random(3)
+    rows = [(i * 7, rng.sample(range(1, 40), 39)) for i in range(9000)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    ranked = spark.createDataFrame(rows, "impression_id long, ranks array<int>").repartition(6)
+    ranked = ranked.mapInArrow(counted, "impression_id long, ranks array<int>")
+    assert sinks.write_submission(ranked, str(tmp_path), "ebnerd", parts=9, group=2, stop_after=4) == ""
+    first = sorted((tmp_path / "deflated").rglob("*.parquet"))
+    path = sinks.write_submission(ranked, str(tmp_path), "ebnerd", parts=9, group=2)
+    assert seen.value == 9000 and set(first) < set((tmp_path / "deflated").rglob("*.parquet"))
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and z.namelist() == ["predictions.txt"]
+        text = z.read("predictions.txt").decode()
+    assert text == "".join(f"{i} [{','.join(map(str, r))}]\n" for i, r in rows)
+    sinks.verify_archive(spark, path, "ebnerd", 9000)
+    got = sinks.archive_lines(spark, path, "ebnerd").orderBy("line").collect()
+    assert [r.line for r in got] == list(range(9000)) and "".join(f"{r.value}\n" for r in got) == text
+    if shutil.which("unzip"):
+        assert subprocess.run(["unzip", "-tq", path], capture_output=True).returncode == 0
+    size = os.path.getsize(path)
+    assert size % archive.RECORD == 0 and size > 3 * archive.RECORD
+    with open(path, "r+b") as f:  # a changed byte is found
+        f.seek(size // 3)
+        b = f.read(1)
+        f.seek(size // 3)
+        f.write(bytes([b[0] ^ 1]))
+    with pytest.raises(Exception):  # noqa: B017  by zlib or by the lines' form
+        sinks.verify_archive(spark, path, "ebnerd", 9000)
+
+
+def test_checksums_combine():
+    rng = random.Random(1)
+    for n, m in ((0, 0), (1, 0), (0, 5), (3, 4), (1000, 77_777), (5, 1 << 20)):
+        a, b = rng.randbytes(n), rng.randbytes(m)
+        assert archive.crc_combine(zlib.crc32(a), zlib.crc32(b), m) == zlib.crc32(a + b)
+
+
 def test_tables_and_reports(spark, tmp_path):
-    df = spark.createDataFrame([("train", 1), ("val", 2)], "split string, x int")
+    df = spark.createDataFrame([("train", 1, [1.0]), ("val", 2, None)], "split string, x int, v array<double>")
     sinks.write_table(df, str(tmp_path / "t"), "split")
     assert spark.read.parquet(str(tmp_path / "t")).where("split = 'val'").first().x == 2
     sinks.report(df, str(tmp_path / "r"))
-    assert (tmp_path / "r.json").exists() and (tmp_path / "r.csv").read_text().startswith("split,x")
+    assert sorted(map(tuple, spark.read.schema(df.schema).json(str(tmp_path / "r.json")).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert {(r.split, r.x, r.v) for r in spark.read.option("header", "true").csv(str(tmp_path / "r.csv")).collect()} == {("train", "1", "[1.0]"), ("val", "2", None)}
+    many = spark.range(12_345)
+    sinks.report(many, str(tmp_path / "many"))
+    assert spark.read.json(str(tmp_path / "many.json")).count() == 12_345  # nothing is cut off
 
 
 def test_codec_round_trip(spark):
