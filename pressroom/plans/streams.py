@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import adapters as A
 from ..sources.adapters import ctes
-from ..sources.shared import folder
+from ..sources.shared import folder, stored
 from ..streaming import jobs, pool
 
 
@@ -17,7 +17,7 @@ def _events(spark, sf):
     if any(f.endswith("/events.parquet") for f in batch.inputFiles()):  # a stream's source must be a folder
         raw = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     else:
-        raw = jobs.files(spark, path, batch.schema)
+        raw = spark.readStream.schema(batch.schema).parquet(path)  # as one chunk: its files may overlap in time
     return raw.select("event_id", F.col("user_id").alias("usr"), A.micros("ts").alias("t"), F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("bigint").alias("art"))
 
 
@@ -52,11 +52,40 @@ def stream_ranked(spark, sf):
     return spark.read.schema("value string").parquet(out)
 
 
-QUERIES = {f.__name__: f for f in (stream_fresh_pool, stream_first_seen, stream_sessions, stream_ranked)}
+def stream_sessions_closed(spark, sf):
+    """Sessions that have ended by the newest event's time."""
+    out, mark = folder(spark), folder(spark)
+    jobs.run_append(jobs.closed_sessions(_events(spark, sf).select("event_id", "usr", "t")), out, mark)
+    return spark.read.schema("usr bigint, n bigint, first_t bigint, last_t bigint").parquet(out)
+
+
+def stream_scored(spark, sf):
+    """Orders of the test split, a chunk at a time, scored by lookups of counts as of their time, categories and their rates, and ranked."""
+    rows = A.split_of(A.shown(spark, sf))
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    catalogue = A.catalogue(spark, sf).select("art", "category")
+    rate = (F.sum("label") / F.count("*")).alias("ctr")
+    priors = stored(train.join(catalogue, "art").groupBy("category").agg(rate))
+    stats = stored(jobs.versions(A.shown(spark, sf).select("art", "t", "label")))
+    default = train.agg(rate).first()[0] or 0.0
+    store, out, mark = folder(spark), folder(spark), folder(spark)
+    lists = test.groupBy(F.col("imp").alias("impression_id"), "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "art"))), lambda x: x["art"]).alias("candidates"))
+    lists.write.parquet(store)
+    chunks = jobs.files(spark, store, "impression_id bigint, t bigint, candidates array<bigint>", 4)
+    jobs.run_chunks(chunks, lambda c: jobs.ranked(jobs.lookup_scores(c, stats, catalogue, priors, default)), out, mark)
+    return spark.read.schema("value string").parquet(f"{out}/*")
+
+
+QUERIES = {f.__name__: f for f in (stream_fresh_pool, stream_first_seen, stream_sessions, stream_ranked, stream_sessions_closed, stream_scored)}
 _H = 3_600_000_000
 ORACLES = {
     "stream_fresh_pool": ctes("events", "displays") + f" select q.event_id, q.art, q.t, count(e.t) filter (e.t >= q.t - {6 * _H}) shown, count(e.t) shown_back, count(e.t) filter (e.click = 1 and e.t >= q.t - {6 * _H} and e.t < q.t - 600000000) clicked, false late from dis q left join dis e on e.art = q.art and e.t < q.t and e.t >= q.t - {24 * _H} group by q.event_id, q.art, q.t",
     "stream_first_seen": ctes("events", "displays") + " select art, min(t) first_t from dis group by art",
     "stream_sessions": ctes("events") + ", b as (select *, case when t - lag(t) over (partition by usr order by t, event_id) > 1800000000 then 1 else 0 end nw from ev), s as (select *, sum(nw) over (partition by usr order by t, event_id rows unbounded preceding) s from b) select usr, count(*) n, min(t) first_t, max(t) last_t from s group by usr, s",
     "stream_ranked": ctes("orders", "shown") + ", r as (select imp, pos, row_number() over (partition by imp order by art % 7 desc, pos) r from shown) select imp || ' [' || string_agg(cast(r as varchar), ',' order by pos) || ']' as value from r group by imp",
+    "stream_sessions_closed": ctes("events") + ", b as (select *, case when t - lag(t) over (partition by usr order by t, event_id) > 1800000000 then 1 else 0 end nw from ev), s as (select *, sum(nw) over (partition by usr order by t, event_id rows unbounded preceding) s from b), g as (select usr, count(*) n, min(t) first_t, max(t) last_t from s group by usr, s) select * from g where last_t + 1800000001 <= (select max(t) // 1000 * 1000 from ev)",
+    "stream_scored": ctes("orders", "shown", "cut", "split") + """, c as (select p_brand, sum(label) / count(*) ctr from sp join part on art = p_partkey where split = 'train' group by p_brand), g as (select sum(label) / count(*) g from sp where split = 'train'),
+k as (select q.imp, q.pos, count(s.imp) d, coalesce(sum(s.label), 0) k from sp q left join shown s on s.art = q.art and s.t < q.t where q.split = 'test' group by q.imp, q.pos),
+r as (select imp, pos, row_number() over (partition by imp order by (k + 50 * coalesce(ctr, g)) / (d + 50) desc, pos) r from sp join k using (imp, pos) left join part on p_partkey = art left join c using (p_brand), g)
+select imp || ' [' || string_agg(cast(r as varchar), ',' order by pos) || ']' as value from r group by imp""",
 }
