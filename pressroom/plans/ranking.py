@@ -13,7 +13,7 @@ from ..schemas import FEATURES
 from ..sources import adapters as A
 from ..sources import sinks
 from ..sources.adapters import ctes
-from ..sources.shared import stored
+from ..sources.shared import Grouped, stored
 
 r6 = lambda c: F.round(F.col(c) if isinstance(c, str) else c, 6)
 r9 = lambda c: F.round(F.col(c) if isinstance(c, str) else c, 9)
@@ -211,18 +211,80 @@ def random_pair_diversity(spark, sf):
     return beyond.random_pair_diversity(A.vectors(spark, sf)).select("pairs", r6("diversity").alias("diversity"))
 
 
+def _ranker_matrix(spark, sf):
+    """The feature matrix as the ranker reads it: imp, row (the first stage's rank), split, label, FEATURES as numbers."""
+    splits = A.split_of(A.orders(spark, sf)).select("imp", "split")
+    m = _matrix(spark, sf)
+    kinds = dict(m.dtypes)
+    return m.select("imp", F.col("retrieval_rank").alias("row"), "label", *(F.col(c).cast("double").alias(c) if kinds[c] == "boolean" else F.col(c) for c in FEATURES)).join(splits, "imp")
+
+
+#: Fewer rounds than the ranker's own 500, so that the query ends in minutes; all else is as configured.
+ROUNDS, PATIENCE = 20, 5
+
+
 def lambdamart_scores(spark, sf):
     """The ranker on all features, trained on the training split, stopped on val, scored on test."""
     from ..models import run
 
-    splits = A.split_of(A.orders(spark, sf)).select("imp", "split")
-    m = _matrix(spark, sf)
-    kinds = dict(m.dtypes)
-    m = m.select("imp", F.col("retrieval_rank").alias("row"), "label", *(F.col(c).cast("double").alias(c) if kinds[c] == "boolean" else F.col(c) for c in FEATURES)).join(splits, "imp")
-    out, _ = run.scored(stored(m))
+    out, _ = run.scored(stored(_ranker_matrix(spark, sf)), rounds=ROUNDS, patience=PATIENCE)
     return out.select("imp", "pos", "label", r9("score").alias("score"))
 
 
+def ranker_arms(spark, sf):
+    """The ablation's arms of features, each trained and tested on the same rows."""
+    from ..models import run
+
+    return run.arms(_ranker_matrix(spark, sf), rounds=5, patience=5)
+
+
+def _split_rows(spark, sf):
+    """The training split with features that SQL can bin: place, earlier clicks of the article, reading time (unknown for some)."""
+    s = A.split_of(A.shown(spark, sf, dwell=True)).where("split = 'train'")
+    clicks = s.groupBy("art").agg(F.sum("label").alias("clicks"))
+    return s.join(clicks, "art").select("imp", F.col("pos").alias("row"), "label", F.lit(0.0).alias("score"), F.col("pos").cast("double").alias("place"), F.col("clicks").cast("double").alias("clicks"), "dwell")
+
+
+_SPLIT_FEATURES, _SPLIT_LEAVES = ["place", "clicks", "dwell"], 4
+
+
+def lambdamart_gradients(spark, sf):
+    from ..models import lambdamart
+
+    rows = A.split_of(A.shown(spark, sf)).where("split = 'train'").select("imp", F.col("pos").alias("row"), "label", (1 / F.col("pos")).alias("score"))
+    return lambdamart.lambdas(rows).select("imp", "row", r6("g").alias("g"), r6("h").alias("h"))
+
+
+def lambdamart_first_tree(spark, sf):
+    """The first tree's splits, with edges at whole numbers."""
+    from ..models import lambdamart, trees
+
+    edges = [[float(x) for x in range(trees.BINS - 1)]] * len(_SPLIT_FEATURES)
+    rows = stored(trees.binned(lambdamart.lambdas(_split_rows(spark, sf)), _SPLIT_FEATURES, edges))
+    tree = trees.grow(rows, len(_SPLIT_FEATURES), leaves=_SPLIT_LEAVES)
+    found = [(_SPLIT_FEATURES[x.feature], x.bin, x.missing_left, x.gain, x.n) for x in tree.nodes if x.feature >= 0]
+    out = spark.createDataFrame(found, "feature string, bin int, missing_left boolean, gain double, n long")
+    return out.withColumn("gain", F.round("gain", 4))
+
+
+def grouped_matrix(spark, sf):
+    """Impressions' rows as a grouped table keeps them: their number, whether they lie together, and the articles in the order they lie in."""
+    tables = Grouped(spark, "imp", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = tables.store(A.shown(spark, sf).select("imp", "pos", "art", "label"), "pos").withColumn("i", F.monotonically_increasing_id())
+    lists = rows.groupBy("imp").agg(F.count("*").alias("n"), (F.max("i") - F.min("i") + 1 == F.count("*")).alias("together"), F.sort_array(F.collect_list(F.struct("i", "art"))).alias("s"))
+    return lists.select("imp", "n", "together", F.array_join(F.transform("s", lambda x: x["art"].cast("string")), " ").alias("arts"))
+
+
+def ranker_report(spark, sf):
+    """Before and after, with popularity's scores for the second stage."""
+    from ..models import run
+
+    t = _test(spark, sf).withColumn("retrieval_rank", F.col("pos"))
+    impressions = A.split_of(A.orders(spark, sf)).where("split = 'test'").select("imp")
+    out = run.report(t.select("imp", "pos", "label", "score", "retrieval_rank"), impressions)
+    return out.select("stage", "n_impressions", "n_scored", *(r6(c).alias(c) for c in ("auc", "mrr", "ndcg_5", "ndcg_10", "recall", "captured")))
+
+
 def nrms_scores(spark, sf):
     """The neural ranker with seeded weights over titles of the catalogue."""
     from ..models import nrms
@@ -243,6 +305,7 @@ def nrms_scores(spark, sf):
 QUERIES = {f.__name__: f for f in (
     label_candidates, positive_impressions, drop_no_click, sampled_rows, sampled_fixed, request_block, negatives_sampled, wu_sampling, feature_matrix, recall_fraction, hit_rate, auc_per_impression, mrr, ndcg_at_k, metrics_population,
     before_after, slice_cold_warm, slice_head_tail, novelty, paired_predictions, rank_submission, submission_lines, verify_submission, log_window, bootstrap_ci, paired_bootstrap, coverage_ci, random_pair_diversity, lambdamart_scores, nrms_scores,
+    ranker_arms, lambdamart_gradients, lambdamart_first_tree, grouped_matrix, ranker_report,
 )}
 
 _TRAIN = ctes("orders", "shown", "cut", "split", "osplit")
@@ -286,6 +349,46 @@ ORACLES = {
     "verify_submission": f"{_FIRST} select count(distinct imp) \"rows\", cast(0 as bigint) bad from te",
     "log_window": ctes("orders", "cut", "osplit") + ", b as (select min(t) lo, max(t) hi from osp where split = 'test') select imp, t, split = 'test' is_target from osp, b where t between lo - 86400000000 and hi",
 }
+
+
+def _lambda_sql(rows: str, truncation: int = 200) -> str:
+    """gr: imp, row, label, g, h of rows (imp, row, label, score)."""
+    return f"""lr as (select *, row_number() over (partition by imp order by score desc, row) k, row_number() over (partition by imp order by label desc, row) i from {rows}),
+lm as (select *, sum(case when label > 0 then (pow(2, label) - 1) / log2(i + 1) else 0 end) over (partition by imp) m from lr),
+lp as (select a.imp, a.row ra, b.row rb, abs(pow(2, a.label) - pow(2, b.label)) * abs(1 / log2(a.k + 1) - 1 / log2(b.k + 1)) / a.m gain, 1 / (1 + exp(a.score - b.score)) rho from lm a join lm b using (imp) where a.label > b.label and a.m > 0 and least(a.k, b.k) <= {truncation}),
+ls as (select imp, row, sum(g) g, sum(h) h from (select imp, ra as row, rho * gain g, rho * (1 - rho) * gain h from lp union all select imp, rb, -rho * gain, rho * (1 - rho) * gain from lp) group by imp, row),
+gr as (select r.*, coalesce(ls.g, 0) g, coalesce(ls.h, 0) h from {rows} r left join ls on r.imp = ls.imp and r.row = ls.row)"""
+
+
+def _split_sql(name: str, placed: str, nodes: str) -> str:
+    """The best split of each of the nodes of a relation (imp, row, node, g, h, b0, b1, ...)."""
+    long = " union all ".join(f"select node, {i} f, b{i} bin, g, h from {placed} where node in ({nodes})" for i in range(len(_SPLIT_FEATURES)))
+    sums = ", ".join(f"sum({x}) filter (bin > 0) over u {y}l, sum({x}) over o {y}t, coalesce(sum({x}) filter (bin = 0) over o, 0) {y}m" for x, y in (("g", "g"), ("h", "h"), ("n", "n")))
+    side = ", ".join(f"coalesce({y}l, 0) + case when ml then {y}m else 0 end {y}l, {y}t" for y in "ghn")
+    return f"""{name}c as (select node, f, bin, sum(g) g, sum(h) h, count(*) n from ({long}) group by node, f, bin),
+{name}w as (select node, f, bin, {sums} from {name}c window o as (partition by node, f), u as (partition by node, f order by bin rows unbounded preceding)),
+{name}d as (select node, f, bin, ml, {side} from {name}w, (values (false), (true)) t(ml) where bin > 0),
+{name}g as (select node, f, bin, ml, nt, gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht gain from {name}d where nl >= 50 and nt - nl >= 50 and hl >= 0.001 and ht - hl >= 0.001),
+{name} as (select * from {name}g where gain > 1e-9 qualify row_number() over (partition by node order by round(gain, 9) desc, f, bin, ml) = 1)"""
+
+
+def _place_sql(name: str, before: str, split: str, first: int) -> str:
+    """Rows with those of the split node moved to nodes first and first + 1."""
+    b = "case s.f " + " ".join(f"when {i} then b{i}" for i in range(len(_SPLIT_FEATURES))) + " end"
+    return f"{name} as (select p.* exclude (node), case when s.node is null then p.node when {b} <= s.bin and ({b} > 0 or s.ml) then {first} else {first + 1} end node from {before} p left join {split} s on p.node = s.node)"
+
+
+_BINS = ", ".join(f"case when {c} is null then 0 else cast(least(ceil({c}), {254}) as int) + 1 end b{i}" for i, c in enumerate(_SPLIT_FEATURES))
+ORACLES["lambdamart_gradients"] = f"{_TRAIN}, tr as (select imp, pos as row, label, 1 / pos score from sp where split = 'train'), {_lambda_sql('tr')} select imp, row, round(g, 6) g, round(h, 6) h from gr"
+ORACLES["lambdamart_first_tree"] = f"""{_TRAIN}, tr as (select imp, pos as row, label, 0.0 score, pos place, sum(label) over (partition by art) clicks, dwell from sp where split = 'train'), {_lambda_sql('tr')},
+p0 as (select 0 node, imp, row, g, h, {_BINS} from gr), {_split_sql('s0', 'p0', '0')},
+{_place_sql('p1', 'p0', 's0', 1)}, {_split_sql('s1', 'p1', '1, 2')}, t1 as (select * from s1 order by gain desc, node limit 1),
+{_place_sql('p2', 'p1', 't1', 3)}, {_split_sql('s2', 'p2', '3, 4')}, t2 as (select * from (select * from s1 where node not in (select node from t1) union all select * from s2) order by gain desc, node limit 1)
+select ['{"', '".join(_SPLIT_FEATURES)}'][f + 1] feature, bin, ml missing_left, round(gain, 4) gain, cast(nt as bigint) n from (select * from s0 union all select * from t1 union all select * from t2)"""
+ORACLES["grouped_matrix"] = ctes("orders", "shown") + " select imp, count(*) n, true together, string_agg(cast(art as varchar), ' ' order by pos) arts from shown group by imp"
+ORACLES["ranker_report"] = f"""{_M}, {_metrics('-pos', '0')}, re as (select count(distinct imp) filter (label > 0) / (select count(*) from osp where split = 'test') r from te),
+both_ as (select 'before' stage, {_MEANS.replace("round(avg(coalesce(mrr, 0)), 6)", "avg(coalesce(mrr, 0))")} from osp left join pe0 using (imp) where split = 'test' union all select 'after', {_MEANS.replace("round(avg(coalesce(mrr, 0)), 6)", "avg(coalesce(mrr, 0))")} from osp left join pe using (imp) where split = 'test')
+select stage, n_impressions, n_scored, auc, round(mrr, 6) mrr, ndcg_5, ndcg_10, round(r, 6) recall, round(case when stage = 'after' and r > 0 then mrr / r end, 6) captured from both_, re"""
 _FM = f"""{_TRAIN}, {ctes('history', 'vectors')[5:]}, m as (select count(*) m from embeddings),
 cd as (select imp, art, t, cast(min(pos) as bigint) rank, max(label) as label from shown group by imp, art, t),
 g as (select sum(label) / count(*) g from sp where split = 'train'),

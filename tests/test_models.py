@@ -17,7 +17,7 @@ def _fixture(spark, n=120):
 
 def test_lambdamart_beats_the_first_stage(spark):
     d = _fixture(spark)
-    model = lambdamart.fit(d.where("imp < 80"), ["a", "b", "stage1"], d.where("imp >= 80 and imp < 100"), rounds=4, depth=3, min_leaf=10)
+    model = lambdamart.fit(d.where("imp < 80"), ["a", "b", "stage1"], d.where("imp >= 80 and imp < 100"), rounds=8, rate=0.3, leaves=6, min_leaf=10)
     test = d.where("imp >= 100")
     mrr = lambda df, c: per_impression(df.select("imp", F.col("row").alias("pos"), F.col(c).alias("score"), "label")).agg(F.avg("mrr")).first()[0]
     scored = model.transform(test)
@@ -111,10 +111,10 @@ def test_arms_run(spark):
             best = x[FEATURES.index("history_title_bm25")] + 0.2 * x[FEATURES.index("ctr_article")]
             rows.append((imp, row, ("train", "train", "val", "test")[imp % 4], int(best > 0.75), *x))
     m = spark.createDataFrame(rows, "imp long, row long, split string, label int, " + ", ".join(f"{f} double" for f in FEATURES))
-    got = {r["arm"]: r for r in run.arms(m, ("all", "no_history_content"), rounds=3, depth=3, min_leaf=5).collect()}
+    got = {r["arm"]: r for r in run.arms(m, ("all", "no_history_content"), rounds=3, leaves=6, minLeaf=5).collect()}
     assert got["all"].mrr_gain is None and got["all"].trees >= 1 and got["all"].n_impressions == len({r[0] for r in rows if r[2] == "test"})
     assert got["no_history_content"].mrr_gain < 0 and got["no_history_content"].gain_lo <= got["no_history_content"].mrr_gain <= got["no_history_content"].gain_hi
-    _, model = run.scored(m, "no_history_content", rounds=1, depth=2, min_leaf=5)
+    _, model = run.scored(m, "no_history_content", rounds=1, leaves=4, minLeaf=5)
     names = [r.feature for r in run.importance(model, spark).collect()]
     assert sorted(names) == sorted(arm("no_history_content"))
 
