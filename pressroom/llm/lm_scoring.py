@@ -260,8 +260,8 @@ def score(docs: DataFrame, top: int = TOP, heavy: int = HEAVY, sample: int = SAM
     exploded = texts.mapInArrow(_exploded(hashes, log_top, often, log_heavy, log_n), EXPLODED)
     gram = (F.col("v") == COMMON) | (F.col("v") >= 0) | (F.col("v") <= -RARE)
     number = lambda col, shifted: F.when(F.col("v") == COMMON, shifted).otherwise(F.col(col))
-    # A document's own rows carry its key as g, which may be some bigram's hash: they are apart, in the same partition.
-    dealt = exploded.withColumn("gram", gram).repartition(parts, "g").withColumn("c", F.when(F.col("gram"), F.sum("k").over(Window.partitionBy("g", "gram"))))
+    # A document's own rows carry its key as g, which may be some bigram's hash: what they carry isn't counted.
+    dealt = exploded.repartition(parts, "g").withColumn("c", F.when(gram, F.sum(F.when(gram, F.col("k"))).over(Window.partitionBy("g"))))
     dealt = dealt.withColumn("c", F.when(F.col("c") >= MIN_COUNT, F.col("c")))
     x = F.when(F.col("c").isNotNull(), number("v", F.shiftright("g", NUMBER_BITS)))
     x = x.when(gram | (F.col("v") == FIRST), number("w", F.col("g").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))))
