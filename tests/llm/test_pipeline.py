@@ -1,7 +1,7 @@
 from collections import Counter
 
-import corpus_pipeline
 from pressroom.llm import decontamination, mixing, near_dedup
+from pressroom.llm import pipeline as corpus_pipeline
 from pressroom.llm.toxicity import drop_toxic
 
 from .helpers import SF, frame
