@@ -5,7 +5,9 @@ A window that occurred earlier (by doc_id, then place) is a later copy, and all
 of a passage of `run_words` words or more goes, wherever the passage begins, ends or is broken into lines, and no other word
 does. A line that loses all its words goes whole; of a line that loses some, the others stay.
 
-Each window is sent once, as a 56-bit hash, to the partition of the least gram hash in it (`gram_words` words). Equal windows
+A task compares its own windows first, `HELD` at a time: those that are later copies there are later copies of all, and are cut at once.
+The first place of each that is left is sent, as a 56-bit hash, to the partition of the least gram hash in it (`gram_words` words), the
+winnowing fingerprint; a passage that all documents share is sent once a task, not once a document. Equal windows
 have equal least grams and so meet there; windows in a row mostly have the same, so a document's windows travel in
 runs, whose places compress to little. The first place of each window is found in the partition; pairs are never listed.
 
@@ -71,8 +73,37 @@ def _least(g: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(g[: len(g) - (n - size)], g[n - size :])
 
 
+def _late(w: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Which windows have an equal one at an earlier place."""
+    order = np.argsort(w)
+    new = np.concatenate([[True], w[order][1:] != w[order][:-1]])
+    first = np.empty_like(where)
+    first[order] = np.minimum.reduceat(where[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return where > first
+
+
+def _cuts(late: np.ndarray, table: np.ndarray, run_words: int) -> pa.Table:
+    """Places (number of the document << 32 | word) of later copies, sorted, to d, t, cut: from and to of each run of words that they cover. table: null, d, t of the documents."""
+    doc, place = late >> 32, late & 0xFFFFFFFF
+    breaks = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + run_words)])
+    start = np.flatnonzero(breaks)
+    last = np.concatenate([start[1:], [len(late)]]) - 1
+    runs = np.stack([place[start], place[last] + run_words], 1).astype(np.int32)
+    one, begin = np.unique(doc[start], return_index=True)
+    offsets = np.concatenate([begin, [len(start)]]).astype(np.int32) * 2
+    d = pa.array(table[one, 1], pa.int64(), mask=table[one, 0] == 1)
+    return pa.table({"d": d, "t": pa.array(table[one, 2], pa.int64()), "cut": pa.ListArray.from_arrays(offsets, pa.array(runs.ravel()))})
+
+
+def _stream(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def _pack(parts: int, gram_words: int, run_words: int):
-    """p, body: a partition's windows with their documents and places."""
+    """p, body: a partition's windows with their documents and places; or, behind a number of documents of -1, cuts that are found already."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, windows = WordHashes(), Windows()
@@ -83,10 +114,18 @@ def _pack(parts: int, gram_words: int, run_words: int):
             size = np.array([len(x) for x in found])
             w, p, doc = np.concatenate(found), np.concatenate(home), np.repeat(np.arange(len(found)), size)
             place = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+            table, rank = np.unique(np.array(docs, dtype=np.int64), axis=0, return_inverse=True)  # in the order of documents
+            where = rank.ravel()[doc] << 32 | place
+            late = _late(w, where)
+            to, bodies = [], []
+            if late.any():
+                cuts = _cuts(np.unique(where[late]), table, run_words)
+                to.append(int(mix(w[:1])[0] % np.uint64(parts)))
+                bodies.append(np.array([-1, len(cuts)], dtype="<i8").tobytes() + _stream(cuts))
+                w, p, doc, place = w[~late], p[~late], doc[~late], place[~late]
             order = np.argsort(p, kind="stable")
             ends = np.searchsorted(p[order], np.arange(parts + 1))
             null, d, t = (np.array(x) for x in zip(*docs, strict=True))
-            to, bodies = [], []
             for x in np.flatnonzero(np.diff(ends)):
                 own = order[ends[x] : ends[x + 1]]
                 of, where = doc[own], place[own]
@@ -125,6 +164,9 @@ def _later(run_words: int):
         for b in batches:
             for body in b.column(1).to_pylist():
                 nd, m = (int(x) for x in np.frombuffer(body, "<i8", 2))
+                if nd < 0:
+                    yield from pa.ipc.open_stream(memoryview(body)[16:]).read_all().to_batches(max_chunksize=10_000)
+                    continue
                 raw = pa.decompress(memoryview(body)[16:], decompressed_size=17 * nd + (8 + HASH) * m, codec="zstd", asbytes=True)
                 docs.append(np.stack([np.frombuffer(raw, np.uint8, nd, 16 * nd).astype(np.int64), np.frombuffer(raw, "<i8", nd), np.frombuffer(raw, "<i8", nd, 8 * nd)], 1))
                 at.append(np.cumsum(_numbers(raw, m, 17 * nd), dtype=np.uint32).astype(np.int64) + n)
@@ -137,22 +179,9 @@ def _later(run_words: int):
         table, rank = np.unique(np.concatenate(docs), axis=0, return_inverse=True)  # in the order of documents
         where = rank.ravel()[np.concatenate(at)] << 32 | np.concatenate(place).astype(np.int64)
         w = np.concatenate(w).view("<u8").ravel()
-        order = np.argsort(w)
-        w, where = w[order], where[order]
-        new = np.concatenate([[True], w[1:] != w[:-1]])
-        first = np.minimum.reduceat(where, np.flatnonzero(new))[np.cumsum(new) - 1]
-        late = np.unique(where[where > first])
-        if not len(late):
-            return
-        doc, place = late >> 32, late & 0xFFFFFFFF
-        breaks = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + run_words)])
-        start = np.flatnonzero(breaks)
-        last = np.concatenate([start[1:], [len(late)]]) - 1
-        runs = np.stack([place[start], place[last] + run_words], 1).astype(np.int32)
-        one, begin = np.unique(doc[start], return_index=True)
-        offsets = np.concatenate([begin, [len(start)]]).astype(np.int32) * 2
-        d = pa.array(table[one, 1], pa.int64(), mask=table[one, 0] == 1)
-        yield from pa.table({"d": d, "t": pa.array(table[one, 2], pa.int64()), "cut": pa.ListArray.from_arrays(offsets, pa.array(runs.ravel()))}).to_batches(max_chunksize=10_000)
+        late = np.unique(where[_late(w, where)])
+        if len(late):
+            yield from _cuts(late, table, run_words).to_batches(max_chunksize=10_000)
 
     return of
 

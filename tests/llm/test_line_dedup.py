@@ -1,8 +1,13 @@
 import random
+import zlib
+from collections import Counter
 
-from pressroom.llm.line_dedup import GRAM_WORDS, RUN_WORDS, dedup_lines, repeated_lines
+import numpy as np
+import pyarrow as pa
 
-from .helpers import docs, frame, words
+from pressroom.llm.line_dedup import GRAM_WORDS, RUN_WORDS, _pack, cut_words, dedup_lines, op1_line_dedup, repeated_lines
+
+from .helpers import SF, docs, frame, words
 
 
 def brute(texts, need):
@@ -77,3 +82,37 @@ def test_passages_inside_lines(spark):
     got = dedup_lines(docs(spark, texts)).orderBy("row.doc_id").collect()
     assert [r["row"]["text"].split() for r in got] == want
     assert sum(map(len, want)) < sum(len(t.split()) for t in texts) / 2
+
+
+def test_query_by_brute_force(spark):
+    """The query's columns, from runs found by comparing all windows of whole texts in the order of documents."""
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    seen, want = set(), {}
+    for d, text in rows:
+        w, cut = (text or "").encode().split(), []
+        for i in range(len(w) - RUN_WORDS + 1):
+            run = tuple(w[i : i + RUN_WORDS])
+            if run in seen:
+                cut += [i, i + RUN_WORDS]
+            seen.add(run)
+        left, gone = cut_words(text, cut) if cut else (text or "", [])
+        want[d] = ((text or "").count("\n") + 1, gone, len(gone), len(left), zlib.crc32(left.encode()))
+    got = {r.doc_id: (r.n_lines, list(r.gone), r.n_gone, r.chars_left, r.text_crc32) for r in op1_line_dedup(spark, SF).collect()}
+    assert got == want and sum(len(x[1]) for x in want.values()) > 20
+
+
+def test_a_shared_passage_is_sent_once_a_task():
+    """2,000 documents with one passage of 80 words: no partition gets more than thrice the median of windows, though cuts are whole."""
+    rng = random.Random(6)
+    passage = words(rng, 80, 10**6)
+    texts = [" ".join([*words(rng, 60, 10**6), *passage, *words(rng, 60, 10**6)]) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(range(2000)), pa.array(texts)], ["d", "t", "x"])
+    sent, cut = Counter(), 0
+    for out in _pack(16, GRAM_WORDS, RUN_WORDS)(iter([batch])):
+        for p, body in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            n, m = np.frombuffer(body, "<i8", 2)
+            if n < 0:
+                cut += m
+            else:
+                sent[p] += int(m)
+    assert cut == 1999 and len(sent) == 16 and max(sent.values()) <= 3 * sorted(sent.values())[8]
