@@ -43,11 +43,11 @@ def popular(points: DataFrame, displays: DataFrame, k: int = CANDIDATES_K, hours
 def bm25_fresh(points: DataFrame, histories: DataFrame, catalogue: DataFrame, displays: DataFrame, index: index_.Index, k: int = CANDIDATES_K, method: str = "tfidf_keywords", window: int | None = QUERY_WINDOW, keywords: int = KEYWORDS, hours: float = POOL_HOURS, seed: int = 0) -> DataFrame:
     """points: q, usr, t; histories: q (the user), history. The pool by the query's score, ties by a seeded draw, then what the longer window adds; without a query the pool by popularity."""
     terms = _queries(histories, catalogue, index, method, window, keywords)
-    scores = index_.score(index, terms).select(F.col("q").alias("usr"), F.col("doc").alias("art"), "score")
-    has = terms.select(F.col("q").alias("usr"), F.lit(True).alias("has")).distinct()
     fresh = pool.at_times(pool.segments(displays, hours), points.select("t").distinct())
-    inside = points.join(has, "usr", "left").join(fresh, "t").join(scores, ["usr", "art"], "left")
-    own = F.coalesce("has", F.lit(False))
+    # Only what is in a point's pool is scored.
+    inside = points.join(fresh, "t").withColumnsRenamed({"q": "_q", "usr": "q", "art": "doc"})
+    inside = index_.score_pairs(index, terms, inside).withColumnsRenamed({"q": "usr", "_q": "q", "doc": "art"})
+    own = F.col("score").isNotNull()
     tier = (F.col("shown") == 0).cast("int")
     s = F.when(tier == 1, 0.0).when(own, F.coalesce("score", F.lit(0.0))).otherwise(F.col("clicked").cast("double"))
     tie = F.when(tier == 1, -F.col("shown_back")).when(own, draw(seed, F.col("q"), F.col("art"))).otherwise(-F.col("shown"))

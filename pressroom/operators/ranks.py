@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def ranked(df: DataFrame, key: list[Column], name: str = "rank", ranges: int = 64, sample: int = 1024) -> DataFrame:
     """Adds the row's place, from 1, in the order of key, which should tell all rows apart.
@@ -12,7 +14,7 @@ def ranked(df: DataFrame, key: list[Column], name: str = "rank", ranges: int = 6
     The table is cut into ranges between quantiles of a sample that a hash picks; each range is ranked by itself and offset by
     the rows before it. Which quantiles they are changes no rank."""
     k = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(key)))
-    own = df.withColumn("_k", k)
+    own = stored(df.withColumn("_k", k))  # read three times: for the sample, the sizes and the ranks
     kind = own.schema["_k"].dataType
     some = own.select("_k").orderBy(F.xxhash64("_k"), "_k").limit(sample).orderBy("_k").collect()
     step = max(1, len(some) // ranges)
