@@ -159,6 +159,12 @@ def near_signatures(x: np.ndarray, side: np.ndarray | None) -> list[tuple[int, i
     return out
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that the texts or sets of thousands aren't held as objects at once."""
+    for b in batches:
+        yield from (b.slice(k, rows) for k in range(0, len(b), rows))
+
+
 def _in_blocks(links: Callable):
     """Rows in the order of (root, b1, b2) to the pairs that links(payloads, side) finds. A group ends where the next begins; it holds two blocks at most."""
 
@@ -173,7 +179,7 @@ def _in_blocks(links: Callable):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, a, b = None, [], [], []
-        for batch in batches:
+        for batch in _sliced(batches):
             cols = [c.to_pylist() for c in batch.columns]  # root, b1, b2, block, node, set
             for root, b1, b2, block, node, s in zip(*cols, strict=True):
                 if (root, b1, b2) != key:
@@ -243,7 +249,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in _sliced(batches):
             sets = [shingle_hashes(hashes(lower_ascii(t.encode("utf-8", "surrogatepass")).split()), n).tobytes() for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sets, pa.binary())], ["node", "root", "blocks", "set"])
 
