@@ -63,7 +63,7 @@ def request_block(spark, sf):
 
 def negatives_sampled(spark, sf):
     c = A.shown(spark, sf).withColumn("rank", F.col("pos"))
-    return sampling.negatives(c, 1, 2).select("imp", "pos", "art", "label")
+    return sampling.negatives(c, config.NEGATIVES_HARD, config.NEGATIVES_RANDOM).select("imp", "pos", "art", "label")
 
 
 def wu_sampling(spark, sf):
@@ -331,7 +331,7 @@ ORACLES = {
     "sampled_rows": ctes("orders") + f" select imp, usr from ord where {_D('imp')} % 1000000 < 100000",
     "sampled_fixed": ctes("orders") + f" select imp, usr from ord order by {_D('imp')}, imp limit 500",
     "request_block": ctes("orders") + " select imp, t from ord order by t, imp limit 1000 offset (select (count(*) - 1000) // 2 from orders)",
-    "negatives_sampled": ctes("orders", "shown") + f", h as (select *, row_number() over (partition by imp, label order by pos, art) h from shown), r as (select *, row_number() over (partition by imp, label, (label = 0 and h <= 1) order by {_D('imp', 'art')}, pos, art) r from h) select imp, pos, art, label from r where label = 1 or h <= 1 or r <= 2",
+    "negatives_sampled": ctes("orders", "shown") + f", h as (select *, row_number() over (partition by imp, label order by pos, art) h from shown), r as (select *, row_number() over (partition by imp, label, (label = 0 and h <= {config.NEGATIVES_HARD}) order by {_D('imp', 'art')}, pos, art) r from h) select imp, pos, art, label from r where label = 1 or h <= {config.NEGATIVES_HARD} or r <= {config.NEGATIVES_RANDOM}",
     "wu_sampling": ctes("orders", "shown") + f", no as (select imp, list(art order by pos) no from shown where label = 0 group by imp), p as (select imp, pos, art, no, unnest(range(0, 5)) i from shown join no using (imp) where label = 1), c as (select imp, pos, i, case when i = 0 then art else no[{_D('imp', 'pos', 'i')} % len(no) + 1] end a, {draw_sql(43, 'imp', 'pos', 'i')} d from p) select imp, pos, string_agg(cast(a as varchar), ' ' order by d, i) candidates, cast(list_position(list(i order by d, i), 0) - 1 as bigint) as label from c group by imp, pos",
     "recall_fraction": f"{_TRAIN}, {_TOP}, ck as (select distinct imp, art from sp where split = 'test' and label = 1), f as (select imp, count(pop2.art) / count(*) f from ck left join pop2 using (art) group by imp) select round(avg(f), 6) recall from f",
     "hit_rate": f"{_TRAIN}, {_TOP}, ck as (select imp, min(rank) b from sp join pop2 using (art) where split = 'test' and label = 1 group by imp), k as (select unnest([50, 100, 200]) k) select cast(k as bigint) k, round(avg(cast(coalesce(b <= k, false) as int)), 6) hit_rate from k, osp left join ck on osp.imp = ck.imp where osp.split = 'test' group by k",

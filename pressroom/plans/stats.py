@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions.scalars import log_hours, padded, position_bias
 from ..operators import beyond, codec, impressions, sessions, stats
 from ..operators.split import split_behaviors
@@ -130,11 +131,11 @@ def history_truncate_pad(spark, sf):
     codes = codec.codec(A.catalogue(spark, sf).select("art"))
     long = A.histories(spark, sf).select("imp", F.posexplode_outer("history").alias("i", "h")).select("imp", "i", F.col("h.art").alias("art"))
     own = codec.encode(long, codes).groupBy("imp").agg(F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", F.col("code").cast("int").alias("c"))))).alias("s"))
-    return own.select("imp", F.array_join(padded(F.transform("s", lambda x: x["c"]), 8).cast("array<string>"), " ").alias("codes"))
+    return own.select("imp", F.array_join(padded(F.transform("s", lambda x: x["c"]), config.HISTORY_LENGTH).cast("array<string>"), " ").alias("codes"))
 
 
 def token_matrix(spark, sf):
-    return codec.token_codes(A.catalogue(spark, sf), 6, 30_000).select("art", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
+    return codec.token_codes(A.catalogue(spark, sf), config.TITLE_TOKENS, 30_000).select("art", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
 
 
 def position_biases(spark, sf):
@@ -186,8 +187,8 @@ ORACLES = {
     "history_dwell": ctes("events") + " select usr, round(avg(case when kind <> 'error' then value end), 6) dwell, count(case when kind <> 'error' then value end) > 0 has_dwell from ev group by usr",
     "time_features": "select event_id, extract(hour from ts) hour_of_day, isodow(ts) - 1 day_of_week from events",
     "id_codec": ctes("orders", "shown", "events", "displays") + " select art, row_number() over (order by art) code from (select p_partkey art from part union select art from shown union select art from dis) where art is not null",
-    "history_truncate_pad": _HIST + ", c as (select p_partkey art, row_number() over (order by p_partkey) code from part), h as (select imp, list(coalesce(code, 0) order by i) s from hist left join c using (art) group by imp), x as (select o.imp, coalesce(s, []) s from ord o left join h using (imp)) select imp, array_to_string([0 for k in range(greatest(8 - len(s), 0))] || s[greatest(len(s) - 7, 1):], ' ') codes from x",
-    "token_matrix": r"with w as (select p_partkey art, regexp_extract_all(lower(p_name), '([\p{L}\p{N}_]+)')[1:6] w from part) select art, array_to_string([cast(('0x' || substr(md5(x), 1, 8))::bigint % 30000 + 1 as varchar) for x in w] || ['0' for k in range(6 - len(w))], ' ') tokens from w",
+    "history_truncate_pad": _HIST + f", c as (select p_partkey art, row_number() over (order by p_partkey) code from part), h as (select imp, list(coalesce(code, 0) order by i) s from hist left join c using (art) group by imp), x as (select o.imp, coalesce(s, []) s from ord o left join h using (imp)) select imp, array_to_string([0 for k in range(greatest({config.HISTORY_LENGTH} - len(s), 0))] || s[greatest(len(s) - {config.HISTORY_LENGTH - 1}, 1):], ' ') codes from x",
+    "token_matrix": rf"with w as (select p_partkey art, regexp_extract_all(lower(p_name), '([\p{{L}}\p{{N}}_]+)')[1:{config.TITLE_TOKENS}] w from part) select art, array_to_string([cast(('0x' || substr(md5(x), 1, 8))::bigint % 30000 + 1 as varchar) for x in w] || ['0' for k in range({config.TITLE_TOKENS} - len(w))], ' ') tokens from w",
     "position_biases": ctes("orders", "shown") + " select imp, pos, art, round(1 / ln(pos + 2), 6) \"natural\", round(1 / log2(pos + 2), 6) \"binary\" from shown",
     "click_probabilities": f"{_TRAIN}, {_POP} select art, round(click_count / sum(click_count) over (), 9) p from pop where click_count > 0",
     "head_articles": f"{_TRAIN}, {_POP} select art from pop qualify row_number() over (order by click_count desc, art) <= greatest(1, cast(floor(0.2 * count(*) over ()) as bigint))",
