@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,21 +112,20 @@ def _pack(parts: int, gram_words: int, run_words: int):
         found, home, held = [], [], 0
 
         def parcels() -> pa.RecordBatch:
-            size = np.array([len(x) for x in found])
-            w, p, doc = np.concatenate(found), np.concatenate(home), np.repeat(np.arange(len(found)), size)
+            table, one = np.unique(np.array(docs, dtype=np.int64), axis=0, return_index=True)  # in the order of documents, each once
+            size = np.array([len(found[i]) for i in one])
+            w, p, doc = np.concatenate([found[i] for i in one]), np.concatenate([home[i] for i in one]), np.repeat(np.arange(len(one)), size)
             place = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-            table, rank = np.unique(np.array(docs, dtype=np.int64), axis=0, return_inverse=True)  # in the order of documents
-            where = rank.ravel()[doc] << 32 | place
-            late = _late(w, where)
+            late = pd.Series(w).duplicated().to_numpy()  # by places: a hash table is quicker than a sort here
             to, bodies = [], []
             if late.any():
-                cuts = _cuts(np.unique(where[late]), table, run_words)
+                cuts = _cuts(doc[late] << 32 | place[late], table, run_words)
                 to.append(int(mix(w[:1])[0] % np.uint64(parts)))
                 bodies.append(np.array([-1, len(cuts)], dtype="<i8").tobytes() + _stream(cuts))
                 w, p, doc, place = w[~late], p[~late], doc[~late], place[~late]
             order = np.argsort(p, kind="stable")
             ends = np.searchsorted(p[order], np.arange(parts + 1))
-            null, d, t = (np.array(x) for x in zip(*docs, strict=True))
+            null, d, t = table.T
             for x in np.flatnonzero(np.diff(ends)):
                 own = order[ends[x] : ends[x + 1]]
                 of, where = doc[own], place[own]
