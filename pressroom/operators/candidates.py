@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import BACKFILL_HOURS, CANDIDATES_K, CLICK_LAG_MINUTES, KEYWORDS, POOL_HOURS, QUERY_WINDOW
 from ..functions.scalars import draw
+from ..sources.shared import stored
 from . import bm25 as index_
 from . import pool, semantic
 
@@ -20,17 +21,22 @@ def _queries(histories, catalogue, index, method, window, keywords):
 
 def bm25(queries: DataFrame, histories: DataFrame, catalogue: DataFrame, displays: DataFrame, index: index_.Index, k: int = CANDIDATES_K, method: str = "tfidf_keywords", window: int | None = QUERY_WINDOW, keywords: int = KEYWORDS) -> DataFrame:
     """queries: q; histories: q, history. method "direct" is the older retriever."""
-    found = index_.top_of_distinct(index, _queries(histories, catalogue, index, method, window, keywords), k).select("q", F.col("doc").alias("art"), "rank", "score")
-    return pool.padded(found, queries, displays, k)
+    lists, members = index_.lists_of_distinct(index, _queries(histories, catalogue, index, method, window, keywords), k)
+    # Lists are filled once for all members; the popular list, for those that found nothing, is one more.
+    found = stored(pool.filled(lists, displays, k, "rep"))
+    none = queries.sparkSession.range(1).select(F.lit(None).cast(lists.schema["list"].dataType).alias("list"))
+    popular_ = pool.filled(none.withColumn("q", F.lit(0)), displays, k).select("list")
+    own = queries.select("q").join(members, "q", "left").join(found.select("rep"), "rep", "left_semi")
+    others = queries.select("q").join(own.select("q"), "q", "left_anti")
+    both = own.join(found, "rep").select("q", "list", F.lit(False).alias("used_fallback")).unionByName(others.crossJoin(F.broadcast(popular_)).select("q", "list", F.lit(True).alias("used_fallback")))
+    return both.select("q", F.inline("list"), "used_fallback")
 
 
 def semantic_(queries: DataFrame, histories: DataFrame, vectors: DataFrame, displays: DataFrame, k: int = CANDIDATES_K, method: str = "mean", window: int | None = None) -> DataFrame:
     """histories: q, history (vector ids). A user with a zero vector is padded like one without, but isn't flagged."""
     users = semantic.pooled(histories, vectors, method, window)
-    found = semantic.cosine_top(users, vectors, k).withColumnRenamed("vec", "art")
-    out = pool.padded(found, queries, displays, k)
-    had = users.select("q", F.lit(True).alias("had"))
-    return out.join(had, "q", "left").withColumn("used_fallback", F.col("had").isNull()).drop("had")
+    lists = queries.select("q").join(semantic.cosine_lists(users, vectors, k, "art"), "q", "left").withColumn("key", F.struct("q", F.col("list").isNull().alias("none")))
+    return pool.filled(lists, displays, k, "key").select("key.q", F.inline("list"), F.col("key.none").alias("used_fallback"))
 
 
 def popular(points: DataFrame, displays: DataFrame, k: int = CANDIDATES_K, hours: float = POOL_HOURS, backfill: float = BACKFILL_HOURS, lag: float = CLICK_LAG_MINUTES) -> DataFrame:

@@ -46,18 +46,22 @@ def ranked(pool: DataFrame, k: int) -> DataFrame:
     return out.select("t", "art", "rank", F.when(F.col("shown") > 0, F.col("clicked").cast("double")).otherwise(0.0).alias("score"), (F.col("shown") == 0).alias("backfill"))
 
 
+def filled(lists: DataFrame, displays: DataFrame, k: int, key: str = "q") -> DataFrame:
+    """lists: key, list (structs of art, rank, score, in the order of rank; null: found nothing). Fills each up to k with popular articles that aren't there yet, score 0.
+    k + k popular articles are enough for any query. All happens inside the row."""
+    top = popularity(displays, top=2 * k).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "art"))), lambda x: x["art"]).alias("_top"))
+    own = F.coalesce("list", F.array().cast(lists.schema["list"].dataType))
+    n = F.size(own)
+    fill = F.transform(F.slice(F.array_except("_top", F.transform(own, lambda x: x["art"])), 1, k - n), lambda x, i: F.struct(x.alias("art"), (n + i + 1).cast("bigint").alias("rank"), F.lit(0.0).alias("score")))
+    return lists.crossJoin(F.broadcast(top)).select(key, F.when(n < k, F.concat(own, fill)).otherwise(own).alias("list"))
+
+
 def padded(found: DataFrame, queries: DataFrame, displays: DataFrame, k: int) -> DataFrame:
-    """found: q, art, rank, score. Fills up to k with popular articles that aren't there yet, score 0. A query that found nothing gets them all, with used_fallback.
-
-    k + k popular articles are enough for any query, so the list is broadcast."""
-    top = popularity(displays, top=2 * k).select("art", F.col("rank").alias("prank"))
-    have = queries.select("q").join(found.groupBy("q").agg(F.collect_set("art").alias("has"), F.count("*").alias("n")), "q", "left")
-    fill = have.where(F.coalesce("n", F.lit(0)) < k).crossJoin(F.broadcast(top)).where(~F.coalesce(F.array_contains("has", F.col("art")), F.lit(False)))
-    w = Window.partitionBy("q").orderBy("prank")
-    fill = fill.withColumn("i", F.row_number().over(w)).withColumn("rank", F.coalesce("n", F.lit(0)) + F.col("i")).where(F.col("rank") <= k)
-    empty = have.select("q", F.col("n").isNull().alias("used_fallback"))
-    both = found.select("q", "art", "rank", "score").unionByName(fill.select("q", "art", F.col("rank").cast("bigint").alias("rank"), F.lit(0.0).alias("score")))
-    return both.join(empty, "q")
+    """found: q, art, rank, score. Its lists filled, as rows; a query that found nothing gets popular articles only, with used_fallback."""
+    own = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", "art", "score"))).alias("s"))
+    item = lambda x: F.struct(x["art"].alias("art"), x["rank"].cast("bigint").alias("rank"), x["score"].alias("score"))
+    lists = queries.select("q").join(own.select("q", F.transform("s", item).alias("list")), "q", "left").withColumn("key", F.struct("q", F.col("list").isNull().alias("none")))
+    return filled(lists, displays, k, "key").select("key.q", F.inline("list"), F.col("key.none").alias("used_fallback"))
 
 
 def wide(long: DataFrame, *flags: str) -> DataFrame:
