@@ -50,9 +50,10 @@ def beyond_accuracy(scored: DataFrame, vectors: DataFrame, vec: Column, probabil
     top = scored.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k)
     lists = stored(top.groupBy("imp").agg(F.collect_list("art").alias("arts"), F.collect_list(vec).alias("vecs")))  # k at most; read six times
     out = lists.agg(F.count("*").alias("n_impressions"), F.lit(k).cast("bigint").alias("top_k"), F.lit(catalogue_size).cast("bigint").alias("catalogue_size"))
-    for name, values in (("diversity", beyond.diversity(lists, vectors)), ("novelty", beyond.novelty(lists, probabilities, default))):
-        ci = beyond.bootstrap(values.select(F.col("imp").alias("id"), F.col(name).alias("x")), draws=draws, seed=seed)
-        out = out.crossJoin(ci.select(F.col("mean").alias(name), F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi")))
+    both = beyond.diversity(lists, vectors).join(beyond.novelty(lists, probabilities, default), "imp")
+    ci = beyond.bootstraps(both.withColumnRenamed("imp", "id"), ["diversity", "novelty"], draws=draws, seed=seed)
+    one = lambda name, c: F.max(F.when(F.col("metric") == name, F.col(c)))
+    out = out.crossJoin(ci.agg(*(one(name, c).alias(f"{name}{end}") for name in ("diversity", "novelty") for c, end in (("mean", ""), ("lo", "_lo"), ("hi", "_hi")))))
     covered = beyond.coverage_bootstrap(lists, catalogue_size, draws=draws, seed=seed)
     out = out.crossJoin(covered.select("coverage", F.col("lo").alias("coverage_lo"), F.col("hi").alias("coverage_hi")))
     out = out.crossJoin(beyond.random_pair_diversity(vectors, seed=seed).select(F.col("diversity").alias("random_diversity")))
