@@ -13,6 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.held import Held, held
+from ..sources.shared import stored
 
 
 @dataclass
@@ -62,10 +66,12 @@ class Weights:
 
 def self_attention(x: np.ndarray, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> np.ndarray:
     """x: batch, length, dimension to batch, length, heads * size. Unmasked."""
-    a = np.einsum("bld,hds->bhls", x, q) @ np.einsum("bld,hds->bhsl", x, k) / np.sqrt(q.shape[-1])
+    # A product an item, not one of all rows: what an item gets doesn't depend on its batch, to the last bit, so equal titles have equal vectors.
+    each = lambda w: (x @ w.transpose(1, 0, 2).reshape(x.shape[-1], -1)).reshape(*x.shape[:2], len(w), -1).transpose(0, 2, 1, 3)
+    a = each(q) @ each(k).transpose(0, 1, 3, 2) / np.sqrt(q.shape[-1])  # batch, head, length, length
     a = np.exp(a - a.max(-1, keepdims=True))
     a /= a.sum(-1, keepdims=True)
-    out = a @ np.einsum("bld,hds->bhls", x, v)
+    out = a @ each(v)
     return out.transpose(0, 2, 1, 3).reshape(len(x), x.shape[1], -1)
 
 
@@ -108,11 +114,49 @@ def article_vectors(tokens: DataFrame, m: Weights) -> DataFrame:
     return tokens.select(F.col("code").cast("bigint").alias("code"), "tokens").unionByName(pad).mapInArrow(of, "code bigint, v array<double>")
 
 
+def _alike(vectors: DataFrame) -> DataFrame:
+    """code, rep, v: articles of equal vectors have one rep, the least code."""
+    own = stored(vectors)  # encoded once
+    reps = own.groupBy("v").agg(F.min("code").alias("rep"))
+    return stored(own.join(reps.hint("merge"), "v").select("code", "rep", "v"))
+
+
+def _scores_held(impressions: DataFrame, reps: DataFrame, few: Held, m: Weights) -> DataFrame:
+    """scores, where each task holds all different vectors: only numbers of vectors travel to an impression, and padding doesn't travel at all."""
+    own = lambda c, kind: impressions.select("imp", F.size("history").alias("size"), F.lit(kind).alias("kind"), F.posexplode(c).alias("i", "code"))
+    all_ = own("history", 0).where("code <> 0").unionByName(own("candidates", 1)).join(reps.hint("merge"), "code")
+    rows = all_.groupBy("imp").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("kind", "i", F.col("code").cast("bigint").alias("code"), F.col("rep").cast("bigint").alias("rep")))).alias("x"))
+    rows = rows.select("imp", "size", F.col("x.kind").alias("kind"), F.col("x.i").alias("i"), F.col("x.code").alias("code"), F.col("x.rep").alias("rep"))
+    padding = reps.where("code = 0").first()
+    pad = np.searchsorted(few.ids, padding["rep"]) if padding else 0
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                b = whole.slice(lo, 1024)
+                kind, i, code, rep = (b.column(k).flatten().to_numpy() for k in range(2, 6))
+                row, at = np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy())), np.searchsorted(few.ids, rep)
+                news = np.full((b.num_rows, b.column(1)[0].as_py()), pad)
+                old, new = kind == 0, kind == 1
+                news[row[old], i[old]] = at[old]
+                score = (encode_user(few.e[news], m)[row[new]] * few.e[at[new]]).sum(1)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[new])), pa.array(i[new] + 1, pa.int32()), pa.array(code[new]), pa.array(score)], ["imp", "pos", "code", "score"])
+
+    out = rows.mapInArrow(of, T.StructType([rows.schema["imp"], *(T.StructField(c, kind) for c, kind in (("pos", T.IntegerType()), ("code", T.LongType()), ("score", T.DoubleType())))]))
+    return out.withColumn("code", F.col("code").cast(impressions.schema["candidates"].dataType.elementType))
+
+
 def scores(impressions: DataFrame, vectors: DataFrame, m: Weights) -> DataFrame:
     """impressions: imp, history (codes, padded to one length), candidates (codes, in place order, from 1). Returns imp, pos, code, score.
     The arm with freshness needs log_age (ln of 1 + hours) and known (0 or 1), too, of each candidate; the other looks at neither."""
     if m.fresh and not {"log_age", "known"} <= set(impressions.columns):
         raise ValueError("these weights have a freshness head: give log_age and known of the candidates")
+    if not m.fresh:
+        alike = _alike(vectors)
+        few = held(alike.select(F.col("rep").alias("vec"), F.col("v").alias("e")).distinct())
+        if few is not None:
+            return _scores_held(impressions, alike.select("code", "rep"), few, m)
+    vectors = vectors.hint("merge")  # as many as articles: what Spark takes for their size is that of the titles, and none goes through the driver
     h = impressions.select("imp", F.posexplode("history").alias("i", "code")).join(vectors, "code").groupBy("imp").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("h"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

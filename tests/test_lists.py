@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from pressroom.models import nrms
 from pressroom.operators import beyond, bm25, held, pool, semantic
 from pressroom.sources import adapters as A
 
@@ -62,3 +63,18 @@ def test_search_by_held_and_by_blocks_agree(spark, monkeypatch):
     assert one() == want
     monkeypatch.setattr(held, "HELD_NUMBERS", 0)
     assert one() == want
+
+
+def test_neural_scores_move_numbers_of_vectors(spark, monkeypatch):
+    """Articles of equal titles share a vector, which tasks hold; joined, vectors are never broadcast."""
+    rng = random.Random(7)
+    m = nrms.Weights.seeded(20)
+    v = nrms.article_vectors(spark.createDataFrame([(c, [c % 4 + 1, 0, 0]) for c in range(1, 13)], "code long, tokens array<int>"), m)
+    imps = spark.createDataFrame([(k, [0] * (k % 6) + [rng.randrange(1, 13) for _ in range(5 - k % 6)], [rng.randrange(1, 13) for _ in range(k % 4 + 1)]) for k in range(30)], "imp long, history array<int>, candidates array<int>")
+    one = lambda: sorted((r.imp, r.pos, r.code, round(r.score, 9)) for r in nrms.scores(imps, v, m).collect())
+    few = one()
+    assert len(few) == sum(k % 4 + 1 for k in range(30)) and nrms._alike(v).select("rep").distinct().count() == 5
+    monkeypatch.setattr(held, "HELD_NUMBERS", 0)
+    joined = nrms.scores(imps, v, m)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert few == one()
