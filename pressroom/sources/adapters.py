@@ -13,10 +13,26 @@ from ..config import VAL_FRACTION
 
 #: The later raw period starts here (2000-01-01 in microseconds).
 DEV_FROM = 946_684_800_000_000
+#: Logs; their rows for each partition that a shuffle begins with; and bytes shuffled that a task reads.
+LOGS, LOG_ROWS, PART_BYTES = ("lineitem", "events"), 1 << 17, "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in LOGS:
+        dealt(df)
+    return df
+
+
+def dealt(log: DataFrame) -> None:
+    """Lets the session deal a log's rows to as many partitions as the log needs, so that a task's memory doesn't grow with it. Adaptive execution makes one partition of
+    several small ones, up to PART_BYTES shuffled, which stays as it is if the session has set it."""
+    spark, need = log.sparkSession, log.count() // LOG_ROWS
+    first, most = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if need > int(spark.conf.get(first, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(first, str(need))
+        if spark.conf.get(most, None) is None:
+            spark.conf.set(most, PART_BYTES)
 
 
 def micros(col: str) -> F.Column:

@@ -140,3 +140,22 @@ def test_codec_round_trip(spark):
     e = codec.encode(spark.createDataFrame([("N5",), ("?",)], "art string"), c)
     assert {r.art: r.code for r in e.collect()} == {"N5": got["N5"], "?": 0}
     assert {r.code: r.art for r in codec.decode(e.select("code"), c).collect()} == {got["N5"]: "N5", 0: None}
+
+
+def test_partitions_grow_with_the_log(spark, monkeypatch):
+    """A shuffle begins with more partitions for a longer log, and never with fewer than the session has."""
+    from pressroom.sources import adapters
+
+    first, most = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    try:
+        adapters.table(spark, "/root/testdata/sf0.001", "lineitem")
+        assert spark.conf.get(first, None) is None and spark.conf.get(most, None) is None
+        monkeypatch.setattr(adapters, "LOG_ROWS", 100)
+        adapters.table(spark, "/root/testdata/sf0.001", "lineitem")
+        n = int(spark.conf.get(first))
+        assert n == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 100 and spark.conf.get(most) == "16m"
+        adapters.table(spark, "/root/testdata/sf0.001", "events")
+        assert int(spark.conf.get(first)) == n
+    finally:
+        spark.conf.unset(first)
+        spark.conf.unset(most)
