@@ -78,3 +78,26 @@ def test_neural_scores_move_numbers_of_vectors(spark, monkeypatch):
     joined = nrms.scores(imps, v, m)
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     assert few == one()
+
+
+def test_many_vectors_are_looked_up_in_files(spark, monkeypatch):
+    """As held and as joined, without a shuffle of a vector by click; ids with gaps, negative ones, unknown ones, several files."""
+    rng = random.Random(9)
+    v = spark.createDataFrame([(k * 37 - 900, [rng.gauss(0, 1) for _ in range(5)]) for k in range(150)], "vec long, e array<double>")
+    h = spark.createDataFrame([(k, [rng.choice([rng.randrange(150) * 37 - 900, 1, None]) for _ in range(rng.randrange(0, 30))]) for k in range(90)], "q long, history array<long>")
+    lists = h.select(F.col("q").alias("imp"), F.col("history").alias("vecs"))
+    run = lambda: [sorted((r.q, [round(x, 9) for x in r.e]) for r in semantic.pooled(h, v, m).collect()) for m in ("mean", "max", "decay")] + [sorted((r.imp, r.diversity and round(r.diversity, 9)) for r in beyond.diversity(lists, v).collect())]
+    want = run()
+    monkeypatch.setattr(held, "HELD_NUMBERS", 0)
+    monkeypatch.setattr(held, "FILE_NUMBERS", 100)
+    monkeypatch.setattr(held, "CHUNK", 64)
+    for df in (semantic.pooled(h, v, "max"), beyond.diversity(lists, v)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert run() == want and len(held.filed(v).ends) > 5
+    twice = v.unionByName(v.limit(1))
+    assert held.filed(twice) is None and held.filed(v.where("vec is null")) is None
+    monkeypatch.setattr(held, "_mounted", lambda spark: None)  # joined
+    assert "Exchange" in beyond.diversity(lists, v)._jdf.queryExecution().executedPlan().toString()
+    sums = lambda x: [[(q, sum(e) if isinstance(e, list) else e) for q, e in part] for part in x]
+    for a, b in zip(sums(run()), sums(want), strict=True):
+        assert [q for q, _ in a] == [q for q, _ in b] and all(x is y is None or abs(x - y) < 1e-6 for (_, x), (_, y) in zip(a, b, strict=True))
