@@ -101,3 +101,39 @@ def test_many_vectors_are_looked_up_in_files(spark, monkeypatch):
     sums = lambda x: [[(q, sum(e) if isinstance(e, list) else e) for q, e in part] for part in x]
     for a, b in zip(sums(run()), sums(want), strict=True):
         assert [q for q, _ in a] == [q for q, _ in b] and all(x is y is None or abs(x - y) < 1e-6 for (_, x), (_, y) in zip(a, b, strict=True))
+
+
+def test_cosines_of_a_list_are_made_in_its_row(spark, monkeypatch):
+    """As scored by joins of pairs; users and items without a vector, zero vectors, empty lists."""
+    rng = random.Random(10)
+    v = spark.createDataFrame([(k, [0.0] * 4 if k == 3 else [rng.gauss(0, 1) for _ in range(4)]) for k in range(20)], "vec long, e array<double>")
+    pick = lambda n: [rng.randrange(0, 25) for _ in range(n)]
+    rows = [(k, pick(k % 4), pick(k % 6)) for k in range(60)] + [(60, [3], [3, 4]), (61, [24], [1])]
+    lists = spark.createDataFrame(rows, "q long, history array<long>, wanted array<long>")
+    users = semantic.pooled(lists, v, "mean")
+    pairs = semantic.cosine_of(lists.select("q", F.explode(F.array_distinct("wanted")).alias("vec")), users, v)
+    want = {(r.q, r.vec): r.score for r in pairs.collect()}
+    same = lambda a, b: a is b is None or a is not None and b is not None and abs(a - b) < 1e-12
+
+    def check():
+        got = {r.q: r.scores for r in semantic.cosine_in_lists(lists, v).collect()}
+        assert all(len(got[q]) == len(w) and all(same(want[q, x], y) for x, y in zip(w, got[q], strict=True)) for q, _, w in rows)
+
+    check()
+    assert "Exchange" not in semantic.cosine_in_lists(lists, v)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(held, "HELD_NUMBERS", 0)
+    check()
+    monkeypatch.setattr(held, "_mounted", lambda spark: None)  # joined
+    check()
+
+
+def test_a_pair_travels_without_weights(spark):
+    """Weights of a query are joined after the document's terms, which are numbers."""
+    docs = spark.createDataFrame([(k, "a b c" if k % 2 else "d e") for k in range(9)], "doc long, text string")
+    terms = spark.createDataFrame([(1, "a", 1), (1, "zz", 2), (2, "e", 3)], "q long, term string, qtf long")
+    pairs = spark.range(1, 4).selectExpr("id q").crossJoin(spark.range(10).selectExpr("id doc"))
+    index = bm25.build(docs)
+    want = {(r.q, r.doc): round(r.score, 8) for r in bm25.score(index, terms).collect()}
+    got = {(r.q, r.doc): r.score for r in bm25.score_pairs(index, terms, pairs).collect()}
+    assert len(got) == 30 and {k: round(s, 8) for k, s in got.items() if s} == want and got[2, 1] == 0.0 and got[3, 1] is None and got[1, 9] == 0.0
+    assert dict(bm25.texts(index, bm25.coded(index)).dtypes)["_t"] == "array<struct<code:bigint,tf:int>>"
