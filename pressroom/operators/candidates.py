@@ -48,17 +48,23 @@ def popular(points: DataFrame, displays: DataFrame, k: int = CANDIDATES_K, hours
 
 def bm25_fresh(points: DataFrame, histories: DataFrame, catalogue: DataFrame, displays: DataFrame, index: index_.Index, k: int = CANDIDATES_K, method: str = "tfidf_keywords", window: int | None = QUERY_WINDOW, keywords: int = KEYWORDS, hours: float = POOL_HOURS, seed: int = 0) -> DataFrame:
     """points: q, usr, t; histories: q (the user), history. The pool by the query's score, ties by a seeded draw, then what the longer window adds; without a query the pool by popularity."""
-    terms = _queries(histories, catalogue, index, method, window, keywords)
-    fresh = pool.at_times(pool.segments(displays, hours), points.select("t").distinct())
-    # Only what is in a point's pool is scored.
-    inside = points.join(fresh, "t").withColumnsRenamed({"q": "_q", "usr": "q", "art": "doc"})
-    inside = index_.score_pairs(index, terms, inside).withColumnsRenamed({"q": "usr", "_q": "q", "doc": "art"})
-    own = F.col("score").isNotNull()
-    tier = (F.col("shown") == 0).cast("int")
-    s = F.when(tier == 1, 0.0).when(own, F.coalesce("score", F.lit(0.0))).otherwise(F.col("clicked").cast("double"))
-    tie = F.when(tier == 1, -F.col("shown_back")).when(own, draw(seed, F.col("q"), F.col("art"))).otherwise(-F.col("shown"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(tier, F.desc(s), tie, "art")).cast("bigint")
-    return inside.withColumn("s", s).withColumn("rank", rank).where(F.col("rank") <= k).select("q", "art", "rank", F.col("s").alias("score"), (~own).alias("used_fallback"))
+    codes = index_.coded(index)
+    weights = index_.weights(_queries(histories, catalogue, index, method, window, keywords), codes).withColumnRenamed("q", "usr")
+    segs = pool.segments(displays, hours).join(index_.texts(index, codes).withColumnRenamed("doc", "art"), "art", "left")
+    pools = pool.lists_at(segs, points.select("t").distinct())
+    # A point's pool stays in its row, where it is scored, ranked and cut: no pair of point and article is shuffled.
+    rows = points.select("q", "usr", "t").join(weights, "usr", "left").join(pools, "t").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    own = F.col("_w").isNotNull()
+
+    def scored(x):
+        tier = (x["shown"] == 0).cast("int")
+        s = F.when(tier == 1, 0.0).when(own, index_.pair_score(F.col("avgdl"), text=x["_t"], length=x["_len"])).otherwise(x["clicked"].cast("double"))
+        tie = F.when(tier == 1, -x["shown_back"].cast("bigint")).when(own, draw(seed, F.col("q"), x["art"])).otherwise(-x["shown"].cast("bigint"))
+        return F.struct(tier.alias("tier"), (0.0 - s).alias("s"), tie.alias("tie"), x["art"].alias("art"))
+
+    best = rows.select("q", own.alias("own"), F.slice(F.sort_array(F.transform("pool", scored)), 1, k).alias("best"))
+    out = best.select("q", "own", F.posexplode("best").alias("i", "x"))
+    return out.select("q", F.col("x.art").alias("art"), (F.col("i") + 1).cast("bigint").alias("rank"), (0.0 - F.col("x.s")).alias("score"), (~F.col("own")).alias("used_fallback"))
 
 
 GENERATORS = {"bm25": bm25, "semantic": semantic_, "popular": popular, "bm25_fresh": bm25_fresh}

@@ -30,11 +30,20 @@ def segments(displays: DataFrame, hours: float = POOL_HOURS, backfill: float = B
     return out.where("shown_back > 0 or shown > 0")
 
 
-def at_times(segs: DataFrame, times: DataFrame, width: int = MICROS_HOUR) -> DataFrame:
-    """times: t, distinct. Returns t, art, shown, shown_back, clicked."""
+def _met(segs: DataFrame, times: DataFrame, width: int) -> DataFrame:
     by = F.sequence(F.floor((F.col("b") + 1) / width).cast("bigint"), F.floor(F.col("e") / width).cast("bigint"))
     cut = segs.select("*", F.explode(by).alias("h"))
-    return times.select("t", F.floor(F.col("t") / width).cast("bigint").alias("h")).join(cut, "h").where("t > b and t <= e").select("t", "art", "shown", "shown_back", "clicked")
+    return times.select("t", F.floor(F.col("t") / width).cast("bigint").alias("h")).join(cut, "h").where("t > b and t <= e")
+
+
+def at_times(segs: DataFrame, times: DataFrame, width: int = MICROS_HOUR) -> DataFrame:
+    """times: t, distinct. Returns t, art, shown, shown_back, clicked."""
+    return _met(segs, times, width).select("t", "art", "shown", "shown_back", "clicked")
+
+
+def lists_at(segs: DataFrame, times: DataFrame, width: int = MICROS_HOUR) -> DataFrame:
+    """at_times as one row a time: t, pool, structs of all that segs has but b and e. Times of an hour lie together, so grouping shuffles nothing."""
+    return _met(segs, times, width).groupBy("h", "t").agg(F.collect_list(F.struct(*(c for c in segs.columns if c not in ("b", "e")))).alias("pool")).select("t", "pool")
 
 
 def ranked(pool: DataFrame, k: int) -> DataFrame:

@@ -137,3 +137,22 @@ def test_a_pair_travels_without_weights(spark):
     got = {(r.q, r.doc): r.score for r in bm25.score_pairs(index, terms, pairs).collect()}
     assert len(got) == 30 and {k: round(s, 8) for k, s in got.items() if s} == want and got[2, 1] == 0.0 and got[3, 1] is None and got[1, 9] == 0.0
     assert dict(bm25.texts(index, bm25.coded(index)).dtypes)["_t"] == "array<struct<code:bigint,tf:int>>"
+
+
+def test_a_pool_is_ranked_in_its_points_row(spark):
+    """bm25_fresh: nothing is ranked by a window over points, and no exchange has both a point and an article."""
+    import re
+
+    from pressroom.operators import candidates
+    from pressroom.plans import retrieval
+
+    titles = A.catalogue(spark, SF)
+    views = A.events(spark, SF).where("kind = 'view'").select(F.col("event_id").alias("q"), "usr", "t")
+    h = spark.createDataFrame([(u, [1, 2, 3]) for u in range(20)], "q long, history array<long>")
+    out = candidates.bm25_fresh(views, h, titles, A.displays(spark, SF), bm25.build(retrieval._part_docs(spark, SF)), 5, hours=6)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    q = re.search(r"event_id#\d+L? AS q#\d+L?", plan).group(0).split()[-1]
+    assert not re.search(rf"Window \[.*windowspecdefinition\({re.escape(q)}", plan)
+    lists = pool.lists_at(pool.segments(A.displays(spark, SF), 6), views.select("t").distinct()).select("t", F.inline("pool"))
+    flat = pool.at_times(pool.segments(A.displays(spark, SF), 6), views.select("t").distinct())
+    assert sorted(tuple(r) for r in lists.select(*flat.columns).collect()) == sorted(tuple(r) for r in flat.collect())
