@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import adapters as A
 from ..sources.adapters import ctes
-from ..sources.shared import folder, stored
+from ..sources.shared import Grouped, folder, stored
 from ..streaming import jobs, pool
 
 
@@ -64,15 +64,21 @@ def stream_scored(spark, sf):
     rows = A.split_of(A.shown(spark, sf))
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     catalogue = A.catalogue(spark, sf).select("art", "category")
-    rate = (F.sum("label") / F.count("*")).alias("ctr")
-    priors = stored(train.join(catalogue, "art").groupBy("category").agg(rate))
-    stats = stored(jobs.versions(A.shown(spark, sf).select("art", "t", "label")))
-    default = train.agg(rate).first()[0] or 0.0
+    counts = stored(train.groupBy("art").agg(F.sum("label").alias("c"), F.count("*").alias("n")))  # used twice
+    rate = (F.sum("c") / F.sum("n")).alias("ctr")
+    priors = stored(counts.join(catalogue, "art").groupBy("category").agg(rate))
+    default = counts.agg(rate).first()[0] or 0.0
     store, out, mark = folder(spark), folder(spark), folder(spark)
     lists = test.groupBy(F.col("imp").alias("impression_id"), "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "art"))), lambda x: x["art"]).alias("candidates"))
-    lists.write.parquet(store)
-    chunks = jobs.files(spark, store, "impression_id bigint, t bigint, candidates array<bigint>", 4)
-    jobs.run_chunks(chunks, lambda c: jobs.ranked(jobs.lookup_scores(c, stats, catalogue, priors, default)), out, mark)
+    # As many files on any table: each chunk looks through the statistics, which lie bucketed, so that a chunk shuffles its own rows only.
+    lists.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "impression_id").write.parquet(store)
+    tables = Grouped(spark, "art", A.parts(spark))
+    stats = tables.store(jobs.versions(A.shown(spark, sf).select("art", "t", "label")), "b")
+    try:
+        chunks = jobs.files(spark, store, "impression_id bigint, t bigint, candidates array<bigint>", 4)
+        jobs.run_chunks(chunks, lambda c: jobs.ranked(jobs.lookup_scores(c, stats, catalogue, priors, default)), out, mark)
+    finally:
+        tables.drop()
     return spark.read.schema("value string").parquet(f"{out}/*")
 
 

@@ -35,6 +35,11 @@ def dealt(log: DataFrame) -> None:
             spark.conf.set(most, PART_BYTES)
 
 
+def parts(spark: SparkSession) -> int:
+    """Partitions that a shuffle begins with."""
+    return int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def micros(col: str) -> F.Column:
     return F.unix_micros(F.col(col).cast("timestamp"))
 

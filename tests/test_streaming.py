@@ -153,3 +153,29 @@ def test_a_log_that_goes_back_is_refused(spark):
     for at in (1, 15, 16, 17, 500, 999):  # inside ranges and between them
         with pytest.raises(ValueError):
             pool.check_sorted(long.withColumn("t", F.when(F.col("place") == at, at - 2).otherwise(F.col("t"))))
+
+
+def test_chunks_shuffle_no_statistics(spark, monkeypatch):
+    """Statistics of a scored stream lie bucketed by article: no chunk's plan exchanges them, and their table goes."""
+    import re
+
+    from pressroom.plans import streams
+    from pressroom.streaming import jobs
+
+    plans, score = [], jobs.lookup_scores
+
+    def seen(*args):
+        out = score(*args)
+        out.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the stream's own session
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(jobs, "lookup_scores", seen)
+    before = {t.name for t in spark.catalog.listTables()}
+    assert streams.stream_scored(spark, "/root/testdata/sf0.001").count() > 0
+    assert plans and {t.name for t in spark.catalog.listTables()} == before
+    for plan in plans:  # nothing between the statistics' scan and their join shuffles
+        scan = re.search(r"FileScan parquet [^\n]*\[art#\d+L?,b#\d+L?[^\n]*", plan)
+        assert scan and "Bucketed: true" in scan.group(0), plan
+        above = plan[: scan.start()].splitlines()[-3:-1]
+        assert "Sort" in above[0] and "Filter" in above[1], plan
