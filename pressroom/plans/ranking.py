@@ -21,7 +21,7 @@ r9 = lambda c: F.round(F.col(c) if isinstance(c, str) else c, 9)
 
 def _first(spark, sf):
     """A first stage on orders: candidates by clicks of the training split; scores tie often. imp, pos, art, label, score, t, usr."""
-    s = A.split_of(A.shown(spark, sf))
+    s = A.split_of(A.shown(spark, sf), A.orders(spark, sf))
     pop = stats.article_counts(s.where("split = 'train'")).select("art", "click_count")
     return s.join(pop, "art", "left").withColumn("score", F.coalesce("click_count", F.lit(0)).cast("double"))
 
@@ -73,7 +73,7 @@ def wu_sampling(spark, sf):
 
 def _matrix(spark, sf):
     """imp, art, the features, label: of the candidates of all splits."""
-    s = A.split_of(A.shown(spark, sf))
+    s = A.split_of(A.shown(spark, sf), A.orders(spark, sf))
     n = A.table(spark, sf, "embeddings").count()
     cand = s.groupBy("imp", "art").agg(F.min("pos").cast("bigint").alias("rank"), F.max("label").alias("label")).withColumn("score", F.lit(1.0) / F.col("rank"))
     clicks = s.groupBy("imp").agg(F.sum("label").alias("clicks"))
@@ -91,7 +91,7 @@ def feature_matrix(spark, sf):
 
 def recall_fraction(spark, sf):
     """The 200 articles most clicked in training, against the test's clicks."""
-    s = A.split_of(A.shown(spark, sf))
+    s = A.split_of(A.shown(spark, sf), A.orders(spark, sf))
     top = stats.popularity(s.where("split = 'train'"), top=200).agg(F.collect_list("art").alias("candidates"))
     test = s.where("split = 'test'")
     clicked = test.where("label = 1").groupBy("imp").agg(F.collect_set("art").alias("clicked"))
@@ -99,7 +99,7 @@ def recall_fraction(spark, sf):
 
 
 def hit_rate(spark, sf):
-    s = A.split_of(A.shown(spark, sf))
+    s = A.split_of(A.shown(spark, sf), A.orders(spark, sf))
     top = stats.popularity(s.where("split = 'train'"), top=200).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "art"))), lambda x: x["art"]).alias("candidates"))
     all_ = A.split_of(A.orders(spark, sf)).where("split = 'test'").select("imp")
     clicked = s.where("split = 'test' and label = 1").groupBy("imp").agg(F.collect_set("art").alias("clicked"))
@@ -139,12 +139,12 @@ def before_after(spark, sf):
 
 
 def slice_cold_warm(spark, sf):
-    h = A.split_of(A.histories(spark, sf)).where("split = 'test'").select("imp", F.when(F.size("history") <= 5, "cold_start").otherwise("warm").alias("slice"))
+    h = A.split_of(A.histories(spark, sf), A.orders(spark, sf)).where("split = 'test'").select("imp", F.when(F.size("history") <= 5, "cold_start").otherwise("warm").alias("slice"))
     return metrics.population(_per(spark, sf), h, "slice").select("slice", "n_impressions", "n_scored", *(r6(c).alias(c) for c in ("auc", "mrr", "ndcg_5", "ndcg_10")), (F.col("n_impressions") < 30).alias("small"))
 
 
 def slice_head_tail(spark, sf):
-    s = A.split_of(A.shown(spark, sf))
+    s = A.split_of(A.shown(spark, sf), A.orders(spark, sf))
     head = stats.head_set(stats.article_counts(s.where("split = 'train'")), 0.2).withColumn("head", F.lit(True))
     first = s.where("split = 'test' and label = 1").groupBy("imp").agg(F.min_by("art", "pos").alias("art"))
     slices = first.join(head, "art", "left").select("imp", F.when(F.col("head"), "head").otherwise("tail").alias("slice"))
@@ -152,8 +152,8 @@ def slice_head_tail(spark, sf):
 
 
 def novelty(spark, sf):
-    s = A.split_of(A.shown(spark, sf))
-    counts = stats.article_counts(s.where("split = 'train'"))
+    s = stored(A.split_of(A.shown(spark, sf), A.orders(spark, sf)).where("split in ('train', 'test')").select("imp", "art", "label", "split"))  # used twice
+    counts = stored(stats.article_counts(s.where("split = 'train'")))  # used three times
     lists = s.where("split = 'test'").groupBy("imp").agg(F.collect_list("art").alias("arts"))
     total = counts.agg(F.sum("click_count").alias("n")).first()["n"] or 0
     return beyond.novelty(lists, stats.click_probabilities(counts), F.lit(1.0 / (total + 1))).select("imp", r6("novelty").alias("novelty"))
@@ -236,7 +236,7 @@ def ranker_arms(spark, sf):
 
 def _split_rows(spark, sf):
     """The training split with features that SQL can bin: place, earlier clicks of the article, reading time (unknown for some)."""
-    s = A.split_of(A.shown(spark, sf, dwell=True)).where("split = 'train'")
+    s = A.split_of(A.shown(spark, sf, dwell=True), A.orders(spark, sf)).where("split = 'train'")
     clicks = s.groupBy("art").agg(F.sum("label").alias("clicks"))
     return s.join(clicks, "art").select("imp", F.col("pos").alias("row"), "label", F.lit(0.0).alias("score"), F.col("pos").cast("double").alias("place"), F.col("clicks").cast("double").alias("clicks"), "dwell")
 
@@ -247,7 +247,7 @@ _SPLIT_FEATURES, _SPLIT_LEAVES = ["place", "clicks", "dwell"], 4
 def lambdamart_gradients(spark, sf):
     from ..models import lambdamart
 
-    rows = A.split_of(A.shown(spark, sf)).where("split = 'train'").select("imp", F.col("pos").alias("row"), "label", (1 / F.col("pos")).alias("score"))
+    rows = A.split_of(A.shown(spark, sf), A.orders(spark, sf)).where("split = 'train'").select("imp", F.col("pos").alias("row"), "label", (1 / F.col("pos")).alias("score"))
     return lambdamart.lambdas(rows).select("imp", "row", r6("g").alias("g"), r6("h").alias("h"))
 
 

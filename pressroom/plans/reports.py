@@ -26,7 +26,7 @@ def age_report(spark, sf):
 def beyond_report(spark, sf):
     """All impressions of the test split, ranked by their articles' clicks in training."""
     test = _test(spark, sf)
-    counts = stats.article_counts(A.split_of(A.shown(spark, sf)).where("split = 'train'"))
+    counts = stats.article_counts(A.split_of(A.shown(spark, sf), A.orders(spark, sf)).where("split = 'train'"))
     total = counts.agg(F.sum("click_count").alias("n")).first()["n"] or 0
     m = A.table(spark, sf, "embeddings").count()
     scored = test.select("imp", "pos", "art", "score")

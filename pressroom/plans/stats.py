@@ -15,7 +15,7 @@ r6 = lambda c: F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
 def _train(spark, sf):
-    return A.split_of(A.shown(spark, sf)).where("split = 'train'")
+    return A.split_of(A.shown(spark, sf), A.orders(spark, sf)).where("split = 'train'")
 
 
 def popularity(spark, sf):
@@ -33,7 +33,7 @@ def temporal_split(spark, sf):
 
 
 def user_latest_snapshot(spark, sf):
-    h = A.split_of(A.histories(spark, sf)).select("split", "usr", "t", "imp", F.size("history").cast("bigint").alias("history_length"), F.transform("history", lambda x: x["art"]).alias("arts"))
+    h = A.split_of(A.histories(spark, sf), A.orders(spark, sf)).select("split", "usr", "t", "imp", F.size("history").cast("bigint").alias("history_length"), F.transform("history", lambda x: x["art"]).alias("arts"))
     return impressions.latest(h, "split", "usr").select("split", "usr", F.col("t").alias("as_of"), "history_length", F.array_join(F.col("arts").cast("array<string>"), " ").alias("history"))
 
 

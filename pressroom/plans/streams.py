@@ -61,7 +61,7 @@ def stream_sessions_closed(spark, sf):
 
 def stream_scored(spark, sf):
     """Orders of the test split, a chunk at a time, scored by lookups of counts as of their time, categories and their rates, and ranked."""
-    rows = A.split_of(A.shown(spark, sf))
+    rows = A.split_of(A.shown(spark, sf), A.orders(spark, sf))
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     catalogue = A.catalogue(spark, sf).select("art", "category")
     counts = stored(train.groupBy("art").agg(F.sum("label").alias("c"), F.count("*").alias("n")))  # used twice

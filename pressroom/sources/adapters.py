@@ -58,11 +58,12 @@ def shown(spark: SparkSession, sf_dir: str, dwell: bool = False) -> DataFrame:
     return lines.join(orders(spark, sf_dir), "imp")
 
 
-def split_of(df: DataFrame) -> DataFrame:
-    """Adds split. The later period is test; of the earlier, the last part of its time span is val. The cutoff is one value, computed first."""
+def split_of(df: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Adds split. The later period is test; of the earlier, the last part of its time span is val. The cutoff is one value, computed first, of log (t; df if there is none):
+    the orders, which need no join."""
     from ..operators.split import val_cutoff
 
-    cut = val_cutoff(df.where(F.col("t") < DEV_FROM), VAL_FRACTION)
+    cut = val_cutoff((df if log is None else log).where(F.col("t") < DEV_FROM), VAL_FRACTION)
     return df.withColumn("split", F.when(F.col("t") >= DEV_FROM, "test").when(F.col("t") >= cut, "val").otherwise("train"))
 
 

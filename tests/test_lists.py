@@ -156,3 +156,15 @@ def test_a_pool_is_ranked_in_its_points_row(spark):
     lists = pool.lists_at(pool.segments(A.displays(spark, SF), 6), views.select("t").distinct()).select("t", F.inline("pool"))
     flat = pool.at_times(pool.segments(A.displays(spark, SF), 6), views.select("t").distinct())
     assert sorted(tuple(r) for r in lists.select(*flat.columns).collect()) == sorted(tuple(r) for r in flat.collect())
+
+
+def test_the_cutoff_is_of_all_orders(spark):
+    """Orders without lines count for the time span, as in SQL, and lines need not be joined to find it."""
+    rows, log = spark.createDataFrame([(100,), (200,), (950,)], "t long"), spark.createDataFrame([(k,) for k in range(0, 1001, 100)], "t long")
+    assert [r.split for r in A.split_of(rows, log).orderBy("t").collect()] == ["train", "train", "val"]
+
+
+def test_novelty_reads_the_log_once(spark):
+    from pressroom.plans import ranking
+
+    assert "lineitem" not in ranking.novelty(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
