@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def per_impression(scored: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     """scored: imp, pos, score, label. Returns imp, auc (null if one class lacks), mrr, ndcg_at k. All windows share one exchange by impression."""
@@ -53,9 +55,11 @@ def submission(scored: DataFrame) -> DataFrame:
 def paired(base: DataFrame, other: DataFrame) -> DataFrame:
     """imp, base_score, arm_score, label of two prediction tables (imp, pos, score, label); different populations or labels are an error."""
     key = ["imp", "pos"]
-    if not (base.join(other, key, "left_anti").isEmpty() and other.join(base, key, "left_anti").isEmpty()):
+    one = lambda df, score, label, there: df.select(*key, F.col("score").alias(score), F.col("label").alias(label), F.lit(True).alias(there))
+    both = stored(one(base, "base_score", "label", "_b").join(one(other, "arm_score", "_l", "_o"), key, "full"))  # used twice, and joined once
+    odd = both.agg(F.max(F.col("_b").isNull() | F.col("_o").isNull()).alias("rows"), F.max(F.col("label") != F.col("_l")).alias("labels")).first()
+    if odd["rows"]:
         raise ValueError("the two arms don't cover the same candidates")
-    both = base.select(*key, F.col("score").alias("base_score"), F.col("label")).join(other.select(*key, F.col("score").alias("arm_score"), F.col("label").alias("_l")), key)
-    if not both.where("label <> _l").isEmpty():
+    if odd["labels"]:
         raise ValueError("the two arms differ in labels")
-    return both.drop("_l")
+    return both.select(*key, "base_score", "label", "arm_score")

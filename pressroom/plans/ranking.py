@@ -160,7 +160,7 @@ def novelty(spark, sf):
 
 
 def paired_predictions(spark, sf):
-    t = _test(spark, sf)
+    t = stored(_test(spark, sf).select("imp", "pos", "score", "label"))  # both arms
     base = t.select("imp", "pos", (-F.col("pos")).cast("double").alias("score"), "label")
     return metrics.paired(base, t.select("imp", "pos", "score", "label")).groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("arm_score") > 0).cast("bigint")).alias("known"))
 

@@ -168,3 +168,20 @@ def test_novelty_reads_the_log_once(spark):
     from pressroom.plans import ranking
 
     assert "lineitem" not in ranking.novelty(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_joined_once(spark):
+    """Neither arm is made again for the checks; other candidates and other labels are still errors."""
+    import pytest
+    from pressroom.operators import metrics
+    from pressroom.plans import ranking
+
+    assert "lineitem" not in ranking.paired_predictions(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    arm = lambda *rows: spark.createDataFrame(rows, "imp long, pos int, score double, label int")
+    base, made = arm((1, 1, 0.5, 0), (1, 2, 0.25, 1)), spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: (made.add(1), x)[1], "double").asNondeterministic()
+    got = metrics.paired(base.withColumn("score", counted("score")), arm((1, 1, 3.0, 0), (1, 2, 4.0, 1))).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 0.5, 0, 3.0), (1, 2, 0.25, 1, 4.0)] and made.value == 2
+    for other in (arm((1, 1, 3.0, 0)), arm((1, 1, 3.0, 0), (1, 2, 4.0, 1), (2, 1, 1.0, 0)), arm((1, 1, 3.0, 1), (1, 2, 4.0, 1))):
+        with pytest.raises(ValueError):
+            metrics.paired(base, other)
