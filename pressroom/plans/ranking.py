@@ -215,15 +215,11 @@ def _ranker_matrix(spark, sf):
     return m.select("imp", F.col("retrieval_rank").alias("row"), "label", *(F.col(c).cast("double").alias(c) if kinds[c] == "boolean" else F.col(c) for c in FEATURES)).join(splits, "imp")
 
 
-#: Fewer rounds than the ranker's own 500, so that the query ends in minutes; all else is as configured.
-ROUNDS, PATIENCE = 20, 5
-
-
 def lambdamart_scores(spark, sf):
     """The ranker on all features, trained on the training split, stopped on val, scored on test."""
     from ..models import run
 
-    out, _ = run.scored(stored(_ranker_matrix(spark, sf)), rounds=ROUNDS, patience=PATIENCE)
+    out, _ = run.scored(stored(_ranker_matrix(spark, sf)))
     return out.select("imp", "pos", "label", r9("score").alias("score"))
 
 
