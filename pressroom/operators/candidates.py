@@ -34,8 +34,9 @@ def bm25(queries: DataFrame, histories: DataFrame, catalogue: DataFrame, display
 
 def semantic_(queries: DataFrame, histories: DataFrame, vectors: DataFrame, displays: DataFrame, k: int = CANDIDATES_K, method: str = "mean", window: int | None = None) -> DataFrame:
     """histories: q, history (vector ids). A user with a zero vector is padded like one without, but isn't flagged."""
-    users = semantic.pooled(histories, vectors, method, window)
-    lists = queries.select("q").join(semantic.cosine_lists(users, vectors, k, "art"), "q", "left").withColumn("key", F.struct("q", F.col("list").isNull().alias("none")))
+    # A user's history is pooled, searched and filled in its own row: of k entries, none is shuffled.
+    own = semantic.history_lists(queries.select("q").join(histories, "q", "left"), vectors, k, "art", method, window)
+    lists = own.withColumn("key", F.struct("q", F.col("list").isNull().alias("none")))
     return pool.filled(lists, displays, k, "key").select("key.q", F.inline("list"), F.col("key.none").alias("used_fallback"))
 
 

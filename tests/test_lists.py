@@ -185,3 +185,25 @@ def test_pairs_are_joined_once(spark):
     for other in (arm((1, 1, 3.0, 0)), arm((1, 1, 3.0, 0), (1, 2, 4.0, 1), (2, 1, 1.0, 0)), arm((1, 1, 3.0, 1), (1, 2, 4.0, 1))):
         with pytest.raises(ValueError):
             metrics.paired(base, other)
+
+
+def test_semantic_lists_stay_in_their_users_row(spark, monkeypatch):
+    """Whether vectors are held, in files or joined; users without history or vector, zero vectors. Only what is joined shuffles lists."""
+    from pressroom.operators import candidates
+
+    rng = random.Random(12)
+    v = spark.createDataFrame([(k, [0.0] * 4 if k == 3 else [rng.gauss(0, 1) for _ in range(4)]) for k in range(150)], "vec long, e array<double>")
+    h = spark.createDataFrame([(k, [rng.randrange(0, 160) for _ in range(1 + k % 5)]) for k in range(60)] + [(60, [3]), (61, [999, None])], "q long, history array<long>")
+    d = spark.createDataFrame([(k % 30, k, int(k % 3 == 0)) for k in range(200)], "art long, t long, label int")
+    q = spark.range(70).select(F.col("id").alias("q"))
+    run = lambda w=None: candidates.semantic_(q, h, v, d, 9, window=w)
+    rows = lambda df: sorted((r.q, r.rank, r.art, round(r.score, 8), r.used_fallback) for r in df.collect())
+    want = rows(run()), rows(run(2))
+    assert len(want[0]) == 9 * 70 and {r[0] for r in want[0] if r[4]} == {61, *range(62, 70)}
+    plan = lambda: semantic.history_lists(q.join(h, "q", "left"), v, 9)._jdf.queryExecution().executedPlan().toString()
+    assert plan().index("MapInArrow") < plan().index("Join") and "Exchange" not in plan()[: plan().index("MapInArrow")]
+    monkeypatch.setattr(held, "HELD_NUMBERS", 0)
+    monkeypatch.setattr(held, "FILE_NUMBERS", 100)
+    assert (rows(run()), rows(run(2))) == want and "Exchange" not in plan()[: plan().index("MapInArrow")]
+    monkeypatch.setattr(held, "_mounted", lambda spark: None)
+    assert (rows(run()), rows(run(2))) == want
