@@ -207,3 +207,12 @@ def test_semantic_lists_stay_in_their_users_row(spark, monkeypatch):
     assert (rows(run()), rows(run(2))) == want and "Exchange" not in plan()[: plan().index("MapInArrow")]
     monkeypatch.setattr(held, "_mounted", lambda spark: None)
     assert (rows(run()), rows(run(2))) == want
+
+
+def test_feature_matrix_reads_the_log_once(spark, monkeypatch):
+    from pressroom.plans import ranking
+
+    calls, shown = [], A.shown
+    monkeypatch.setattr(A, "shown", lambda *a, **more: calls.append(1) or shown(*a, **more))
+    ranking.feature_matrix(spark, SF)
+    assert len(calls) == 1
